@@ -7,8 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sentencepiece_codec
-from .common import table
+from pyspark.sql import functions as F
+
+from . import langid, mixing, quality_cnn, sentencepiece_codec
+from .common import crc_mod, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -17,13 +19,27 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = quality_cnn.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    return quality_cnn.score(docs, net).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digests(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, crc_mod("doc_id", 4) != 2)
+    return langid.identify(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
+    "op4_quality_cnn": op4_quality_cnn,
     "op6_sentencepiece": op6_sentencepiece,
+    "op10_language_id": op10_language_id,
 }
 
 #: The cut in SQL: 24 bits of the hash give the same buckets; the running sum decides each source's last whole bucket.
