@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality_cnn, sentencepiece_codec
+from . import langid, mixing, ppm, quality_cnn, sentencepiece_codec
 from .common import crc_mod, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ppm.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) != 1)
+    return out.select("doc_id", (crc_mod("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ppm": op1_ppm,
     "op2_mix_sources": op2_mix_sources,
     "op4_quality_cnn": op4_quality_cnn,
     "op6_sentencepiece": op6_sentencepiece,
