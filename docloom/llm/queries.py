@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import langid, mixing, ppm, quality_cnn, sentencepiece_codec
+from . import jaccard_trie, langid, mixing, ppm, quality_cnn, sentencepiece_codec
 from .common import crc_mod, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -34,6 +34,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digests(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_trie.join(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, crc_mod("doc_id", 4) != 2)
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op4_quality_cnn": op4_quality_cnn,
     "op6_sentencepiece": op6_sentencepiece,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_language_id": op10_language_id,
 }
 
