@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import jaccard_trie, langid, mixing, ppm, quality_cnn, sentencepiece_codec
+from . import jaccard_trie, langid, mixing, ppm, quality_cnn, sentencepiece_codec, suffix_dedup
 from .common import crc_mod, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -24,6 +24,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(table(spark, sf_dir, "documents"), length=400).drop("kept")
+
+
 def op4_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = quality_cnn.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
@@ -47,6 +51,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ppm": op1_ppm,
     "op2_mix_sources": op2_mix_sources,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_cnn": op4_quality_cnn,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_jaccard_join": op8_jaccard_join,
