@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import jaccard_trie, langid, mixing, ppm, quality_cnn, sentencepiece_codec, suffix_dedup
+from . import jaccard_trie, langid, licenses, mixing, ppm, quality_cnn, sentencepiece_codec, suffix_dedup
 from .common import crc_mod, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -34,6 +34,10 @@ def op4_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.score(docs, net).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digests(table(spark, sf_dir, "documents"), PIECES)
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_cnn": op4_quality_cnn,
+    "op5_license_scan": op5_license_scan,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_language_id": op10_language_id,
