@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import jaccard_trie, langid, licenses, mixing, ppm, quality_cnn, sentencepiece_codec, suffix_dedup
+from . import imatch, jaccard_trie, langid, licenses, mixing, ppm, quality_cnn, sentencepiece_codec, suffix_dedup, va_file
 from .common import crc_mod, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -42,10 +42,18 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digests(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_trie.join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op9_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_file.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, crc_mod("doc_id", 4) != 2)
@@ -59,7 +67,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_cnn": op4_quality_cnn,
     "op5_license_scan": op5_license_scan,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_imatch": op7_imatch,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_va_file": op9_va_file,
     "op10_language_id": op10_language_id,
 }
 
@@ -94,4 +104,15 @@ SELECT doc_id, size, s AS source_size, target, CASE WHEN size > 0 THEN r ELSE le
 FROM (SELECT doc_id, size, s, target, f + CASE WHEN (h >> 36) < b THEN 1 ELSE 0 END AS r FROM sizes JOIN cut USING (k))
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_mix_sources": OP2_SQL}
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op9_va_file": OP9_SQL}
