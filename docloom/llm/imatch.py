@@ -3,9 +3,9 @@
 Document frequencies are counted over all documents. The lexicon keeps terms whose share of documents lies in a band;
 since a document has so many different terms, at most (terms a document) / LOW can have a share of LOW, so the lexicon's
 size is bounded whatever the corpus. It is arranged as a hash table in one array, which each task gets as a constant.
-A document's terms in the lexicon are made distinct and sorted, and for each of several random subsets of the lexicon
-(`SCALES` rates of 16 subsets each, so that short and long documents alike have subsets with a few of their terms) the
-sorted terms are hashed. The fingerprint lists the subsets that have a term, with their hashes; the likeness of two
+A document's terms in the lexicon are made distinct and sorted, and for each of 64 random subsets of the lexicon
+(16 at each of four rates, so that short and long documents alike have subsets with a few of their terms) the sorted
+terms are hashed. The fingerprint lists the subsets that have a term, with their hashes; the likeness of two
 fingerprints is the share of common entries among all.
 
 The next document is found without a global window: ids are dealt into ranges by their quantiles, each range finds its
@@ -24,14 +24,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, materialise
+from .common import materialise
 
-LOW, HIGH, SCALES = 0.001, 0.2, 4
+LOW, HIGH = 0.001, 0.2
+#: How many of 1024 hash values have a subset at each rate; a rate has 16 subsets. Terms with other values have none.
+RATES = (256, 96, 32, 8)
+#: The subset of a term by ten bits of its hash.
+SUBSETS = [f"{16 * rate + k % 16:02d}:" for rate, n in enumerate(RATES) for k in range(n)]
+SUBSETS += ["-"] * (1024 - len(SUBSETS))
 
 
 def terms_of(text: Column) -> Column:
-    """The distinct terms (runs of letters and digits, A-Z lower-cased)."""
-    return F.array_remove(F.array_distinct(F.split(ascii_lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")), "")
+    """The distinct terms (runs of letters and digits, lower-cased)."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")), "")
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> Column:
@@ -50,19 +55,20 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: flo
 def fingerprint(text: Column, table: Column) -> Column:
     """Entries `subset:hash` of a text, sorted, as an array."""
     terms = terms_of(text)
-    inside = F.filter(terms, lambda w: F.array_contains(F.element_at(table, F.pmod(F.xxhash64(w), F.size(table)).cast("int") + 1), w))
 
-    def subset(w: Column, scale: int) -> Column:
-        """'cell term' if this rate's subsets have the term, else null. Subset: 16 cells among 16 * 4^scale."""
-        cell = F.pmod(F.xxhash64(w, F.lit(100 + scale)), F.lit(16 * 4**scale))
-        return F.when(cell < 16, F.concat(F.lpad((cell + 16 * scale).cast("string"), 2, "0"), F.lit(":"), w))
+    def place(w: Column) -> Column:
+        return F.shiftright(F.xxhash64(w), 40).bitwiseAND(F.lit(1023)).cast("int")
 
-    entries = F.array_sort(F.flatten(F.transform(inside, lambda w: F.array_compact(F.array(*[subset(w, s) for s in range(SCALES)])))))
+    inside = F.filter(terms, lambda w: (place(w) < sum(RATES)) & F.array_contains(F.element_at(table, F.pmod(F.xxhash64(w), F.size(table)).cast("int") + 1), w))
+
+    codes = F.split(F.lit(" ".join(SUBSETS)), " ")
+    entries = F.array_sort(F.transform(inside, lambda w: F.concat(F.element_at(codes, place(w) + 1), w)))
     # One run for each subset: entries are in order, so those of a subset stand together.
     runs = F.regexp_extract_all(F.array_join(entries, " "), F.lit(r"(\d\d):[^ ]+(?: \1:[^ ]+)*"), F.lit(0))
     hashed = F.transform(runs, lambda r: F.concat(F.substring(r, 1, 2), F.lpad(F.hex(F.xxhash64(r).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")))
     alone = F.array(F.concat(F.lit("zz"), F.hex(F.xxhash64(F.array_join(F.array_sort(terms), " ")))))
-    return F.when(F.size(hashed) > 0, hashed).otherwise(alone)
+    # Through a list of one, so that it is computed once.
+    return F.element_at(F.transform(F.array(hashed), lambda h: F.when(F.size(h) > 0, h).otherwise(alone)), 1)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -70,23 +76,24 @@ def likeness(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def neighbours(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """i, t, next: each text and that of the document with the next smaller id; after the last comes the first."""
-    rows = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+def neighbours(docs: DataFrame, id_col: str, text_col: str, extra: Column) -> DataFrame:
+    """i, t, e, next: each text, `extra` of it (over column t), and t and e of the document with the next smaller id;
+    after the last comes the first."""
+    rows = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("e", extra)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    cuts = rows.agg(F.percentile_approx("i", F.array(*[F.lit(k / parts) for k in range(1, parts)]), 10_000)).first()[0]
+    cuts = docs.select(F.col(id_col).alias("i")).agg(F.percentile_approx("i", F.array(*[F.lit(k / parts) for k in range(1, parts)]), 10_000)).first()[0]
     cuts = sorted(set(cuts or []), reverse=True)
     at = F.lit(len(cuts) + 1) if not cuts else F.when(F.col("i").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(F.lit(cuts), lambda c: F.col("i") < c)))
     order = [F.desc_nulls_last("i"), F.xxhash64("t")]
     rows = rows.withColumn("p", at)
     window = Window.partitionBy("p").orderBy(*order)
-    ranged = rows.withColumns({"next": F.lead("t").over(window), "last": F.lead(F.lit(1)).over(window).isNull()})
+    ranged = rows.withColumns({"next": F.lead(F.struct("t", "e")).over(window), "last": F.lead(F.lit(1)).over(window).isNull()})
     # The first row of each range: a range for each quantile, so few rows.
-    first = rows.withColumn("h", F.xxhash64("t")).groupBy("p").agg(F.max_by("t", F.struct(F.col("i").isNotNull().alias("a"), F.col("i").alias("b"), (-F.col("h").cast("decimal(20,0)")).alias("c"))).alias("first"))
+    first = rows.withColumn("h", F.xxhash64("t")).groupBy("p").agg(F.max_by(F.struct("t", "e"), F.struct(F.col("i").isNotNull().alias("a"), F.col("i").alias("b"), (-F.col("h").cast("decimal(20,0)")).alias("c"))).alias("first"))
     ring = Window.orderBy("p")
     every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = materialise(first.withColumn("after", F.coalesce(F.lead("first").over(ring), F.min_by("first", "p").over(every))).select(F.col("p").alias("q"), "after"), "imatch-ranges")
-    return ranged.join(F.broadcast(first), (F.col("p") == F.col("q"))).select("i", "t", F.when(F.col("last"), F.col("after")).otherwise(F.col("next")).alias("next"))
+    return ranged.join(F.broadcast(first), (F.col("p") == F.col("q"))).select("i", "t", "e", F.when(F.col("last"), F.col("after")).otherwise(F.col("next")).alias("next"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -100,10 +107,10 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: each text with itself edited
     (its last half replaced by the beginning of the next document) and with the next document."""
     table = lexicon(docs, text_col, low, high)
-    rows = neighbours(docs, id_col, text_col)
+    rows = neighbours(docs, id_col, text_col, fingerprint(F.col("t"), table))
     n = F.char_length("t")
     half = F.floor(n / 2).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.substr("t", F.lit(1), n - half), F.substr("next", F.lit(1), half)))
-    rows = rows.select("i", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("t"), table).alias("a"), fingerprint(F.col("edited"), table).alias("b"), fingerprint(F.col("next"), table).alias("c"))
+    rows = rows.withColumn("edited", F.concat(F.substr("t", F.lit(1), n - half), F.substr("next.t", F.lit(1), half)))
+    rows = rows.select("i", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.col("e").alias("a"), fingerprint(F.col("edited"), table).alias("b"), F.col("next.e").alias("c"))
     a, b, c = F.col("a"), F.col("b"), F.col("c")
     return rows.select(F.col("i").alias(id_col), "n_chars", "edited_sha256", F.array_join(a, "-").alias("fingerprint"), F.array_join(b, "-").alias("edited_fingerprint"), likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"))
