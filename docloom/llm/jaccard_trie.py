@@ -360,3 +360,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     out = sk.select("i", "row", "size").join(roots, F.col("row") == F.col("node"), "left").withColumn("root", F.coalesce("root", "row"))
     least = out.groupBy("root").agg(F.min("i").alias("component_id"))
     return out.join(least, "root").select(F.col("i").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The document with the smallest id of each component; of rows that repeat an id and its text, one."""
+    found = materialise(join(docs, id_col, text_col, n, percent), "jaccard-components")
+    rest = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
+    rest = F.broadcast(rest) if rest.count() <= BROADCAST_ROWS else rest
+    kept = docs.join(rest, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    if found.groupBy(id_col).count().filter("count > 1").isEmpty():
+        return kept
+    text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return kept.withColumn("__text", text).dropDuplicates([id_col, "__text"]).drop("__text")

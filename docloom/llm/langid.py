@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import pieces
 
@@ -197,15 +198,26 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     return Model(sorted(sizes), counts)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score, spans (first word, end, language) of each whole text."""
+def tag(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with __lang, __score and __spans (first word, end, language) of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY and GRAMS
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "t", 12 << 20):
-            langs, scores, spans = shared.value.predict(b.column("t").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(langs), pa.array(scores), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())])))], ["i", "lang_pred", "score", "spans"])
+        for b in pieces(batches, text_col, 12 << 20):
+            langs, scores, spans = shared.value.predict(b.column(text_col).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, span)], [*b.schema.names, "__lang", "__score", "__spans"])
+
+    added = T.StructType().add("__lang", "string").add("__score", "double").add("__spans", T.ArrayType(T.StructType().add("start", "long").add("stop", "long").add("lang", "string")))
+    return docs.mapInArrow(run, T.StructType(docs.schema.fields + added.fields))
+
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, lang_pred, score, spans (first word, end, language) of each whole text."""
+    out = tag(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), model, "t")
+    return out.select(F.col("i").alias(id_col), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__spans").alias("spans"))
+
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"i {kind}, lang_pred string, score double, spans array<struct<start: long, stop: long, lang: string>>")
-    return out.withColumnRenamed("i", id_col)
+def identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The documents that have a language: `least` of their letters or more stand in words of it."""
+    return tag(docs, model, text_col).filter((F.col("__lang") != "und") & (F.col("__score") >= least)).select(*docs.columns)

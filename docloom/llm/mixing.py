@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialise
 
-BITS, LEVELS, HASH_BITS = 8, 3, 60
+BITS, LEVELS, HASH_BITS, SOURCES = 8, 3, 60, 50_000
 
 
 def size_of(text: Column) -> Column:
@@ -61,30 +61,52 @@ def _cut(level: DataFrame, per: DataFrame, step: int) -> DataFrame:
     return per.select("__key", "source_size", "target", "__full", (F.col("__from") + F.coalesce("__edge", F.lit(0)) * (1 << (HASH_BITS - BITS * (step + 1)))).alias("__from"), (F.col("__budget") - F.coalesce("__used", F.lit(0))).alias("__budget"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """One row for each document: id, size, source_size, target, repeats (0 to `most`), taken = repeats * size."""
-    # 'n' sorts before 'v': a null source gets a key after every other one.
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    # A null source gets a key after every other one.
     key = F.when(F.col(source_col).isNull(), F.lit("w")).otherwise(F.concat(F.lit("v"), F.col(source_col)))
     h = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
-    sizes = materialise(docs.select(F.col(id_col).alias("__id"), key.alias("__key"), size_of(F.col(text_col)).alias("size"), h.alias("__h")), "mix-sizes")
+    return [key.alias("__key"), size_of(F.col(text_col)).alias("size"), h.alias("__h")]
+
+
+def cuts(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """__key, source_size, target, __full, __from by source of sizes(__key, size, __h): documents are taken __full times,
+    those whose hash is below __from once more."""
     per = source_targets(sizes, weights, most)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     per = per.withColumn("__full", full).withColumns({"__from": F.lit(0).cast("long"), "__budget": F.col("target") - F.col("__full") * F.col("source_size")})
-    level = sizes.filter(F.col("size") > 0)
+    some = sizes.filter(F.col("size") > 0)
+    level = some
     for step in range(LEVELS):
         per = materialise(_cut(level, per, step), f"mix-cut{step}")
         width = 1 << (HASH_BITS - BITS * (step + 1))
-        level = sizes.filter(F.col("size") > 0).join(per.select("__key", "__from"), "__key").filter((F.col("__h") >= F.col("__from")) & (F.col("__h") < F.col("__from") + width)).drop("__from")
+        level = some.join(_sent(per.select("__key", "__from")), "__key").filter((F.col("__h") >= F.col("__from")) & (F.col("__h") < F.col("__from") + width)).drop("__from")
     # The last bucket, mostly one document, is taken if that comes nearer to the target than leaving it.
     last = level.groupBy("__key").agg(F.sum("size").alias("__last"))
     per = per.join(last, "__key", "left").withColumn("__from", F.col("__from") + F.when(2 * F.col("__budget") >= F.col("__last"), F.lit(width)).otherwise(F.lit(0)))
-    repeats = F.when(F.col("size") > 0, F.col("__full") + (F.col("__h") < F.col("__from")).cast("long")).otherwise(F.least(F.col("__full") + (F.col("__h") < F.col("__from")).cast("long"), F.lit(1)))
-    out = sizes.join(per.drop("__budget", "__last"), "__key").withColumn("repeats", repeats)
+    return materialise(per.drop("__budget", "__last"), "mix-cuts")
+
+
+def _sent(per: DataFrame) -> DataFrame:
+    """per, to every executor if it has few sources; else the join shuffles, and AQE splits a hot source."""
+    return F.broadcast(per) if per.count() <= SOURCES else per
+
+
+def _repeats() -> Column:
+    """How often a document is taken; one without words at most once."""
+    n = F.col("__full") + (F.col("__h") < F.col("__from")).cast("long")
+    return F.when(F.col("size") > 0, n).otherwise(F.least(n, F.lit(1)))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """One row for each document: id, size, source_size, target, repeats (0 to `most`), taken = repeats * size."""
+    sizes = materialise(docs.select(F.col(id_col).alias("__id"), *_keyed(docs, id_col, text_col, source_col)), "mix-sizes")
+    out = sizes.join(_sent(cuts(sizes, weights, most)), "__key").withColumn("repeats", _repeats())
     return out.select(F.col("__id").alias(id_col), "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **how: object) -> DataFrame:
-    """The documents as the mix takes them: none, once or up to `most` times each. Documents with equal ids share one decision."""
-    taken = mix(docs, id_col=id_col, **how).groupBy(id_col).agg(F.max("repeats").alias("__repeats")).withColumnRenamed(id_col, "__id")
-    kept = docs.join(taken.filter("__repeats > 0"), docs[id_col].eqNullSafe(F.col("__id")))
-    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__repeats").cast("int")))).select(*[docs[c] for c in docs.columns])
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """The documents as the mix takes them: none, once or up to `most` times each. Their texts aren't shuffled."""
+    keyed = _keyed(docs, id_col, text_col, source_col)
+    sizes = materialise(docs.select(*keyed), "mix-sizes")
+    taken = docs.select("*", *keyed).join(_sent(cuts(sizes, weights, most)), "__key").withColumn("__n", _repeats()).filter("__n > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*[docs[c] for c in docs.columns])

@@ -347,3 +347,20 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     kind = docs.schema[id_col].dataType.simpleString()
     out = with_spans(docs, text_col, length).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col("__spans").alias("s"))
     return out.mapInArrow(run, f"i {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string").withColumnRenamed("i", id_col)
+
+
+def without_repeats(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", length: int = 400) -> DataFrame:
+    """docs with what is left of each text (characters of which a byte goes, go) and, in chars_col, its code points."""
+    marked = with_spans(docs, text_col, length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, text_col):
+            texts = [t if not s else kept_of(t.encode(), s)[0].decode(errors="ignore") for t, s in zip(b.column(text_col).to_pylist(), b.column("__spans").to_pylist(), strict=True)]
+            columns = dict(zip(b.schema.names, b.columns, strict=True))
+            columns.pop("__spans")
+            columns[text_col] = pa.array(texts, pa.string())
+            if chars_col in columns:
+                columns[chars_col] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(columns[chars_col].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return marked.mapInArrow(run, docs.schema)
