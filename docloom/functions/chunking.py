@@ -421,10 +421,9 @@ def _row(c: Chunk) -> dict:
     return {"content": c.text, "heading_path": c.path, "section_anchor": c.anchor, "source_title": c.title} | {f.name: getattr(c, f.name) for f in CHUNK.fields[4:]}
 
 
-@F.pandas_udf(T.ArrayType(CHUNK))
 def _chunks(text: pd.Series, source: pd.Series) -> pd.Series:
     return pd.Series([[_row(c) for c in chunks(t or "", s or "")] for t, s in zip(text, source, strict=True)])
 
 
 def chunk_column(text: Column, source: Column) -> Column:
-    return _chunks(text, source)
+    return F.pandas_udf(_chunks, T.ArrayType(CHUNK))(text, source)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .chunking import lines_of
 
@@ -30,10 +31,9 @@ def compact(text: str) -> str:
     return "\n".join(out).strip()
 
 
-@F.pandas_udf("string")
 def _compact(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else compact(t))
 
 
 def compact_column(text: Column) -> Column:
-    return _compact(text)
+    return F.pandas_udf(_compact, T.StringType())(text)

@@ -14,6 +14,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FORMATTING = frozenset("a b big code em font i s small strike strong tt u".split())
@@ -363,19 +364,17 @@ def links_of(html: str, base: str) -> list[str]:
     return list(out)
 
 
-@F.pandas_udf("string")
 def _markdown(html: pd.Series) -> pd.Series:
     return html.map(lambda h: None if h is None else html_to_markdown(h))
 
 
-@F.pandas_udf("array<string>")
 def _links(html: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([None if h is None else links_of(h, b or "") for h, b in zip(html, base, strict=True)])
 
 
 def page_to_markdown(html: Column) -> Column:
-    return _markdown(html)
+    return F.pandas_udf(_markdown, T.StringType())(html)
 
 
 def page_links(html: Column, base: Column) -> Column:
-    return _links(html, base)
+    return F.pandas_udf(_links, T.ArrayType(T.StringType()))(html, base)
