@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 from .common import BYTE_LOWER, materialise, pieces, text_bytes
 from .components import components
 
-BLOCK, BROADCAST_ROWS = 20_000, 1_000_000
+BLOCK, BROADCAST_ROWS, FIRST = 20_000, 1_000_000, 3
 _R = np.random.default_rng(20240229)
 LOWER = np.frombuffer(BYTE_LOWER, np.uint8)
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -131,44 +131,64 @@ class Sketches:
         return out
 
 
-def walk(sketch: Sketches, members: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join members into the components of `near`."""
+def walk(sketch: Sketches, label: np.ndarray, members: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join members into the components of `near`; members of one label are joined already."""
     edges = []
     rest = members
     while len(rest) > 1:
         todo, rest = [rest[0]], rest[1:]
         while todo and len(rest):
             hub = todo.pop()
-            hit = sketch.near(np.full(len(rest), hub), rest)
-            edges += [(hub, int(x)) for x in rest[hit]]
+            hit = label[rest] == label[hub]
+            other = np.flatnonzero(~hit)
+            near = other[sketch.near(np.full(len(other), hub), rest[other])]
+            edges += [(hub, int(x)) for x in rest[near]]
+            hit[near] = True
             todo += rest[hit].tolist()
             rest = rest[~hit]
     return edges
 
 
 def candidate_edges(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """a, b of rows(key, row, size, bits), which come in order of key."""
+    """a, b of rows(key, row, size, bits, label), which come in order of key: near rows of different labels."""
     held: pa.Table | None = None
 
     def work(t: pa.Table) -> pa.RecordBatch:
-        key, row, size = (t.column(c).to_numpy() for c in ("key", "row", "size"))
+        key, row, size, label = (t.column(c).to_numpy() for c in ("key", "row", "size", "label"))
         ids, first, of = np.unique(row, return_index=True, return_inverse=True)
-        bits = t.column("bits").take(pa.array(first)).to_pylist()
-        sketch = Sketches(size[first], bits, percent)
+        label = label[first]
+        sketch = Sketches(size[first], t.column("bits").take(pa.array(first)).to_pylist(), percent)
         cut = np.flatnonzero(np.diff(key)) + 1
         begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
-        a, b = [], []
-        for k in range(2, 9):  # small groups: all pairs, all groups of a size at once
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(2, 9):  # small groups: all groups of a size at once
             at = begin[end - begin == k]
             for i in range(k):
                 for j in range(i + 1, k):
                     a.append(of[at + i])
                     b.append(of[at + j])
-        pairs = np.unique(np.stack([np.minimum(np.concatenate(a), np.concatenate(b)), np.maximum(np.concatenate(a), np.concatenate(b))], 1), axis=0) if a else np.zeros((0, 2), np.int64)
+        a, b = np.concatenate(a), np.concatenate(b)
+        new = label[a] != label[b]
+        pairs = np.unique(np.stack([np.minimum(a, b)[new], np.maximum(a, b)[new]], 1), axis=0)
         pairs = pairs[sketch.near(pairs[:, 0], pairs[:, 1])]
-        more = {tuple(sorted(e)) for s, e_ in zip(begin, end, strict=True) if e_ - s > 8 for e in walk(sketch, np.unique(of[s:e_]))}
-        pairs = np.unique(np.concatenate([pairs, np.array(sorted(more), np.int64).reshape(-1, 2)]), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], ["a", "b"])
+        more = {tuple(sorted(e)) for s, z in zip(begin, end, strict=True) if z - s > 8 for e in walk(sketch, label, np.unique(of[s:z]))}
+        # A forest joins the same rows with fewer edges.
+        parent = list(range(len(ids)))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        kept = []
+        for x, y in [*pairs.tolist(), *sorted(more)]:
+            x, y = root(x), root(y)
+            if x != y:
+                parent[y] = x
+                kept.append((x, y))
+        kept = np.array(kept, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(ids[kept[:, 0]]), pa.array(ids[kept[:, 1]])], ["a", "b"])
 
     for batch in batches:
         t = pa.Table.from_batches([batch])
@@ -317,13 +337,25 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
         rows = rows.withColumns({"k": k, "own": own}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
         return rows.withColumn("key", F.xxhash64(*by, F.least("own", "other"), F.greatest("own", "other"))).drop("k", "own", "other", "n")
 
-    shared = sk.filter("prefix is not null").select("row", F.explode("prefix").alias("token"))
-    shared = shared.withColumn("n", F.count("*").over(Window.partitionBy("token"))).filter("n > 1")
-    rows = dealt(shared, ["token"]).drop("token").join(sk.select("row", "size", "bits"), "row")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("key", "row", "size", "bits").repartition(parts, "key").sortWithinPartitions("key")
-    edges = rows.mapInArrow(lambda it: candidate_edges(it, percent), "a long, b long").distinct()
-    clusters = materialise(components(edges), "jaccard-clusters")
+    sought = sk.filter("prefix is not null")
+    bits = sought.select("row", "size", "bits")
+
+    def sharers(tokens: DataFrame) -> DataFrame:
+        """Candidate edges among the rows of tokens(row, label, token) that share an element and aren't joined already."""
+        of = Window.partitionBy("token")
+        shared = tokens.withColumns({"n": F.count("*").over(of), "least": F.min("label").over(of), "most": F.max("label").over(of)}).filter("least < most")
+        rows = dealt(shared.drop("least", "most"), ["token"]).drop("token").join(bits, "row")
+        rows = rows.select("key", "row", "size", "bits", "label").repartition(parts, "key").sortWithinPartitions("key")
+        return rows.mapInArrow(lambda it: candidate_edges(it, percent), "a long, b long")
+
+    # Copies with few changes mostly share one of their first elements. What these join needs no edge from the others.
+    first = sought.select("row", F.col("row").alias("label"), F.explode(F.slice("prefix", 1, FIRST)).alias("token"))
+    early = materialise(sharers(first).distinct(), "jaccard-early")
+    found = materialise(components(early).select(F.col("node").alias("__node"), "root"), "jaccard-early-roots")
+    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    labelled = sought.join(found, F.col("row") == F.col("__node"), "left").select("row", F.coalesce("root", "row").alias("label"), F.explode("prefix").alias("token"))
+    clusters = materialise(components(early.unionByName(sharers(labelled))), "jaccard-clusters")
 
     # The texts of candidates only. Their ids go to every executor if they are few, else both sides are shuffled.
     ids = materialise(sk.select("i", "row").join(clusters, F.col("row") == F.col("node")).select(F.col("i").alias("__id"), F.col("row").alias("__row"), F.col("root").alias("__root")), "jaccard-candidates")
