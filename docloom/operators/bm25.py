@@ -38,6 +38,10 @@ def tf_norm(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
+def occurrences(words: Column, term: str) -> Column:
+    return F.size(F.filter(words, lambda x: x == term))
+
+
 def scores(docs: DataFrame, query: str, fields: dict[str, str], boosts: dict[str, float] | None = None) -> DataFrame:
     """docs with `score` where a term occurs. fields: field name to column; statistics are those of docs."""
     boosts = boosts or BOOSTS
@@ -48,7 +52,7 @@ def scores(docs: DataFrame, query: str, fields: dict[str, str], boosts: dict[str
     for f, c in fields.items():
         counted = counted.withColumn(f"__t_{f}", tokens(F.coalesce(F.col(c), F.lit(""))))
         counted = counted.withColumn(f"__n_{f}", F.size(f"__t_{f}"))
-        counted = counted.withColumn(f"__f_{f}", F.array(*[F.size(F.filter(f"__t_{f}", lambda x, t=t: x == t)) for t in terms])).drop(f"__t_{f}")
+        counted = counted.withColumn(f"__f_{f}", F.array(*[occurrences(F.col(f"__t_{f}"), t) for t in terms])).drop(f"__t_{f}")
     wanted = [F.count("*").alias("n")]
     for f in fields:
         wanted += [F.avg(f"__n_{f}").alias(f"m_{f}")] + [F.count_if(F.col(f"__f_{f}")[i] > 0).alias(f"d_{f}_{i}") for i in range(len(terms))]
