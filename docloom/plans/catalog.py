@@ -122,9 +122,9 @@ def corpus_stats(spark, d):
     return bm25.term_stats(bm25.postings(documents(spark, d), {"content": "content"}))
 
 
-DENSE = f"""q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = {TARGET}),
+DENSE = f"""qv AS (SELECT embedding AS q FROM embeddings WHERE vec_id = {TARGET}),
 v AS (SELECT vec_id AS id, lang AS version_bucket, list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[])) AS score
-      FROM embeddings LEFT JOIN documents ON doc_id = vec_id, q)"""
+      FROM embeddings LEFT JOIN documents ON doc_id = vec_id, qv)"""
 
 
 def dense_sql(n: int, where: str = "TRUE") -> str:
@@ -187,8 +187,8 @@ def rerank_parse(spark, d):
     return rerank.parse_scores(answers, by=("conv_id",))
 
 
-@query(f"""WITH {bm25_sql(TERMS, 30)}, s AS (SELECT *, CASE WHEN id % 3 = 0 THEN id % 17 / 17.0::DOUBLE END AS rerank_score FROM bm)
-SELECT id, rank, round(rerank_score, 6) AS rerank_score, row_number() OVER (ORDER BY rerank_score DESC NULLS LAST, rank)::INTEGER AS final_rank FROM s""")
+@query(f"""WITH {bm25_sql(TERMS, 30)}, rs AS (SELECT *, CASE WHEN id % 3 = 0 THEN id % 17 / 17.0::DOUBLE END AS rerank_score FROM bm)
+SELECT id, rank, round(rerank_score, 6) AS rerank_score, row_number() OVER (ORDER BY rerank_score DESC NULLS LAST, rank)::INTEGER AS final_rank FROM rs""")
 def rerank_order(spark, d):
     rows = bm25_top(spark, d, TERMS, 30).select("id", "rank")
     scores = rows.filter("id % 3 = 0").select((F.col("rank") - 1).alias("idx"), (F.col("id") % 17 / 17.0).alias("rerank_score"))
