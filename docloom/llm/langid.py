@@ -145,9 +145,11 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[list[dict]]]:
         """(language, score, spans) of each text; score is the share of letters in words of that language."""
+        if not self.langs:
+            return ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
         if len(self.known) > CACHE:
             self.known.clear()
-        docs = [self.ids(t) if t and self.langs else np.zeros(0, np.int64) for t in texts]
+        docs = [self.ids(t) if t else np.zeros(0, np.int64) for t in texts]
         langs, scores, spans = [], [], []
         for d, label in zip(docs, self.viterbi(docs), strict=True):
             w = self.letters[d]

@@ -91,22 +91,22 @@ def _sent(per: DataFrame) -> DataFrame:
     return F.broadcast(per) if per.count() <= SOURCES else per
 
 
-def _repeats() -> Column:
+def _repeats(size: Column) -> Column:
     """How often a document is taken; one without words at most once."""
     n = F.col("__full") + (F.col("__h") < F.col("__from")).cast("long")
-    return F.when(F.col("size") > 0, n).otherwise(F.least(n, F.lit(1)))
+    return F.when(size > 0, n).otherwise(F.least(n, F.lit(1)))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
     """One row for each document: id, size, source_size, target, repeats (0 to `most`), taken = repeats * size."""
     sizes = materialise(docs.select(F.col(id_col).alias("__id"), *_keyed(docs, id_col, text_col, source_col)), "mix-sizes")
-    out = sizes.join(_sent(cuts(sizes, weights, most)), "__key").withColumn("repeats", _repeats())
+    out = sizes.join(_sent(cuts(sizes, weights, most)), "__key").withColumn("repeats", _repeats(F.col("size")))
     return out.select(F.col("__id").alias(id_col), "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The documents as the mix takes them: none, once or up to `most` times each. Their texts aren't shuffled."""
-    keyed = _keyed(docs, id_col, text_col, source_col)
-    sizes = materialise(docs.select(*keyed), "mix-sizes")
-    taken = docs.select("*", *keyed).join(_sent(cuts(sizes, weights, most)), "__key").withColumn("__n", _repeats()).filter("__n > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*[docs[c] for c in docs.columns])
+    key, size, h = _keyed(docs, id_col, text_col, source_col)
+    per = cuts(materialise(docs.select(key, size, h), "mix-sizes"), weights, most).select("__key", "__full", "__from")
+    taken = docs.select("*", key, size.alias("__size"), h).join(_sent(per), "__key").withColumn("__n", _repeats(F.col("__size"))).filter("__n > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*docs.columns)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, pieces, text_bytes
 
-GRAM, PARTS, BLOCK, BROADCAST_ROWS = 16, 3, 5_000, 200_000
+GRAM, PARTS, BLOCK, BROADCAST_ENTRIES = 16, 3, 5_000, 500_000
 _R = np.random.default_rng(19920229)
 CODE = _R.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
@@ -181,6 +181,12 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(t.alias("t"), F.xxhash64(t, F.lit(1)).alias("x"), F.xxhash64(t, F.lit(2)).alias("y"))
 
 
+def _sent(rows: DataFrame, lists: str) -> DataFrame:
+    """rows, to every executor if their lists have few entries in all; else the join shuffles."""
+    entries = rows.agg(F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()[0]
+    return F.broadcast(rows) if entries <= BROADCAST_ENTRIES else rows
+
+
 def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -> DataFrame:
     """x, y (the hashes of _texts), spans: the runs of repeated bytes of each text that has any, as start << 32 | end."""
     step = -(-(length - GRAM + 1) // PARTS)
@@ -215,7 +221,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -
     rest = repeats.filter("kinds > 1").select("one.x", "one.y", F.struct(F.col("one.place").alias("place"), "core", (F.col("kinds") > BLOCK).alias("big"), F.col("n")).alias("r"))
     rest = materialise(rest.groupBy("x", "y").agg(F.collect_list("r").alias("r")), "suffix-rest")
     rest = rest.withColumnsRenamed({"x": "__x", "y": "__y"})
-    some = F.broadcast(rest) if rest.count() <= BROADCAST_ROWS else rest
+    some = _sent(rest, "r")
     joined = _texts(docs, text_col).join(some, (F.col("x") == F.col("__x")) & (F.col("y") == F.col("__y"))).select("x", "y", "t", "r")
     kind = "x long, y long, place long, n long, big boolean, core long, lead long, before binary, after binary"
 
@@ -313,7 +319,7 @@ def powers(n: int) -> np.ndarray:
 def with_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -> DataFrame:
     """docs with __spans, null where nothing repeats."""
     found = materialise(repeated_spans(docs, text_col, length), "suffix-spans").withColumnsRenamed({"x": "__x", "y": "__y", "spans": "__spans"})
-    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    found = _sent(found, "__spans")
     t = F.coalesce(F.col(text_col), F.lit(""))
     return docs.join(found, (F.xxhash64(t, F.lit(1)) == F.col("__x")) & (F.xxhash64(t, F.lit(2)) == F.col("__y")), "left").drop("__x", "__y")
 
