@@ -6,8 +6,11 @@ exploded or shuffled but one row of statistics, and the best rows are picked by
 
 from __future__ import annotations
 
+import hashlib
 import re
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -112,3 +115,36 @@ def postings(docs: DataFrame, fields: dict[str, str], id_col: str = "id") -> Dat
 def term_stats(index: DataFrame) -> DataFrame:
     """field, term, df, occurrences."""
     return index.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+
+
+def snapshot(docs: DataFrame, fields: dict[str, str], id_col: str = "id") -> str:
+    """A key of what is to be indexed: it changes with any row or field."""
+    n, h = docs.agg(F.count("*"), F.expr(f"bit_xor(xxhash64({', '.join([id_col, *fields.values()])}))")).first()
+    return hashlib.sha1(f"{n}|{h}|{sorted(fields.items())}".encode()).hexdigest()
+
+
+def index(docs: DataFrame, fields: dict[str, str], path: str, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(postings, statistics by field) below path; built only where this snapshot isn't there yet.
+
+    Each snapshot has a folder of its own and Spark's marker of success, so readers never see half an index.
+    """
+    spark, base = docs.sparkSession, f"{path}/{snapshot(docs, fields, id_col)}"
+    try:
+        return spark.read.parquet(f"{base}/postings"), spark.read.parquet(f"{base}/fields")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    postings(docs, fields, id_col).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{base}/postings")
+    sizes = [docs.agg(F.lit(f).alias("field"), F.count("*").cast("double").alias("n"), F.avg(F.size(tokens(F.coalesce(F.col(c), F.lit(""))))).alias("mean")) for f, c in fields.items()]
+    reduce(DataFrame.unionByName, sizes).write.mode("overwrite").parquet(f"{base}/fields")
+    return spark.read.parquet(f"{base}/postings"), spark.read.parquet(f"{base}/fields")
+
+
+def scan(found: DataFrame, stats: DataFrame, query: str, boosts: dict[str, float] | None = None) -> DataFrame:
+    """id, score by an index: only the query's terms are read, and only their postings are shuffled."""
+    boosts = boosts or BOOSTS
+    rows = found.filter(F.col("term").isin(query_terms(query)))
+    df = rows.groupBy("field", "term").agg(F.count("*").cast("double").alias("df"))
+    rows = rows.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(stats), "field")  # a row for each term and field
+    boost = F.coalesce(*[F.when(F.col("field") == f, b) for f, b in boosts.items()], F.lit(1.0))
+    return rows.groupBy("id").agg(F.sum(boost * idf(F.col("n"), F.col("df")) * tf_norm(F.col("tf"), F.col("length"), F.col("mean"))).alias("score"))

@@ -105,6 +105,13 @@ def bm25_version_filter(spark, d):
     return bm25_top(spark, d, TERMS, 20, version=VERSION).select("id", r6("score"), "rank")
 
 
+@query(f"WITH {bm25_sql(TERMS, 20)} SELECT id, round(score, 6) AS score, rank FROM bm")
+def bm25_index_scan(spark, d):
+    folder = crawl.shared_folder(spark)
+    found, stats = bm25.index(documents(spark, d), {"content": "content"}, f"{folder}/docloom-index")
+    return bm25.ranked(steady(bm25.scan(found, stats, TERMS)), 20).select("id", r6("score"), "rank")
+
+
 @query(f"""WITH {bm25_sql('how to install the ing', 50)},
 a AS (SELECT id, score * CASE WHEN id % 3 = 0 THEN 0.15 WHEN id % 3 = 1 THEN 0.75 ELSE 1.15 END AS score, rank AS old FROM bm)
 SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, old)::INTEGER AS rank FROM a""")

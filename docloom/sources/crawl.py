@@ -9,7 +9,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,15 +21,19 @@ from docloom.functions.html_md import page_links
 DEPTH = 10
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='docloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/docloom-crawl-{uuid.uuid4().hex}"
+    return base
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    path = f"{shared_folder(df.sparkSession)}/docloom-crawl-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -84,3 +90,39 @@ def versions(pages: DataFrame, target: str) -> DataFrame:
     path = F.when(F.startswith("v", F.lit("/")), urls.normalize_path(F.col("v"))).when(urls.host(F.col("v")) == target, urls.path(F.col("v")))
     found = pages.select(F.explode(named).alias("version")).unionByName(linked.select(urls.version_of(path).alias("version")))
     return found.filter(urls.is_version(F.col("version"))).distinct().orderBy("version")
+
+
+@dataclass(frozen=True)
+class HttpClient:
+    """How pages are asked for."""
+
+    agent: str = "docloom/1.0"
+    accept: str = "text/html,application/xhtml+xml"
+    language: str = "ru,en;q=0.8"
+    timeout: float = 30.0
+    redirects: int = 10
+
+    def get(self, url: str) -> tuple[str | None, str | None]:
+        """(html, error), one of them null."""
+        from urllib.request import HTTPRedirectHandler, Request, build_opener
+
+        handler = HTTPRedirectHandler()
+        handler.max_redirections = self.redirects
+        asked = Request(url, headers={"User-Agent": self.agent, "Accept": self.accept, "Accept-Language": self.language})
+        try:
+            with build_opener(handler).open(asked, timeout=self.timeout) as got:
+                return got.read().decode(got.headers.get_content_charset() or "utf-8", "replace"), None
+        except Exception as e:  # a page that can't be had is a row, not the end of a crawl
+            return None, str(e)[:500]
+
+
+def http_fetcher(client: HttpClient | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A fetcher over the network, spread over the executors."""
+    client = client or HttpClient()
+
+    def fetch(batches):
+        for batch in batches:
+            got = [client.get(u) for u in batch["url"]]
+            yield pd.DataFrame({"url": batch["url"], "html": [h for h, _ in got], "error": [e for _, e in got]})
+
+    return lambda wanted: wanted.mapInPandas(fetch, "url string, html string, error string")

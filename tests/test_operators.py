@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.config import Settings
+from docloom.functions.register import register
 from docloom.operators import bm25, dense, fusion, quality, rerank
-from docloom.plans import search, stages
+from docloom.plans import search, stages, tool
 from docloom.sources import crawl, records, sinks
 from docloom.streaming.resume import embed_new
 
@@ -68,6 +69,10 @@ def test_search(spark):
     for mode in ("hybrid", "dense", "bm25"):
         rows, said = search.search(chunks, vectors, "install rpm", lambda q: model([q])[0].tolist(), Settings(retrieval_mode=mode, rerank=True, top_k=2), rerank.overlap_scorer)
         assert rows.first().id == "0" and said["confidence"] in ("medium", "high")
+    answer = tool.call({"query": "install rpm", "top_k": 1, "with_context": True}, chunks, vectors, lambda q: model([q])[0].tolist())
+    assert answer["context"][0]["text"] == texts[0]
+    with pytest.raises(ValueError, match="unknown inputs"):
+        tool.call({"query": "x", "limit": 1}, chunks, vectors, None)
     gone, said = search.search(chunks, None, "unknown words", settings=Settings(retrieval_mode="bm25", knowledge_threshold="high"))
     assert gone.count() == 0
 
@@ -131,3 +136,28 @@ def test_upsert(spark):
     old = spark.createDataFrame([(1, 1, "a"), (2, 2, "b")], "id long, seq long, v string")
     new = spark.createDataFrame([(1, 3, "c")], "id long, seq long, v string")
     assert sorted(r.v for r in sinks.upsert(old, new).collect()) == ["b", "c"]
+
+
+def test_index_is_built_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "b a a", "a"), (2, "a", ""), (3, None, "c"), (4, "c", "d")], "id long, content string, title string")
+    fields = {"content": "content", "title": "title"}
+    path = str(tmp_path / "index")
+    for _ in range(2):
+        found = bm25.scan(*bm25.index(docs, fields, path), "a c")
+    want = {r.id: r.score for r in bm25.scores(docs, "a c", fields).collect()}
+    assert {r.id: r.score for r in found.collect()} == pytest.approx(want)
+    assert len(list((tmp_path / "index").iterdir())) == 1
+    bm25.index(docs.limit(2), fields, path)
+    assert len(list((tmp_path / "index").iterdir())) == 2
+
+
+def test_registered_functions(spark):
+    register(spark)
+    assert spark.sql("select html_to_md('<p>x</p>') a, cosine(array(1f, 0f), array(1f, 0f)) c").first()[:] == ("x\n", 1.0)
+    assert spark.sql("select content from (select '# A\n\nx' t), lateral chunk_md(t, 's')").count() == 1
+
+
+def test_http_errors_are_rows(spark):
+    fetch = crawl.http_fetcher(crawl.HttpClient(timeout=1))
+    row = fetch(spark.createDataFrame([("http://127.0.0.1:9/x",)], "url string")).first()
+    assert row.html is None and row.error
