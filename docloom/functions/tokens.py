@@ -34,8 +34,13 @@ ACTIONS, CAPTURES = ("sign", "install", "build", "launch"), ("record", "screensh
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits shorter than MOST_BYTES bytes."""
-    return F.filter(F.split(F.lower(text), SPLIT), lambda t: (t != "") & (F.octet_length(t) < MOST_BYTES))
+    """Lower-case runs of letters and digits shorter than MOST_BYTES bytes.
+
+    Only texts with a run of so many characters that it might have MOST_BYTES bytes are filtered token by token.
+    """
+    parts = F.array_remove(F.split(F.lower(text), SPLIT), "")
+    may = text.rlike(rf"[\p{{IsAlphabetic}}\p{{N}}]{{{MOST_BYTES // 4}}}")
+    return F.when(may, F.filter(parts, lambda t: F.octet_length(t) < MOST_BYTES)).otherwise(parts)
 
 
 def concept(token: Column) -> Column:

@@ -42,7 +42,7 @@ def tf_norm(tf: Column, length: Column, mean: Column) -> Column:
 
 
 def occurrences(words: Column, term: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == term))
+    return F.size(words) - F.size(F.array_remove(words, term))
 
 
 def scores(docs: DataFrame, query: str, fields: dict[str, str], boosts: dict[str, float] | None = None) -> DataFrame:
