@@ -215,7 +215,14 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     trie = spark.sparkContext.broadcast(fit(gram_counts(learn, text_col)))  # bounded by NODES
     vocabulary = materialise(token_counts(learn, text_col), "ppm-tokens")
     total, kinds = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = vocabulary.orderBy(F.desc("c"), "w").limit(FREQUENT).toArrow()  # bounded by FREQUENT
+    size = F.floor(F.log2("c") * 8)
+    room, least = FREQUENT, 1 << 30
+    for r in vocabulary.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():  # at most 512 rows
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["size"]
+    frequent = vocabulary.filter(size >= least).toArrow()  # bounded by FREQUENT
     known = spark.sparkContext.broadcast(dict(zip(frequent.column("w").to_pylist(), frequent.column("c").to_pylist(), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
