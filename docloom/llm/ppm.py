@@ -9,9 +9,12 @@ context from which it is entered. So each node's terms are computed once and a t
 
 The adaptive form, `adaptive`, starts from an empty trie for each text and counts as it goes.
 
-Counts cover all training rows and are combined on the executors. The model that every worker gets is bounded: each
-order keeps its most frequent nodes, `NODES` at most, found from a histogram of counts, so its size doesn't grow with
-the corpus; up to that bound nothing is left out, and totals of contexts always count everything.
+Counts cover all training rows and are combined on the executors. The trie is a table of all its nodes and no node is
+left out, so it grows with the corpus. Every worker gets the log probabilities of the most frequent strings of
+ORDER + 1 bytes, `NODES` at most, found from a histogram of counts. What isn't among them, rare or new, is counted for
+each document and joined by key with its log probability, which is computed once for each different string from the
+whole trie: nodes with the same last bytes of context stand together, and what the orders below need of them is the
+table of strings of up to SHARED bytes.
 
 The base score needs the count of every token. Frequent tokens, `FREQUENT` at most, are looked up where the text is;
 the rest, few in number, are joined by token, summed for each document before they are sent back.
@@ -35,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, BYTE_LOWER, WORD, ascii_lower, materialise, pieces, text_bytes
 
 ORDER, NODES, FREQUENT = 5, 2_000_000, 150_000
+#: Orders whose nodes go to every worker (strings of up to so many bytes), and the rows for which one piece of the trie is built.
+SHARED, PIECE = 3, 500_000
 LOWER = np.frombuffer(BYTE_LOWER, np.uint8)
 WORDS = re.compile(WORD)
 END = "\n"  # stands for the end of a text: it can't occur within a word
@@ -82,39 +87,73 @@ def gram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 class Trie:
     """The nodes of each order: sorted keys, the log probability of a byte seen there, and the terms of escapes."""
 
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]], totals: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """tables[j]: keys of j + 1 bytes and counts; totals[j]: contexts of j bytes, the sum and the number of bytes seen there."""
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
+        """tables[j]: sorted keys of j + 1 bytes and counts. Each context has all its bytes, and its suffixes are there."""
         self.keys, self.own, self.count, self.ctx, self.escape, self.down, self.left = [], [], [], [], [], [], []
         eight = np.uint64(8)
-        for j, ((keys, n), (ctx, total, kinds)) in enumerate(zip(tables, totals, strict=True)):
+        below: tuple[np.ndarray, ...] = ()
+        for j, (keys, n) in enumerate(tables):
+            ctx, first, kinds = np.unique(keys >> eight, return_index=True, return_counts=True)
+            total = np.add.reduceat(n, first) if len(first) else np.zeros(0)
             at = np.searchsorted(ctx, keys >> eight)
             self.keys.append(keys)
             self.count.append(np.log10(n))
-            self.own.append((np.log10(n) - np.log10(total[at] + kinds[at])).astype(np.float32))
+            self.own.append(np.log10(n) - np.log10(total[at] + kinds[at]))
             self.ctx.append(ctx)
             # The first escape from a context, and what is left of its suffix's total once its bytes are excluded.
             self.escape.append(np.log10(kinds) - np.log10(total + kinds))
             if j:
-                mask = np.uint64((1 << 8 * j) - 1)
+                low_ctx, low_total, low_kinds = below
                 low, low_n = tables[j - 1]
-                there = np.searchsorted(low, keys & mask)
-                there[there == len(low)] = 0
-                same = low[there] == keys & mask
-                taken = np.bincount(at, np.where(same, low_n[there], 0), len(ctx))
-                seen = np.bincount(at, same, len(ctx))
-                below = np.searchsorted(totals[j - 1][0], ctx & np.uint64((1 << 8 * (j - 1)) - 1))
-                new = np.maximum(totals[j - 1][2][below] - seen, 0)
-                rest = np.maximum(totals[j - 1][1][below] - taken, 0) + new
+                taken = np.bincount(at, low_n[np.searchsorted(low, keys & np.uint64((1 << 8 * j) - 1))], len(ctx))
+                suffix = np.searchsorted(low_ctx, ctx & np.uint64((1 << 8 * (j - 1)) - 1))
+                new = low_kinds[suffix] - kinds
+                rest = low_total[suffix] - taken + new
                 self.left.append(np.log10(np.maximum(rest, 1)))
                 self.down.append(np.where(new > 0, np.log10(np.maximum(new, 1)) - np.log10(np.maximum(rest, 1)), 0.0))
             else:
                 self.left.append(np.log10(np.maximum(256 - kinds, 1)))
                 self.down.append(np.zeros(len(ctx)))
-        self._hash()
+            below = ctx, total, kinds
 
-    def _hash(self) -> None:
-        """Open addressing for the longest strings, which most bytes need and nothing else."""
-        keys = self.keys[-1] if self.keys else np.zeros(0, np.uint64)
+    def bytes_log10(self, keys: np.ndarray) -> np.ndarray:
+        """log10 of each byte's probability, given keys of windows()."""
+        if not self.keys or not len(self.keys[0]):
+            return np.full(len(keys), -math.log10(256))
+        out = np.zeros(len(keys))
+        todo, k = np.arange(len(keys)), keys
+        entered = np.full(len(todo), -1)  # the longer context from which a byte escaped, if any
+        for j in range(len(self.keys) - 1, -1, -1):
+            if not len(todo):
+                return out
+            if not len(self.keys[j]):
+                continue
+            mine = k & np.uint64((1 << 8 * (j + 1)) - 1)
+            place = np.minimum(np.searchsorted(self.keys[j], mine), len(self.keys[j]) - 1)
+            hit = self.keys[j][place] == mine
+            first = entered < 0
+            now, later = hit & first, hit & ~first
+            out[todo[now]] += self.own[j][place[now]]
+            if later.any():
+                out[todo[later]] += self.count[j][place[later]] - self.left[j + 1][entered[later]]
+            context = mine >> np.uint64(8)
+            c = np.minimum(np.searchsorted(self.ctx[j], context), len(self.ctx[j]) - 1)
+            known = (self.ctx[j][c] == context) & ~hit
+            now, later = known & first, known & ~first
+            out[todo[now]] += self.escape[j][c[now]]
+            if later.any():
+                out[todo[later]] += self.down[j + 1][entered[later]]
+            entered = np.where(known, c, -1)[~hit]
+            todo, k = todo[~hit], k[~hit]
+        out[todo] -= self.left[0][0]
+        return out
+
+
+class Frequent:
+    """Strings of ORDER + 1 bytes and the log probability of the last byte, by open addressing."""
+
+    def __init__(self, keys: np.ndarray, own: np.ndarray):
+        self.keys, self.own = keys, own
         bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2.5))))
         self.shift = np.uint64(64 - bits)
         self.slots = np.full(1 << bits, -1, np.int32)
@@ -129,77 +168,100 @@ class Trie:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key among the longest strings, -1 where there is none."""
+        """The place of each key, -1 where there is none."""
         slot = self.spread(keys)
         out = self.slots[slot]
         todo = np.flatnonzero(out >= 0)
-        todo = todo[self.keys[-1][out[todo]] != keys[todo]]
+        todo = todo[self.keys[out[todo]] != keys[todo]]
         while len(todo):
             slot[todo] = (slot[todo] + 1) & (len(self.slots) - 1)
             out[todo] = self.slots[slot[todo]]
             todo = todo[out[todo] >= 0]
-            todo = todo[self.keys[-1][out[todo]] != keys[todo]]
-        return out
-
-    def bytes_log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 of each byte's probability, given keys of windows()."""
-        if not self.keys or not len(self.keys[0]):
-            return np.full(len(keys), -math.log10(256))
-        out = np.zeros(len(keys))
-        at = self.find(keys)
-        out[at >= 0] = self.own[-1][at[at >= 0]]
-        todo, k = np.flatnonzero(at < 0), keys[at < 0]
-        entered = np.full(len(todo), -1)  # the longer context from which a byte escaped, if any
-        for j in range(len(self.keys) - 1, -1, -1):
-            if not len(todo):
-                return out
-            mine = k & np.uint64((1 << 8 * (j + 1)) - 1)
-            place = np.minimum(np.searchsorted(self.keys[j], mine), len(self.keys[j]) - 1)
-            hit = self.keys[j][place] == mine
-            first = entered < 0
-            p = place[hit]
-            if j + 1 < len(self.keys):
-                out[todo[hit]] += np.where(first[hit], self.own[j][p], self.count[j][p] - self.left[j + 1][entered[hit]])
-            else:
-                out[todo[hit]] += self.own[j][p]
-            context = mine >> np.uint64(8)
-            c = np.minimum(np.searchsorted(self.ctx[j], context), len(self.ctx[j]) - 1)
-            known = (self.ctx[j][c] == context) & ~hit
-            if j + 1 < len(self.keys):
-                out[todo[known]] += np.where(first[known], self.escape[j][c[known]], self.down[j + 1][entered[known]])
-            else:
-                out[todo[known]] += self.escape[j][c[known]]
-            entered = np.where(known, c, -1)[~hit]
-            todo, k = todo[~hit], k[~hit]
-        out[todo] -= self.left[0][0]
+            todo = todo[self.keys[out[todo]] != keys[todo]]
         return out
 
 
-def fit(grams: DataFrame, nodes: int = NODES) -> Trie:
-    """The trie of gram_counts() with at most `nodes` nodes an order."""
+def nodes(grams: DataFrame) -> DataFrame:
+    """j, key, n: all nodes of the trie of gram_counts(), strings of j + 1 bytes."""
     mask = F.element_at(F.array(*[F.lit((1 << 8 * (j + 1)) - 1) for j in range(ORDER + 1)]), F.col("j") + 1)
     each = grams.select(F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("j"), "key", "n")
-    each = materialise(each.groupBy("j", F.col("key").bitwiseAND(mask).alias("key")).agg(F.sum("n").alias("n")), "ppm-nodes")
-    shape = each.groupBy("j", F.floor(F.log2("n") * 4).alias("size")).agg(F.count("*").alias("nodes"))
-    least = dict.fromkeys(range(ORDER + 1), 0)
-    room = dict.fromkeys(range(ORDER + 1), nodes)
-    for r in sorted(shape.collect(), key=lambda r: -r["size"]):  # at most 256 rows an order
-        room[r["j"]] -= r["nodes"]
-        if room[r["j"]] < 0:
-            least[r["j"]] = max(least[r["j"]], r["size"] + 1)
-    fits = F.floor(F.log2("n") * 4) >= F.element_at(F.array(*[F.lit(least[j]) for j in range(ORDER + 1)]), F.col("j") + 1)
-    sums = each.groupBy("j", F.shiftright("key", 8).alias("ctx")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.max(fits).alias("kept")).filter("kept")
-    tables, totals = [], []
-    for j in range(ORDER + 1):
-        t = each.filter((F.col("j") == j) & fits).select("key", "n").toArrow()
-        key, n = t.column("key").to_numpy().astype(np.uint64), t.column("n").to_numpy()
-        order = np.argsort(key)
-        tables.append((key[order], n[order].astype(float)))
-        c = sums.filter(F.col("j") == j).select("ctx", "total", "kinds").toArrow()
-        ctx = c.column("ctx").to_numpy().astype(np.uint64)
-        order = np.argsort(ctx)
-        totals.append((ctx[order], c.column("total").to_numpy()[order].astype(float), c.column("kinds").to_numpy()[order].astype(float)))
-    return Trie(tables, totals)
+    return materialise(each.groupBy("j", F.col("key").bitwiseAND(mask).alias("key")).agg(F.sum("n").alias("n")), "ppm-nodes")
+
+
+def arrays(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The columns key and n in order of key."""
+    t = rows.select("key", "n").toArrow()
+    key, n = t.column("key").to_numpy().astype(np.uint64), t.column("n").to_numpy().astype(float)
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
+def most_frequent(each: DataFrame, most: int) -> Frequent:
+    """The most frequent strings of ORDER + 1 bytes among nodes(), `most` at most."""
+    top = each.filter(F.col("j") == ORDER)
+    size = F.floor(F.log2("n") * 4)
+    room, least = most, 1 << 30
+    for r in top.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():  # at most 256 rows
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["size"]
+    fits = size >= least
+    keys, n = arrays(top.filter(fits))
+    sums = top.groupBy(F.shiftright("key", 8).alias("key")).agg((F.sum("n") + F.count("*")).alias("n"), F.max(fits).alias("kept")).filter("kept")
+    ctx, all_of = arrays(sums)
+    return Frequent(keys, (np.log10(n) - np.log10(all_of[np.searchsorted(ctx, keys >> np.uint64(8))])).astype(np.float32))
+
+
+def rare(each: DataFrame, asked: DataFrame) -> DataFrame:
+    """key, log: log10 of the last byte's probability in the trie of nodes() for each row of asked(key)."""
+    spark = each.sparkSession
+    low = spark.sparkContext.broadcast([arrays(each.filter(F.col("j") == j)) for j in range(SHARED)])  # bounded by 256^SHARED
+    group = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * SHARED) - 1)).alias("g")
+    rows = each.filter(F.col("j") >= SHARED).select(group, "j", "key", "n").unionByName(asked.select(group, F.lit(-1).alias("j"), "key", F.lit(0).cast("long").alias("n")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(g: np.ndarray, j: np.ndarray, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            wanted = key[j < 0]
+            if not len(wanted):
+                return
+            here = np.isin(g, g[j < 0])
+            tables = list(low.value)
+            for o in range(SHARED, ORDER + 1):
+                at = np.flatnonzero(here & (j == o))
+                at = at[np.argsort(key[at])]
+                tables.append((key[at].astype(np.uint64), n[at].astype(float)))
+            logs = Trie(tables).bytes_log10(wanted.astype(np.uint64))
+            for a in range(0, len(wanted), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(wanted[a : a + 100_000]), pa.array(logs[a : a + 100_000])], ["key", "log"])
+
+        held: list[list[np.ndarray]] = []
+        size, most = 0, PIECE
+        for b in batches:
+            held.append([c.to_numpy() for c in b.columns])
+            size += b.num_rows
+            if size < most:
+                continue
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))  # the last group may go on
+            yield from done(*(x[:cut] for x in whole))
+            held, size = [[x[cut:] for x in whole]], size - cut
+            most = max(PIECE, 2 * size)
+        if held:
+            yield from done(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return rows.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(solve, "key long, log double")
+
+
+def missing(offsets: np.ndarray, at: np.ndarray, keys: np.ndarray) -> pa.Array:
+    """For each text the different keys at the places `at`, and how often each occurs."""
+    text = np.searchsorted(offsets, at, side="right") - 1
+    order = np.lexsort((keys[at], text))
+    text, key = text[order], keys[at][order]
+    new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (key[1:] != key[:-1])])) if len(at) else at
+    pairs = pa.StructArray.from_arrays([pa.array(key[new].astype(np.int64)), pa.array(np.diff(np.append(new, len(at))))], ["key", "m"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text[new], np.arange(len(offsets))).astype(np.int32)), pairs)
 
 
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -212,7 +274,9 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     """id, n_tokens, n_known, train_tokens, base_score, score of each whole text; the model learns where `train` holds."""
     spark = docs.sparkSession
     learn = docs.filter(train)
-    trie = spark.sparkContext.broadcast(fit(gram_counts(learn, text_col)))  # bounded by NODES
+    each = nodes(gram_counts(learn, text_col))
+    bare = each.isEmpty()
+    top = spark.sparkContext.broadcast(most_frequent(each, NODES))  # bounded by NODES
     vocabulary = materialise(token_counts(learn, text_col), "ppm-tokens")
     total, kinds = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     size = F.floor(F.log2("c") * 8)
@@ -226,12 +290,18 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     known = spark.sparkContext.broadcast(dict(zip(frequent.column("w").to_pylist(), frequent.column("c").to_pylist(), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, count = trie.value, known.value
+        model, count = top.value, known.value
         logs = {w: math.log10(c + 0.5) for w, c in count.items()}
         for b in pieces(batches, "t", 1 << 20):
             offsets, data = text_bytes(b.column("t"))
-            sums = np.concatenate([[0.0], np.cumsum(model.bytes_log10(windows(offsets, data)))]) if len(data) else np.zeros(1)
+            keys = windows(offsets, data)
+            place = model.find(keys)
+            lost = place < 0
+            each_log = np.full(len(keys), -math.log10(256) if bare else 0.0)
+            each_log[~lost] = model.own[place[~lost]]
+            sums = np.concatenate([[0.0], np.cumsum(each_log)])
             code = sums[offsets[1:]] - sums[offsets[:-1]]
+            missed = missing(offsets, np.zeros(0, np.int64) if bare else np.flatnonzero(lost), keys)
             n, base, rest, found = [], [], [], []
             for t in b.column("t").to_pylist():
                 words = tokens(t)
@@ -245,19 +315,21 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             flat = [p for r in rest for p in r]
             at = np.concatenate([[0], np.cumsum([len(r) for r in rest])]).astype(np.int32)
             pairs = pa.StructArray.from_arrays([pa.array([p[0] for p in flat], pa.string()), pa.array([p[1] for p in flat], pa.int64())], ["w", "n"])
-            yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(n, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(code, pa.float64()), pa.ListArray.from_arrays(pa.array(at), pairs)], ["i", "n_tokens", "found", "base", "score", "rest"])
+            yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(n, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(code, pa.float64()), pa.ListArray.from_arrays(pa.array(at), pairs), missed], ["i", "n_tokens", "found", "base", "score", "rest", "missed"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"i {kind}, n_tokens long, found long, base double, score double, rest array<struct<w: string, n: long>>")
+    out = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"i {kind}, n_tokens long, found long, base double, score double, rest array<struct<w: string, n: long>>, missed array<struct<key: long, m: long>>")
     # A row's number in its file stands for it: ids may repeat or be null.
     out = materialise(out.withColumn("row", F.monotonically_increasing_id()), "ppm-scores")
-    rare = out.select("row", F.inline("rest"))
-    rare = rare.join(vocabulary, "w").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("logs"))
-    some = out.drop("rest").join(rare, "row", "left")
+    others = out.select("row", F.inline("rest"))
+    others = others.join(vocabulary, "w").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("logs"))
+    missed = out.select("row", F.inline("missed"))
+    missed = missed.join(rare(each, missed.select("key").distinct()), "key").groupBy("row").agg(F.sum(F.col("m") * F.col("log")).alias("tail"))
+    some = out.drop("rest", "missed").join(others, "row", "left").join(missed, "row", "left")
     n_known = F.col("found") + F.coalesce("more", F.lit(0))
     unknown = F.col("n_tokens") - n_known
     base = F.col("base") + F.coalesce("logs", F.lit(0.0)) + unknown * math.log10(0.5) - F.col("n_tokens") * math.log10(total + 0.5 * (kinds + 1))
-    return some.select(F.col("i").alias(id_col), "n_tokens", n_known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return some.select(F.col("i").alias(id_col), "n_tokens", n_known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("tail", F.lit(0.0))).alias("score"))
 
 
 def tokens(text: str | None) -> list[str]:

@@ -98,6 +98,24 @@ def test_ppm_is_the_definition(docs, texts, monkeypatch):
         assert r.score == pytest.approx(total, rel=1e-4, abs=1e-6)
 
 
+def test_ppm_scores_with_all_nodes(docs, monkeypatch):
+    want = got(ppm.score(docs, crc_mod("doc_id", 5) != 1))
+    monkeypatch.setattr(ppm, "NODES", 40)
+    monkeypatch.setattr(ppm, "PIECE", 500)
+    rows = got(ppm.score(docs, crc_mod("doc_id", 5) != 1))
+    assert all(r.score == pytest.approx(want[i].score, rel=1e-5, abs=1e-6) for i, r in rows.items())
+
+
+def test_ppm_leaves_no_node_out(spark):
+    r = random.Random(6)
+    letters = "".join(map(chr, range(0x21, 0x7F)))
+    texts = ["".join(r.choices(letters, k=150_000)).lower() for _ in range(16)]
+    rows = got(ppm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), crc_mod("doc_id", 5) != 99))
+    # Nearly every string of six bytes occurs once, after five bytes that occur once: a probability of 1/2.
+    for i, t in enumerate(texts):
+        assert rows[i].score == pytest.approx(-len(t) * math.log10(2), rel=0.02)
+
+
 def test_ppm_edges(empty, docs):
     assert ppm.score(empty, crc_mod("doc_id", 5) != 1).collect() == []
     rows = ppm.score(docs.filter("doc_id < 3"), crc_mod("doc_id", 5) > 99).collect()
