@@ -5,8 +5,9 @@ since a document has so many different terms, at most (terms a document) / LOW c
 size is bounded whatever the corpus. It is arranged as a hash table in one array, which each task gets as a constant.
 A document's terms in the lexicon are made distinct and sorted, and for each of 64 random subsets of the lexicon
 (16 at each of four rates, so that short and long documents alike have subsets with a few of their terms) the sorted
-terms are hashed. The fingerprint lists the subsets that have a term, with their hashes; the likeness of two
-fingerprints is the share of common entries among all.
+terms are hashed. The 16 subsets of the first rate take every term; rates choose independently. The fingerprint lists
+the subsets that have a term, with their hashes; the likeness of two fingerprints is the share of common entries among
+all.
 
 The next document is found without a global window: ids are dealt into ranges by their quantiles, each range finds its
 own neighbours, and the first row of each range is passed to the range before.
@@ -27,11 +28,10 @@ from pyspark.sql.window import Window
 from .common import materialise
 
 LOW, HIGH = 0.001, 0.2
-#: How many of 1024 hash values have a subset at each rate; a rate has 16 subsets. Terms with other values have none.
-RATES = (256, 96, 32, 8)
-#: The subset of a term by ten bits of its hash.
-SUBSETS = [f"{16 * rate + k % 16:02d}:" for rate, n in enumerate(RATES) for k in range(n)]
-SUBSETS += ["-"] * (1024 - len(SUBSETS))
+#: Into how many cells each rate deals all terms; its subsets are the first 16 cells, so those of the first have every term.
+RATES = (16, 64, 256, 1024)
+#: For each rate, the subset of a term by ten bits of its hash, '-' where it has none (no term begins so).
+SUBSETS = [" ".join(f"{16 * rate + k % n:02d}:" if k % n < 16 else "-" for k in range(1024)) for rate, n in enumerate(RATES)]
 
 
 def terms_of(text: Column) -> Column:
@@ -56,13 +56,15 @@ def fingerprint(text: Column, table: Column) -> Column:
     """Entries `subset:hash` of a text, sorted, as an array."""
     terms = terms_of(text)
 
-    def place(w: Column) -> Column:
-        return F.shiftright(F.xxhash64(w), 40).bitwiseAND(F.lit(1023)).cast("int")
+    inside = F.filter(terms, lambda w: F.array_contains(F.element_at(table, F.pmod(F.xxhash64(w), F.size(table)).cast("int") + 1), w))
 
-    inside = F.filter(terms, lambda w: (place(w) < sum(RATES)) & F.array_contains(F.element_at(table, F.pmod(F.xxhash64(w), F.size(table)).cast("int") + 1), w))
+    def coded(w: Column, rate: int) -> Column:
+        # Ten bits of the hash for each rate, from the high end: the low ones choose the place in the table.
+        place = F.shiftright(F.xxhash64(w), 54 - 10 * rate).bitwiseAND(F.lit(1023)).cast("int")
+        return F.concat(F.element_at(F.split(F.lit(SUBSETS[rate]), " "), place + 1), w)
 
-    codes = F.split(F.lit(" ".join(SUBSETS)), " ")
-    entries = F.array_sort(F.transform(inside, lambda w: F.concat(F.element_at(codes, place(w) + 1), w)))
+    each = F.transform(inside, lambda w: F.filter(F.array(*[coded(w, r) for r in range(len(RATES))]), lambda e: ~F.startswith(e, F.lit("-"))))
+    entries = F.array_sort(F.flatten(each))
     # One run for each subset: entries are in order, so those of a subset stand together.
     runs = F.regexp_extract_all(F.array_join(entries, " "), F.lit(r"(\d\d):[^ ]+(?: \1:[^ ]+)*"), F.lit(0))
     hashed = F.transform(runs, lambda r: F.concat(F.substring(r, 1, 2), F.lpad(F.hex(F.xxhash64(r).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")))

@@ -279,6 +279,15 @@ def test_imatch(docs, empty, texts, spark):
     assert imatch.fingerprints(docs).count() == len(texts)
 
 
+def test_imatch_uses_every_term_of_the_band(spark):
+    rows = [(k, f"common{k % 9} term{k // 2}") for k in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    # Each termN is in two of 400 documents and so in the band, as commonK is: texts that differ in one differ in their prints.
+    found = got(imatch.fingerprints(table))
+    assert len({r.fingerprint for r in found.values()}) == len({t for _, t in rows})
+    assert not any(e.startswith("zz") for r in found.values() for e in r.fingerprint.split("-"))
+
+
 @pytest.mark.parametrize(("n", "percent", "block"), [(4, 85, 20_000), (5, 80, 2)])
 def test_jaccard_join(docs, empty, texts, n, percent, block, monkeypatch):
     monkeypatch.setattr(jaccard_trie, "BLOCK", block)
