@@ -1,8 +1,8 @@
 """License scans: ordered signature rules over normalised words; DataFrame functions only.
 
 Texts are lower-cased and reduced to words between single spaces, so rules need not mind punctuation or line ends. A
-rule is a regular expression with a keyword, a priority and a confidence. A text that has none of the few general words
-in `GATE` is no candidate; on candidates only rules whose keyword occurs run. Each match is a span of words. A span that
+rule is a regular expression with a keyword that all its matches have, a priority and a confidence. A text that has none
+of the keywords, `GATE`, is no candidate; on candidates only rules whose keyword occurs run. Each match is a span of words. A span that
 lies in another one of at least its priority is suppressed: the longer wins, then the higher priority, then the earlier
 rule. Nothing is shuffled: a row is scanned where it is read.
 
@@ -21,68 +21,69 @@ from .common import ascii_lower
 
 #: The phrases and labels of the base scan.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: General words of which a text that names a license has one.
-GATE = ("licen", "spdx", " cc ", "creative commons", "public domain", "copyright", "gpl", "all rights reserved", "permission is hereby granted", "redistribution and use")
-#: Label, keyword, expression for the name (words between single spaces), SPDX identifier as words.
+#: Label, alternatives of the name (words between single spaces) with a keyword that each necessarily has,
+#: SPDX identifier as words.
 FAMILIES = (
-    ("mit", "mit", "mit", "mit"),
-    ("mit-0", "mit", "mit no attribution", "mit 0"),
-    ("apache-2", "apache", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?", "apache 2 0"),
-    ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version)? 1 1", "apache 1 1"),
-    ("apache-1", "apache", "apache(?: software)?(?: license)?(?: version)? 1 0", "apache 1 0"),
-    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)", "bsd 2 clause"),
-    ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)", "bsd 3 clause"),
-    ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)", "bsd 4 clause"),
-    ("0bsd", "bsd", "(?:zero clause bsd|0bsd|bsd zero clause)", "0bsd"),
-    ("bsd", "bsd", "bsd(?: style)?", "bsd"),
-    ("gpl-2", "g", "(?:gpl ?v?2(?: 0)?|gnu general public license(?: version| v)? ?2(?: 0)?)", "gpl 2 0(?: only| or later)?"),
-    ("gpl-3", "g", "(?:gpl ?v?3(?: 0)?|gnu general public license(?: version| v)? ?3(?: 0)?)", "gpl 3 0(?: only| or later)?"),
-    ("gpl", "g", "(?:gpl|gnu general public)", "gpl"),
-    ("lgpl-2.1", "l", "(?:lgpl ?v?2 1|gnu lesser general public license(?: version| v)? ?2 1)", "lgpl 2 1(?: only| or later)?"),
-    ("lgpl-3", "l", "(?:lgpl ?v?3(?: 0)?|gnu lesser general public license(?: version| v)? ?3(?: 0)?)", "lgpl 3 0(?: only| or later)?"),
-    ("lgpl", "l", "(?:lgpl|gnu (?:lesser|library) general public)", "lgpl"),
-    ("agpl-3", "a", "(?:agpl ?v?3(?: 0)?|gnu affero general public license(?: version| v)? ?3(?: 0)?)", "agpl 3 0(?: only| or later)?"),
-    ("agpl", "a", "(?:agpl|gnu affero general public)", "agpl"),
-    ("mpl-2", "m", "(?:mpl ?2(?: 0)?|mozilla public license(?: version| v)? ?2(?: 0)?)", "mpl 2 0"),
-    ("mpl-1.1", "m", "(?:mpl ?1 1|mozilla public license(?: version| v)? ?1 1)", "mpl 1 1"),
-    ("epl-2", "e", "(?:epl ?2(?: 0)?|eclipse public license(?: version| v)? ?2(?: 0)?)", "epl 2 0"),
-    ("epl-1", "e", "(?:epl ?1(?: 0)?|eclipse public license(?: version| v)? ?1(?: 0)?)", "epl 1 0"),
-    ("cddl-1", "cddl", "(?:cddl(?: 1 0)?|common development and distribution)", "cddl 1 0"),
-    ("cpl-1", "common", "common public license(?: version)?(?: 1 0)?", "cpl 1 0"),
-    ("eupl-1.2", "e", "(?:eupl(?: v)?(?: 1 2)?|european union public)", "eupl 1 2"),
-    ("isc", "isc", "isc", "isc"),
-    ("zlib", "zlib", "zlib(?: libpng)?", "zlib"),
-    ("unlicense", "unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl", "wtfpl"),
-    ("bsl-1", "boost", "boost software license(?: version)?(?: 1 0)?", "bsl 1 0"),
-    ("artistic-2", "artistic", "artistic license(?: version)? 2(?: 0)?", "artistic 2 0"),
-    ("artistic", "artistic", "artistic", "artistic 1 0"),
-    ("python-2", "python", "(?:python software foundation|psf)(?: license)?(?: version 2)?", "(?:psf|python) 2 0"),
-    ("ruby", "ruby", "ruby", "ruby"),
-    ("php-3", "php", "php license(?: version)? 3(?: 0| 01)?", "php 3 01"),
-    ("openssl", "openssl", "openssl", "openssl"),
-    ("postgresql", "postgresql", "postgresql", "postgresql"),
-    ("ofl-1.1", "font", "(?:sil )?open font license(?: version)?(?: 1 1)?", "ofl 1 1"),
-    ("ms-pl", "public", "microsoft public", "ms pl"),
-    ("ms-rl", "reciprocal", "microsoft reciprocal", "ms rl"),
-    ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)?", "ncsa"),
-    ("odbl", "odbl", "(?:odbl|open database)", "odbl 1 0"),
-    ("odc-by", "data", "open data commons attribution", "odc by 1 0"),
-    ("pddl", "pddl", "(?:pddl|public domain dedication and)", "pddl 1 0"),
-    ("gfdl", "documentation", "gnu free documentation", "gfdl 1 [123](?: only| or later)?"),
-    ("cc0", "cc0", "(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?", "cc0 1 0"),
-    ("cc-by-nc-nd", "cc", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: [1-4] [05])?", "cc by nc nd [1-4] [05]"),
-    ("cc-by-nc-sa", "cc", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?", "cc by nc sa [1-4] [05]"),
-    ("cc-by-nc", "c", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] [05])?", "cc by nc [1-4] [05]"),
-    ("cc-by-nd", "c", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)(?: [1-4] [05])?", "cc by nd [1-4] [05]"),
-    ("cc-by-sa", "c", "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?", "cc by sa [1-4] [05]"),
-    ("cc-by", "c", "(?:cc by|creative commons attribution)(?: [1-4] [05])?", "cc by [1-4] [05]"),
-    ("public-domain", "public", "public domain", "public domain"),
-    ("proprietary", "proprietary", "proprietary", "licenseref proprietary"),
+    ("mit", (("mit", "mit"),), "mit"),
+    ("mit-0", (("mit", "mit no attribution"),), "mit 0"),
+    ("apache-2", (("apache", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?"),), "apache 2 0"),
+    ("apache-1.1", (("apache", "apache(?: software)?(?: license)?(?: version)? 1 1"),), "apache 1 1"),
+    ("apache-1", (("apache", "apache(?: software)?(?: license)?(?: version)? 1 0"),), "apache 1 0"),
+    ("bsd-2-clause", (("bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd)"), ("freebsd", "freebsd")), "bsd 2 clause"),
+    ("bsd-3-clause", (("bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)"),), "bsd 3 clause"),
+    ("bsd-4-clause", (("bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)"),), "bsd 4 clause"),
+    ("0bsd", (("bsd", "(?:zero clause bsd|bsd zero clause)"), ("0bsd", "0bsd")), "0bsd"),
+    ("bsd", (("bsd", "bsd(?: style)?"),), "bsd"),
+    ("gpl-2", (("gpl", "gpl ?v?2(?: 0)?"), ("gnu general public", "gnu general public license(?: version| v)? ?2(?: 0)?")), "gpl 2 0(?: only| or later)?"),
+    ("gpl-3", (("gpl", "gpl ?v?3(?: 0)?"), ("gnu general public", "gnu general public license(?: version| v)? ?3(?: 0)?")), "gpl 3 0(?: only| or later)?"),
+    ("gpl", (("gpl", "gpl"), ("gnu general public", "gnu general public")), "gpl"),
+    ("lgpl-2.1", (("lgpl", "lgpl ?v?2 1"), ("gnu lesser general public", "gnu lesser general public license(?: version| v)? ?2 1")), "lgpl 2 1(?: only| or later)?"),
+    ("lgpl-3", (("lgpl", "lgpl ?v?3(?: 0)?"), ("gnu lesser general public", "gnu lesser general public license(?: version| v)? ?3(?: 0)?")), "lgpl 3 0(?: only| or later)?"),
+    ("lgpl", (("lgpl", "lgpl"), ("gnu lesser general public", "gnu lesser general public"), ("gnu library general public", "gnu library general public")), "lgpl"),
+    ("agpl-3", (("agpl", "agpl ?v?3(?: 0)?"), ("gnu affero general public", "gnu affero general public license(?: version| v)? ?3(?: 0)?")), "agpl 3 0(?: only| or later)?"),
+    ("agpl", (("agpl", "agpl"), ("gnu affero general public", "gnu affero general public")), "agpl"),
+    ("mpl-2", (("mpl", "mpl ?2(?: 0)?"), ("mozilla public license", "mozilla public license(?: version| v)? ?2(?: 0)?")), "mpl 2 0"),
+    ("mpl-1.1", (("mpl", "mpl ?1 1"), ("mozilla public license", "mozilla public license(?: version| v)? ?1 1")), "mpl 1 1"),
+    ("epl-2", (("epl", "epl ?2(?: 0)?"), ("eclipse public license", "eclipse public license(?: version| v)? ?2(?: 0)?")), "epl 2 0"),
+    ("epl-1", (("epl", "epl ?1(?: 0)?"), ("eclipse public license", "eclipse public license(?: version| v)? ?1(?: 0)?")), "epl 1 0"),
+    ("cddl-1", (("cddl", "cddl(?: 1 0)?"), ("common development", "common development and distribution")), "cddl 1 0"),
+    ("cpl-1", (("common public license", "common public license(?: version)?(?: 1 0)?"),), "cpl 1 0"),
+    ("eupl-1.2", (("eupl", "eupl(?: v)?(?: 1 2)?"), ("european union public", "european union public")), "eupl 1 2"),
+    ("isc", (("isc", "isc"),), "isc"),
+    ("zlib", (("zlib", "zlib(?: libpng)?"),), "zlib"),
+    ("unlicense", (("unlicense", "unlicense"),), "unlicense"),
+    ("wtfpl", (("wtfpl", "wtfpl"),), "wtfpl"),
+    ("bsl-1", (("boost software license", "boost software license(?: version)?(?: 1 0)?"),), "bsl 1 0"),
+    ("artistic-2", (("artistic", "artistic license(?: version)? 2(?: 0)?"),), "artistic 2 0"),
+    ("artistic", (("artistic", "artistic"),), "artistic 1 0"),
+    ("python-2", (("python software foundation", "python software foundation(?: license)?(?: version 2)?"), ("psf", "psf(?: license)?(?: version 2)?")), "(?:psf|python) 2 0"),
+    ("ruby", (("ruby", "ruby"),), "ruby"),
+    ("php-3", (("php license", "php license(?: version)? 3(?: 0| 01)?"),), "php 3 01"),
+    ("openssl", (("openssl", "openssl"),), "openssl"),
+    ("postgresql", (("postgresql", "postgresql"),), "postgresql"),
+    ("ofl-1.1", (("open font license", "(?:sil )?open font license(?: version)?(?: 1 1)?"),), "ofl 1 1"),
+    ("ms-pl", (("microsoft public", "microsoft public"),), "ms pl"),
+    ("ms-rl", (("microsoft reciprocal", "microsoft reciprocal"),), "ms rl"),
+    ("ncsa", (("ncsa", "(?:university of illinois )?ncsa(?: open source)?"),), "ncsa"),
+    ("odbl", (("odbl", "odbl"), ("open database", "open database")), "odbl 1 0"),
+    ("odc-by", (("open data commons attribution", "open data commons attribution"),), "odc by 1 0"),
+    ("pddl", (("pddl", "pddl"), ("public domain dedication", "public domain dedication and")), "pddl 1 0"),
+    ("gfdl", (("gnu free documentation", "gnu free documentation"),), "gfdl 1 [123](?: only| or later)?"),
+    ("cc0", (("cc0", "cc0(?: 1 0)?(?: universal)?"), ("creative commons zero", "creative commons zero(?: 1 0)?(?: universal)?")), "cc0 1 0"),
+    ("cc-by-nc-nd", (("cc by", "cc by nc nd(?: [1-4] [05])?"), ("creative commons attribution", "creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: [1-4] [05])?")), "cc by nc nd [1-4] [05]"),
+    ("cc-by-nc-sa", (("cc by", "cc by nc sa(?: [1-4] [05])?"), ("creative commons attribution", "creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?")), "cc by nc sa [1-4] [05]"),
+    ("cc-by-nc", (("cc by", "cc by nc(?: [1-4] [05])?"), ("creative commons attribution", "creative commons attribution non ?commercial(?: [1-4] [05])?")), "cc by nc [1-4] [05]"),
+    ("cc-by-nd", (("cc by", "cc by nd(?: [1-4] [05])?"), ("creative commons attribution", "creative commons attribution no ?deriv(?:ative)?s(?: [1-4] [05])?")), "cc by nd [1-4] [05]"),
+    ("cc-by-sa", (("cc by", "cc by sa(?: [1-4] [05])?"), ("creative commons attribution", "creative commons attribution share ?alike(?: [1-4] [05])?")), "cc by sa [1-4] [05]"),
+    ("cc-by", (("cc by", "cc by(?: [1-4] [05])?"), ("creative commons attribution", "creative commons attribution(?: [1-4] [05])?")), "cc by [1-4] [05]"),
+    ("public-domain", (("public domain", "public domain"),), "public domain"),
+    ("proprietary", (("proprietary", "proprietary"),), "licenseref proprietary"),
 )
+#: Fixed value: what every tag begins with, the keyword of its rules.
+TAG = "spdx license identifier"
 #: Name, expression, priority, confidence of each form in which a family is referred to.
 FORMS = (
-    ("tag", "spdx license identifier {id}", 50, 1.0),
+    ("tag", f"{TAG} {{id}}", 50, 1.0),
     ("grant", "(?:licen[sc]ed|released|distributed|available|published|provided|covered|offered|shared) under (?:the )?(?:terms of )?(?:the )?{name}(?: licen[sc]e)?", 40, 0.95),
     ("terms", "(?:subject to|governed by|in compliance with|according to) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{name}(?: licen[sc]e)?", 35, 0.9),
     ("under", "under (?:the |an? )?{name} licen[sc]e", 30, 0.9),
@@ -95,19 +96,29 @@ TEXTS = (
     ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy", 60, 0.98),
     ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 60, 0.98),
     ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 60, 0.95),
-    ("gpl", "foundation", "you can redistribute it and or modify it under the terms of the gnu general public license", 60, 0.98),
+    ("gpl", "you can redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license", 60, 0.98),
     ("public-domain", "dedicated", "dedicated to the public domain", 45, 0.9),
-    ("cc-by-nc", "cc", "cc by nc(?: [1-4] [05])?", 25, 0.8),
+    ("cc-by-nc", "cc by", "cc by nc(?: [1-4] [05])?", 25, 0.8),
     ("proprietary", "reserved", "all rights reserved", 5, 0.5),
 )
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
     """(label, keyword, expression, priority, confidence) in order."""
-    made = [(label, key, form.format(name=name, id=spdx), rank, sure) for _, form, rank, sure in FORMS for label, key, name, spdx in FAMILIES]
+    made = []
+    for _, form, rank, sure in FORMS:
+        for label, names, spdx in FAMILIES:
+            if "{id}" in form:
+                made.append((label, TAG, form.format(id=spdx), rank, sure))
+            else:
+                made += [(label, key, form.format(name=name), rank, sure) for key, name in names]
     return sorted([*TEXTS, *made], key=lambda r: -r[3])
 
 
+#: Each match of a rule has its keyword at the beginning of a word: a text without all of these has no match.
+GATE = tuple(sorted({f" {key}" for _, key, *_ in rules()}))
+
+
 def normal(text: Column) -> Column:
     """' word word ' of the lower-cased text; ' ' where there is no word."""
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
@@ -117,11 +128,11 @@ def spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" ")))
 
 
-def detections(words: Column) -> Column:
-    """Every rule's matches in words: array of label, first, stop (words, from 0), priority, confidence, rule."""
+def detections(words: Column, keys: Column) -> Column:
+    """Every rule's matches in words, which have the keywords `keys` of GATE: array of label, first, stop (words, from 0), priority, confidence, rule."""
     table = rules()
     sql = ", ".join(f"named_struct('rule', {i}, 'label', '{a}', 'key', ' {k}', 'form', ' {f}(?= )', 'rank', {p}, 'sure', {s}D)" for i, (a, k, f, p, s) in enumerate(table))
-    known = F.filter(F.expr(f"array({sql})"), lambda r: F.contains(words, r["key"]))
+    known = F.filter(F.expr(f"array({sql})"), lambda r: F.array_contains(keys, r["key"]))
 
     def matched(r: Column) -> Column:
         between = F.transform(F.split(words, r["form"]), spaces)
@@ -165,11 +176,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         last = F.aggregate(F.slice(between, 1, n), F.lit(0), lambda a, b: a + b) + (n - 1) * k
         base.append(F.when(F.contains(words, F.lit(f" {phrase} ")), F.struct(n.alias("n"), F.element_at(between, 1).alias("first"), last.alias("last"), F.lit(label).alias("label"))))
     out = out.withColumn("__base", F.array_compact(F.array(*base)))
-    gate = F.lit(False)
-    for g in GATE:
-        gate = gate | F.contains(words, F.lit(g))
+    keys = F.array_compact(F.array(*[F.when(F.contains(words, F.lit(g)), F.lit(g)) for g in GATE]))
+    out = out.withColumn("__keys", keys)
     none = F.expr("cast(array() as array<struct<label: string, first: int, stop: int, rank: int, sure: double, rule: int>>)")
-    out = out.withColumn("__found", F.when(gate, detections(words)).otherwise(none)).withColumn("spans", kept(F.col("__found")))
+    out = out.withColumn("__found", F.when(F.size("__keys") > 0, detections(words, F.col("__keys"))).otherwise(none)).withColumn("spans", kept(F.col("__found")))
     b = F.col("__base")
     labels = F.array_sort(F.array_distinct(F.concat(F.transform(b, lambda x: x["label"]), F.transform("spans", lambda x: x["label"]))))
     return out.select(

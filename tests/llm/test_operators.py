@@ -232,6 +232,23 @@ def test_licenses(docs, empty, texts):
     assert licenses.scan(empty).collect() == []
 
 
+def test_licenses_without_gates(spark):
+    names = "open database|creative commons zero|common development and distribution|FreeBSD|0BSD|PSF|Creative Commons Attribution-NonCommercial-NoDerivs|BSD-3-Clause|Apache 2.0|GNU General Public|zlib"
+    tags = "BSL-1.0 OFL-1.1 MS-PL MS-RL CPL-1.0 ODC-By-1.0 GFDL-1.3 GPL-2.0-only MIT-0 PSF-2.0 CC-BY-SA-4.0".split()
+    texts = [f"{how} {name}." for name in names.split("|") for how in ("Licensed under", "Released under", "Distributed under the", "subject to the terms of")]
+    texts += [f"SPDX-License-Identifier: {t}" for t in tags] + ["you can redistribute it and/or modify it under the terms of the GNU General Public License", "dedicated to the public domain", "cc by nc", "none here"]
+    rows = got(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, t in enumerate(texts):
+        norm = " " + " ".join(re.findall("[a-z0-9]+", t.lower())) + " "
+        found = []
+        for n, (label, _, form, rank, _) in enumerate(licenses.rules()):
+            found += [(m.start(), m.end(), rank, n, label) for m in re.finditer(f" {form}(?= )", norm)]
+        kept = [d for d in found if not any(o[0] <= d[0] and o[1] >= d[1] and o[2] >= d[2] and (o[1] - o[0] > d[1] - d[0] or o[2] > d[2] or o[3] < d[3]) for o in found)]
+        base = {label for p, label in licenses.BASE if f" {p} " in norm}
+        assert rows[i].labels == ",".join(sorted(base | {d[4] for d in kept})), t
+        assert rows[i].labels or t == "none here"
+
+
 def test_sentencepiece_is_the_library(docs, empty, texts):
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     rows, full = got(sentencepiece_codec.encode_digests(docs, PIECES)), got(sentencepiece_codec.encode(docs, PIECES))
