@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -304,8 +304,13 @@ def link(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return edges
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """id, n_shingles, component_id of each row: two rows link when their n-gram sets' Jaccard similarity is percent/100 or more."""
+def text_hash(text: Column) -> Column:
+    """With the id, what tells a row from others: rows that agree in both are copies."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def rooted(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """i, h (text_hash), size, root of each row: its n-gram set's size and the number of its component."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,9 +330,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
                 prefix = tokens[: size - -(-percent * size // 100) + 1]
                 out.append((row, same, size, prefix.astype(np.int64), bitmap(tokens)))
             columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.list_(pa.int64())), pa.array(columns[4], pa.binary())], ["i", "row", "same", "size", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column("i"), b.column("h"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.list_(pa.int64())), pa.array(columns[4], pa.binary())], ["i", "h", "row", "same", "size", "prefix", "bits"])
 
-    sk = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(sketch, f"i {kind}, row long, same long, size long, prefix array<long>, bits binary")
+    keyed = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), text_hash(F.col(text_col)).alias("h"))
+    sk = keyed.mapInArrow(sketch, f"i {kind}, h long, row long, same long, size long, prefix array<long>, bits binary")
     sk = materialise(sk, "jaccard-sketches")
 
     def dealt(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -357,12 +363,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     labelled = sought.join(found, F.col("row") == F.col("__node"), "left").select("row", F.coalesce("root", "row").alias("label"), F.explode("prefix").alias("token"))
     clusters = materialise(components(early.unionByName(sharers(labelled))), "jaccard-clusters")
 
-    # The texts of candidates only. Their ids go to every executor if they are few, else both sides are shuffled.
-    ids = materialise(sk.select("i", "row").join(clusters, F.col("row") == F.col("node")).select(F.col("i").alias("__id"), F.col("row").alias("__row"), F.col("root").alias("__root")), "jaccard-candidates")
+    # The texts of candidates only. Their keys go to every executor if they are few, else both sides are shuffled.
+    # Copies have one row there, the first, so that a text meets one row and no other text of its id.
+    ids = sk.select("i", "h", "row").join(clusters, F.col("row") == F.col("node")).groupBy(F.col("i").alias("__id"), F.col("h").alias("__h"))
+    ids = materialise(ids.agg(F.min("row").alias("__row"), F.min("root").alias("__root")), "jaccard-candidates")
     some = ids.count()
     ids = ids.withColumn("n", F.count("*").over(Window.partitionBy("__root")))
     ids = F.broadcast(ids) if some <= BROADCAST_ROWS else ids
-    found = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(ids, F.col("i").eqNullSafe(F.col("__id"))).select(F.col("__row").alias("row"), F.col("__root").alias("root"), "n", "t")
+    found = keyed.join(ids, F.col("i").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select(F.col("__row").alias("row"), F.col("__root").alias("root"), "n", "t")
     found = dealt(found, ["root"]).select("key", "row", "t").repartition(parts, "key").sortWithinPartitions("key")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,19 +396,34 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
 
     links = found.mapInArrow(verify, "a long, b long")
     links = links.unionByName(sk.filter("same <> row").select(F.col("row").alias("a"), F.col("same").alias("b")))
+    copies = sk.filter("size > 0").groupBy(F.col("i").alias("__id"), F.col("h").alias("__h")).agg(F.min("row").alias("b"), F.count("*").alias("copies")).filter("copies > 1")
+    same = F.col("i").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")) & (F.col("row") != F.col("b"))
+    links = links.unionByName(sk.filter("size > 0").join(copies, same).select(F.col("row").alias("a"), "b"))
     roots = components(links)
-    out = sk.select("i", "row", "size").join(roots, F.col("row") == F.col("node"), "left").withColumn("root", F.coalesce("root", "row"))
+    return sk.select("i", "h", "row", "size").join(roots, F.col("row") == F.col("node"), "left").select("i", "h", "size", F.coalesce("root", "row").alias("root"))
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """id, n_shingles, component_id of each row: two rows link when their n-gram sets' Jaccard similarity is percent/100 or more."""
+    out = rooted(docs, id_col, text_col, n, percent)
     least = out.groupBy("root").agg(F.min("i").alias("component_id"))
     return out.join(least, "root").select(F.col("i").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """The document with the smallest id of each component; of rows that repeat an id and its text, one."""
-    found = materialise(join(docs, id_col, text_col, n, percent), "jaccard-components")
-    rest = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
+    """One row of each component, that with the smallest id (null ids last); of rows that repeat an id and its text, one.
+
+    Blank texts without an id are components of their own, and all stay.
+    """
+    found = materialise(rooted(docs, id_col, text_col, n, percent), "jaccard-components")
+    key = F.struct(F.col("i").isNull().alias("none"), "i", "h")
+    best = found.groupBy("root").agg(F.min(key).alias("best"))
+    rest = found.join(best, "root").filter(~key.eqNullSafe(F.col("best"))).select(F.col("i").alias("__id"), F.col("h").alias("__h")).distinct()
     rest = F.broadcast(rest) if rest.count() <= BROADCAST_ROWS else rest
-    kept = docs.join(rest, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
-    if found.groupBy(id_col).count().filter("count > 1").isEmpty():
-        return kept
-    text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return kept.withColumn("__text", text).dropDuplicates([id_col, "__text"]).drop("__text")
+    kept = docs.withColumn("__text", text_hash(F.col(text_col)))
+    kept = kept.join(rest, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__h")), "left_anti")
+    if found.groupBy("i", "h").count().filter("count > 1").isEmpty():
+        return kept.drop("__text")
+    blank = F.col(id_col).isNull() & ~F.rlike(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
+    kept = kept.withColumn("__own", F.when(blank, F.monotonically_increasing_id()))
+    return kept.dropDuplicates([id_col, "__text", "__own"]).drop("__text", "__own")

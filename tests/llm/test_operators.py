@@ -327,6 +327,18 @@ def test_jaccard_join(docs, empty, texts, n, percent, block, monkeypatch):
     assert jaccard_trie.join(empty).collect() == []
 
 
+def test_one_of_each_decides_by_row(spark):
+    r = random.Random(9)
+    words = [" ".join(f"{c}{r.randint(0, 10**6)}" for _ in range(80)) for c in "abcdef"]
+    near = lambda t: t + " end"
+    rows = [(1, words[0]), (None, near(words[0])), (None, words[1]), (None, near(words[1])), (None, words[2])]
+    rows += [(2, words[3]), (5, near(words[3])), (5, words[4]), (None, ""), (None, None), (None, words[5]), (None, words[5])]
+    kept = jaccard_trie.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    texts = [x.text for x in kept]
+    assert {(x.doc_id, x.text) for x in kept} >= {(1, words[0]), (None, words[2]), (2, words[3]), (5, words[4]), (None, ""), (None, None), (None, words[5])}
+    assert (words[1] in texts) != (near(words[1]) in texts) and len(kept) == 8
+
+
 def test_trie_finds_all_links():
     r = np.random.default_rng(2)
     base = [np.sort(r.choice(60, 20, replace=False)) for _ in range(12)]
