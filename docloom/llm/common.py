@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -24,20 +25,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session within one machine may leave it unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='docloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
+def _file(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop knows them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+#: What materialise() has written and nobody has discarded yet, in order.
+WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives the loss of any executor."""
+    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives the loss of any executor.
+
+    What is written goes when it is discarded, else when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/docloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, at = _file(spark, path)
+    files.deleteOnExit(at)
+    WRITTEN.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(spark: SparkSession, *written: DataFrame, since: int | None = None, keep: DataFrame | None = None) -> None:
+    """Delete these results of materialise(), or all since WRITTEN had `since` entries but `keep`. No plan may read them any more."""
+    paths = [getattr(df, "_written", None) for df in written] + (WRITTEN[since:] if since is not None else [])
+    for path in paths:
+        if path in WRITTEN and path != getattr(keep, "_written", None):
+            files, at = _file(spark, path)
+            files.delete(at, True)
+            WRITTEN.remove(path)
 
 
 def crc_mod(column: str, mod: int) -> Column:
@@ -54,13 +85,26 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Batches between Spark and Python of 8 MB, not of 10,000 rows of any length, unless the session says otherwise."""
+    if BATCH_BYTES not in spark.conf.getAll:
+        spark.conf.set(BATCH_BYTES, "8m")
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about `most` bytes of `column` each, so that a worker's memory doesn't follow the batch size."""
+    """Slices of the batches with about `most` bytes each, so that a worker's memory doesn't follow the batch size.
+
+    `column` has the texts; the other columns' bytes count as spread evenly over the rows.
+    """
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        offsets, _ = text_bytes(batch.column(column))
+        offsets, data = text_bytes(batch.column(column))
+        offsets = offsets + np.arange(n + 1) * max(0, batch.nbytes - len(data)) // n
         begin = 0
         while begin < n:
             end = int(np.searchsorted(offsets, offsets[begin] + most, side="left"))

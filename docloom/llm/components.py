@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) for each node of edges(a, b); nodes without an edge aren't in it.
 
     A round points every neighbour of a node to the smallest one; only minima and edges move, never groups, so a node
-    with very many neighbours is a skewed join at most. Each round is written to the shared folder and read again.
+    with very many neighbours is a skewed join at most. Each round is written to the shared folder and read again; the
+    round before it is deleted then.
     """
 
     def both(e: DataFrame) -> DataFrame:
@@ -32,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     state = None
     while True:
-        now = materialise(small(large(now)), "cc")
+        before, now = now, materialise(small(large(now)), "cc")
+        discard(now.sparkSession, before)
         sums = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
         if sums == state or not sums[0]:
             break

@@ -1,21 +1,26 @@
 """Exact Jaccard self-join of word n-gram sets by prefix trees, giving connected components.
 
-1. A document's n-grams (64-bit hashes, in one global order) give its size, its prefix (the first elements, of which two
+1. A document's n-grams (64-bit hashes) give its size, its prefix (the first elements in one global order, of which two
    sets that link must share one) and a parity bitmap: the Hamming distance of two bitmaps is never more than the number
-   of n-grams in which the sets differ.
-2. Documents that share a prefix element and whose sizes and bitmaps allow a link are joined into candidate clusters. In
-   a group of sharers, a breadth-first walk over bitmaps emits one edge for each document it reaches, not all pairs.
-3. Each cluster's sets are stored in a trie, most frequent n-gram first, with runs of n-grams on one edge. A set is
+   of n-grams in which the sets differ. The order puts n-grams that are frequent in a sample of the documents last, most
+   frequent at the very end, the others by hash. Any order gives the same links; this one keeps common passages out of
+   prefixes.
+2. Equal sets are found by a 128-bit hash with a partial minimum; one row stands for them in all that follows.
+3. Rows that share a prefix element and whose sizes and bitmaps allow a link are joined into candidate clusters. In a
+   group of sharers a breadth-first walk over bitmaps emits a forest, not all pairs.
+4. Each cluster's sets are stored in a trie, most frequent n-gram first, with runs of n-grams on one edge. A set is
    compared with all others at once: overlaps along shared paths are counted once, and a subtree ends as soon as what
    remains of it and of the set can't reach the overlap needed. Linked documents leave the trie, so a cluster of near
    copies costs about one traversal.
 
-Large groups and clusters are dealt in blocks of `BLOCK` rows; each pair of blocks meets in one task, so none holds more
-than two blocks, and components are joined from the edges afterwards. Edges are never collected.
+Groups and clusters beyond `BLOCK` rows or `ELEMENTS` n-grams are dealt in two passes. In the first each block meets a
+few hubs of its group, which joins near copies at a cost in proportion to the group. In the second only groups that
+still hold rows not joined take part: their rows outside the largest joined part meet each other and that part, block
+by block. No task holds more than two blocks, and edges are never collected.
 
 Nulls and edges: null and blank texts have an empty set and are their own component; a text of fewer than n words is
-one n-gram; repeated ids are joined by their rows, and a null id counts as no id: its row gets the smallest id linked
-to it, null if there is none.
+one n-gram; rows are told apart by their place in the table, so ids may repeat; a null id counts as no id: its row gets
+the smallest id linked to it, null if there is none; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,10 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BYTE_LOWER, materialise, pieces, text_bytes
+from .common import BYTE_LOWER, bounded, discard, materialise, pieces, text_bytes
 from .components import components
 
-BLOCK, BROADCAST_ROWS, FIRST = 20_000, 1_000_000, 3
+BLOCK, ELEMENTS, HUBS, BROADCAST_ROWS, FIRST = 5_000, 2_000_000, 16, 500_000, 2
+#: One in SAMPLE documents shows which n-grams are frequent: in SHARE of them, HOT at most. Only the order depends on it.
+SAMPLE, SHARE, HOT = 32, 0.002, 200_000
 _R = np.random.default_rng(20240229)
 LOWER = np.frombuffer(BYTE_LOWER, np.uint8)
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -124,8 +131,8 @@ class Sketches:
         wa, wb = self.words[a], self.words[b]
         for x, y in {(int(x), int(y)) for x, y in zip(wa[limit >= 0], wb[limit >= 0], strict=True)}:
             at = np.flatnonzero((limit >= 0) & (wa == x) & (wb == y))
-            for part in np.array_split(at, len(at) // 100_000 + 1):
-                w = min(x, y)
+            w = min(x, y)
+            for part in np.array_split(at, len(at) * max(x, y) // 1_000_000 + 1):
                 p, q = fold(self.table[x][self.place[a[part]]], w), fold(self.table[y][self.place[b[part]]], w)
                 out[part] = np.bitwise_count(p ^ q).sum(1, dtype=np.int64) <= limit[part]
         return out
@@ -193,7 +200,7 @@ def candidate_edges(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator
     for batch in batches:
         t = pa.Table.from_batches([batch])
         t = pa.concat_tables([held, t]) if held is not None else t
-        if t.num_rows < 100_000:
+        if t.num_rows < 50_000 and t.nbytes < 16 << 20:
             held = t
             continue
         key = t.column("key").to_numpy()
@@ -309,105 +316,200 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """rows, which are written and narrow, to every executor if they are BROADCAST_ROWS at most; else the join shuffles."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def frequent(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams that are frequent in a sample of texts(t), sorted; place of each among them, the least frequent first)."""
+    some = texts.filter(F.pmod(F.xxhash64("t", F.lit(9)), F.lit(SAMPLE)) == 0).select("t")
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "t", 1 << 20):
+            sets = shingle_sets(b.column("t"), n)
+            own = [s for s in {s.tobytes(): s for s in sets}.values() if len(s)]
+            # Element 0, which hashes hardly ever give, counts the documents.
+            flat = np.concatenate([*own, np.zeros(len(own), np.uint64)]) if own else np.zeros(0, np.uint64)
+            token, count = np.unique(flat, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.int64)), pa.array(count)], ["token", "c"])
+
+    counts = materialise(some.mapInArrow(emit, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).filter("c > 2"), "jaccard-frequent")
+    docs = counts.filter("token = 0").first()
+    least = max(3, SHARE * docs["c"]) if docs else 3
+    hot = counts.filter((F.col("token") != 0) & (F.col("c") >= least)).orderBy(F.desc("c"), "token").limit(HOT).toArrow()
+    discard(texts.sparkSession, counts)
+    token = hot.column("token").to_numpy().astype(np.uint64)
+    order = np.argsort(token)
+    return token[order], (len(token) - order).astype(np.int64)
+
+
+def blocks(n: Column | str, elements: Column | str) -> Column:
+    """Into how many blocks so many rows with so many n-grams go."""
+    n, elements = (F.col(c) if isinstance(c, str) else c for c in (n, elements))
+    return F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(elements / ELEMENTS)).cast("int")
+
+
+def near_hubs(rows: DataFrame, group: str) -> DataFrame:
+    """rows(group, row, size, ...) with `keys`, those of the blocks a row is in: its own, or all of its group for a few
+    rows, the hubs. Groups of one row are left out."""
+    stats = rows.groupBy(group).agg(F.count("*").alias("__n"), F.sum("size").alias("__s")).filter("__n > 1")
+    stats = materialise(stats.select(F.col(group).alias("__g"), "__n", blocks("__n", "__s").alias("__k")), "jaccard-groups")
+    dealt = rows.join(few(stats), F.col(group) == F.col("__g"))
+    hub = F.pmod(F.xxhash64("row", F.lit(6)), F.ceil(F.col("__n") / HUBS)) == 0
+    own = F.pmod(F.xxhash64("row", F.lit(5)), F.col("__k")).cast("int")
+    at = F.when((F.col("__k") > 1) & hub, F.sequence(F.lit(0), F.col("__k") - 1)).otherwise(F.array(own))
+    return dealt.withColumn("keys", F.transform(at, lambda b: F.xxhash64(F.col(group), b))).drop("__g", "__n", "__k")
+
+
+def across(rows: DataFrame, group: str, least: int = 1) -> DataFrame:
+    """rows(group, row, size, label, ...) with `keys`, so that rows of a group that differ in label meet in a block. Groups
+    of one label, and those of fewer than `least` blocks, are left out."""
+    per = rows.groupBy(group, "label").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    stats = per.groupBy(group).agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "label")).alias("top")).filter("kinds > 1")
+    whole = blocks("n", "s")
+    most, rest = blocks("top.n", "top.s"), blocks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s"))
+    stats = stats.select(F.col(group).alias("__g"), F.col("top.label").alias("__top"), whole.alias("__k"), most.alias("__most"), rest.alias("__rest")).filter(F.col("__k") >= least)
+    dealt = rows.join(few(materialise(stats, "jaccard-groups")), F.col(group) == F.col("__g"))
+    g, h = F.col(group), F.xxhash64("row", F.lit(5))
+    mine = F.pmod(h, F.col("__rest")).cast("int")
+    each = F.sequence(F.lit(0), F.col("__rest") - 1)
+    among = F.transform(each, lambda b: F.xxhash64(g, F.lit(1), F.least(mine, b), F.greatest(mine, b)))
+    to_top = F.transform(F.sequence(F.lit(0), F.col("__most") - 1), lambda b: F.xxhash64(g, F.lit(2), b, mine))
+    of_top = F.transform(each, lambda b: F.xxhash64(g, F.lit(2), F.pmod(h, F.col("__most")).cast("int"), b))
+    keys = F.when(F.col("__k") == 1, F.array(F.xxhash64(g, F.lit(0)))).when(F.col("label") == F.col("__top"), of_top).otherwise(F.concat(among, to_top))
+    return dealt.withColumn("keys", keys).drop("__g", "__top", "__k", "__most", "__rest")
+
+
 def rooted(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """i, h (text_hash), size, root of each row: its n-gram set's size and the number of its component."""
+    """i, h (text_hash), size, root of each row, written: its n-gram set's size and the number of its component."""
+    spark = docs.sparkSession
+    bounded(spark)
     kind = docs.schema[id_col].dataType.simpleString()
+    keyed = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), text_hash(F.col(text_col)).alias("h"))
+    hot = spark.sparkContext.broadcast(frequent(keyed, n))  # bounded by HOT
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         row = ((task.partitionId() if task else 0) << 36) - 1
-        for b in pieces(batches, "t"):
+        common, place = hot.value
+        for b in pieces(batches, "t", 2 << 20):
             out: list[tuple] = []
-            seen: dict[bytes, int] = {}
+            seen: set[bytes] = set()
             for tokens in shingle_sets(b.column("t"), n):
                 row += 1
-                # Copies in a batch stand for each other: only the first is searched for.
-                same = seen.setdefault(tokens.tobytes(), row) if len(tokens) else row
                 size = len(tokens)
-                if same != row or not size:
-                    out.append((row, same, size, None, None))
+                one, two = (int(mix(tokens + s).sum().astype(np.int64)) if size else 0 for s in SALT[:2])
+                # Of equal sets in a batch only the first is searched for: the smallest row stands for all.
+                known = (mark := tokens.tobytes()) in seen
+                seen.add(mark)
+                if known or not size:
+                    out.append((row, size, one, two, None, None, None))
                     continue
-                prefix = tokens[: size - -(-percent * size // 100) + 1]
-                out.append((row, same, size, prefix.astype(np.int64), bitmap(tokens)))
+                late = np.zeros(size, bool)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+                    late = common[at] == tokens
+                    tokens_late = tokens[late][np.argsort(place[at[late]])]
+                    ordered = np.concatenate([tokens[~late], tokens_late])
+                else:
+                    ordered = tokens
+                prefix = ordered[: size - -(-percent * size // 100) + 1].astype(np.int64)
+                cold = min(len(prefix), int((~late).sum()))
+                early = np.concatenate([prefix[: min(FIRST, cold)], prefix[cold : cold + FIRST]])
+                out.append((row, size, one, two, early, prefix, bitmap(tokens)))
             columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([b.column("i"), b.column("h"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.list_(pa.int64())), pa.array(columns[4], pa.binary())], ["i", "h", "row", "same", "size", "prefix", "bits"])
+            kinds = (pa.int64(),) * 4 + (pa.list_(pa.int64()),) * 2 + (pa.binary(),)
+            yield pa.RecordBatch.from_arrays([b.column("i"), b.column("h"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["i", "h", "row", "size", "one", "two", "early", "prefix", "bits"])
 
-    keyed = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), text_hash(F.col(text_col)).alias("h"))
-    sk = keyed.mapInArrow(sketch, f"i {kind}, h long, row long, same long, size long, prefix array<long>, bits binary")
+    sk = keyed.mapInArrow(sketch, f"i {kind}, h long, row long, size long, one long, two long, early array<long>, prefix array<long>, bits binary")
     sk = materialise(sk, "jaccard-sketches")
-
-    def dealt(rows: DataFrame, by: list[str]) -> DataFrame:
-        """rows(n, row, ...) with a key for each block, or pair of blocks, of their group."""
-        k = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-        own = F.pmod(F.xxhash64("row", F.lit(5)), k).cast("int")
-        rows = rows.withColumns({"k": k, "own": own}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        return rows.withColumn("key", F.xxhash64(*by, F.least("own", "other"), F.greatest("own", "other"))).drop("k", "own", "other", "n")
-
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sought = sk.filter("prefix is not null")
-    bits = sought.select("row", "size", "bits")
-
-    def sharers(tokens: DataFrame) -> DataFrame:
-        """Candidate edges among the rows of tokens(row, label, token) that share an element and aren't joined already."""
-        of = Window.partitionBy("token")
-        shared = tokens.withColumns({"n": F.count("*").over(of), "least": F.min("label").over(of), "most": F.max("label").over(of)}).filter("least < most")
-        rows = dealt(shared.drop("least", "most"), ["token"]).drop("token").join(bits, "row")
-        rows = rows.select("key", "row", "size", "bits", "label").repartition(parts, "key").sortWithinPartitions("key")
+    copies = sk.filter("size > 0").groupBy(F.col("one").alias("__one"), F.col("two").alias("__two")).agg(F.min("row").alias("rep"), F.count("*").alias("copies"))
+    copies = few(materialise(copies.filter("copies > 1").drop("copies"), "jaccard-copies"))
+    marked = sk.join(copies, (F.col("one") == F.col("__one")) & (F.col("two") == F.col("__two")) & (F.col("size") > 0), "left").withColumn("rep", F.coalesce("rep", "row"))
+    sought = marked.filter("prefix is not null and rep = row")
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = sought.select("row", "bits")
+
+    def candidates(dealt: DataFrame) -> DataFrame:
+        """Edges among the rows of dealt(row, size, label, keys) that meet in a block and may link."""
+        rows = dealt.join(bits, "row").select(F.explode("keys").alias("key"), "row", "size", "bits", "label")
+        rows = rows.repartition(parts, "key").sortWithinPartitions("key")
         return rows.mapInArrow(lambda it: candidate_edges(it, percent), "a long, b long")
 
-    # Copies with few changes mostly share one of their first elements. What these join needs no edge from the others.
-    first = sought.select("row", F.col("row").alias("label"), F.explode(F.slice("prefix", 1, FIRST)).alias("token"))
-    early = materialise(sharers(first).distinct(), "jaccard-early")
-    found = materialise(components(early).select(F.col("node").alias("__node"), "root"), "jaccard-early-roots")
-    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-    labelled = sought.join(found, F.col("row") == F.col("__node"), "left").select("row", F.coalesce("root", "row").alias("label"), F.explode("prefix").alias("token"))
-    clusters = materialise(components(early.unionByName(sharers(labelled))), "jaccard-clusters")
-
-    # The texts of candidates only. Their keys go to every executor if they are few, else both sides are shuffled.
-    # Copies have one row there, the first, so that a text meets one row and no other text of its id.
-    ids = sk.select("i", "h", "row").join(clusters, F.col("row") == F.col("node")).groupBy(F.col("i").alias("__id"), F.col("h").alias("__h"))
-    ids = materialise(ids.agg(F.min("row").alias("__row"), F.min("root").alias("__root")), "jaccard-candidates")
-    some = ids.count()
-    ids = ids.withColumn("n", F.count("*").over(Window.partitionBy("__root")))
-    ids = F.broadcast(ids) if some <= BROADCAST_ROWS else ids
-    found = keyed.join(ids, F.col("i").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select(F.col("__row").alias("row"), F.col("__root").alias("root"), "n", "t")
-    found = dealt(found, ["root"]).select("key", "row", "t").repartition(parts, "key").sortWithinPartitions("key")
+    # Copies with few changes mostly share one of their first rare or first frequent elements. What these join needs no
+    # edge from the others.
+    first = sought.select("row", "size", F.col("row").alias("label"), F.explode("early").alias("token"))
+    early = materialise(candidates(near_hubs(first, "token")).distinct(), "jaccard-early")
+    found = few(materialise(components(early).select(F.col("node").alias("__node"), "root"), "jaccard-early-roots"))
+    labelled = sought.join(found, F.col("row") == F.col("__node"), "left").select("row", "size", F.coalesce("root", "row").alias("label"), F.explode("prefix").alias("token"))
+    clusters = materialise(components(early.unionByName(candidates(across(labelled, "token")))), "jaccard-clusters")
+
+    # The sets of candidates only. Their texts are found by id and hash of text, each once a batch.
+    ids = sought.select("i", "h", "row", "size").join(clusters, F.col("row") == F.col("node")).select("i", "h", "row", "size", "root")
+    ids = materialise(ids, "jaccard-candidates")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "t", 2 << 20):
+            _, once = np.unique(b.column("row").to_numpy(), return_index=True)
+            b = b.take(pa.array(once))
+            sets = shingle_sets(b.column("t"), n)
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            flat = pa.array(np.concatenate(sets).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("keys"), b.column("row"), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["keys", "row", "tokens"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, sets = None, [], []
 
         def done() -> pa.RecordBatch:
-            unique: dict[bytes, int] = {}
-            first = [unique.setdefault(s.tobytes(), i) for i, s in enumerate(sets)]
-            keep = sorted(set(first))
-            pairs = [(keep[a], keep[b]) for a, b in link([sets[i] for i in keep], percent)] + [(i, f) for i, f in enumerate(first) if i != f and len(sets[i])]
-            return pa.RecordBatch.from_arrays([pa.array([rows[a] for a, _ in pairs], pa.int64()), pa.array([rows[b] for _, b in pairs], pa.int64())], ["a", "b"])
-
-        for b in pieces(batches, "t"):
-            for k, r, s in zip(b.column("key").to_pylist(), b.column("row").to_pylist(), shingle_sets(b.column("t"), n), strict=True):
+            by_row = dict(zip(rows, sets, strict=True))
+            own = list(by_row)
+            pairs = link(list(by_row.values()), percent)
+            return pa.RecordBatch.from_arrays([pa.array([own[a] for a, _ in pairs], pa.int64()), pa.array([own[b] for _, b in pairs], pa.int64())], ["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = b.column("tokens").offsets.to_numpy()
+            flat = b.column("tokens").values.to_numpy().view(np.uint64)
+            for j, (k, r) in enumerate(zip(b.column("key").to_pylist(), b.column("row").to_pylist(), strict=True)):
                 if k != key and rows:
                     yield done()
                     rows, sets = [], []
                 key = k
                 rows.append(r)
-                sets.append(s)
+                sets.append(flat[at[j] : at[j + 1]].copy())
         if rows:
             yield done()
 
-    links = found.mapInArrow(verify, "a long, b long")
-    links = links.unionByName(sk.filter("same <> row").select(F.col("row").alias("a"), F.col("same").alias("b")))
-    copies = sk.filter("size > 0").groupBy(F.col("i").alias("__id"), F.col("h").alias("__h")).agg(F.min("row").alias("b"), F.count("*").alias("copies")).filter("copies > 1")
-    same = F.col("i").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")) & (F.col("row") != F.col("b"))
-    links = links.unionByName(sk.filter("size > 0").join(copies, same).select(F.col("row").alias("a"), "b"))
-    roots = components(links)
-    return sk.select("i", "h", "row", "size").join(roots, F.col("row") == F.col("node"), "left").select("i", "h", "size", F.coalesce("root", "row").alias("root"))
+    def linked(dealt: DataFrame) -> DataFrame:
+        """Edges among the rows of dealt(i, h, row, keys) that meet in a block and link."""
+        dealt = few(materialise(dealt.select(F.col("i").alias("__id"), F.col("h").alias("__h"), "row", "keys"), "jaccard-dealt"))
+        texts = keyed.join(dealt, F.col("i").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("keys", "row", "t")
+        sets = texts.mapInArrow(sets_of, "keys array<long>, row long, tokens array<long>").select(F.explode("keys").alias("key"), "row", "tokens")
+        return sets.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long")
+
+    links = materialise(linked(near_hubs(ids, "root")), "jaccard-links")
+    large = ids.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("s")).filter(blocks("n", "s") > 1)
+    if not large.isEmpty():
+        joined = components(links).select(F.col("node").alias("__node"), F.col("root").alias("label"))
+        joined = few(materialise(joined, "jaccard-labels"))
+        rows = ids.join(joined, F.col("row") == F.col("__node"), "left").select("i", "h", "row", "size", "root", F.coalesce("label", "row").alias("label"))
+        links = links.unionByName(linked(across(rows, "root", least=2)))
+    roots = few(materialise(components(links).select(F.col("node").alias("__node"), "root"), "jaccard-roots"))
+    out = marked.join(roots, F.col("rep") == F.col("__node"), "left").select("i", "h", "size", F.coalesce("root", "rep").alias("root"))
+    return materialise(out, "jaccard-components")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles, component_id of each row: two rows link when their n-gram sets' Jaccard similarity is percent/100 or more."""
     out = rooted(docs, id_col, text_col, n, percent)
-    least = out.groupBy("root").agg(F.min("i").alias("component_id"))
-    return out.join(least, "root").select(F.col("i").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
+    least = out.groupBy(F.col("root").alias("__root")).agg(F.min("i").alias("component_id"), F.count("*").alias("n")).filter("n > 1")
+    least = few(materialise(least.drop("n"), "jaccard-least"))
+    # Rows alone have themselves; a group without any id has none.
+    id_ = F.when(F.col("__root").isNull(), F.col("i")).otherwise(F.col("component_id"))
+    return out.join(least, F.col("root") == F.col("__root"), "left").select(F.col("i").alias(id_col), F.col("size").alias("n_shingles"), id_.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -415,11 +517,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Blank texts without an id are components of their own, and all stay.
     """
-    found = materialise(rooted(docs, id_col, text_col, n, percent), "jaccard-components")
+    found = rooted(docs, id_col, text_col, n, percent)
     key = F.struct(F.col("i").isNull().alias("none"), "i", "h")
-    best = found.groupBy("root").agg(F.min(key).alias("best"))
-    rest = found.join(best, "root").filter(~key.eqNullSafe(F.col("best"))).select(F.col("i").alias("__id"), F.col("h").alias("__h")).distinct()
-    rest = F.broadcast(rest) if rest.count() <= BROADCAST_ROWS else rest
+    best = found.groupBy(F.col("root").alias("__root")).agg(F.min(key).alias("best"), F.count("*").alias("n")).filter("n > 1")
+    best = few(materialise(best.drop("n"), "jaccard-best"))
+    rest = found.join(best, F.col("root") == F.col("__root")).filter(~key.eqNullSafe(F.col("best"))).select(F.col("i").alias("__id"), F.col("h").alias("__h")).distinct()
+    rest = few(materialise(rest, "jaccard-rest"))
     kept = docs.withColumn("__text", text_hash(F.col(text_col)))
     kept = kept.join(rest, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__h")), "left_anti")
     if found.groupBy("i", "h").count().filter("count > 1").isEmpty():
