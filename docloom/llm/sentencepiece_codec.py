@@ -10,8 +10,9 @@ tried twice. Characters without a piece split the part; they become their UTF-8
 Runs of spaces have pieces of equal score, for which the neighbour check alone doesn't decide; parts that begin with
 more than one space are merged by priority queue instead, as the definition says.
 
-Nulls and edges: null text is the empty text, which has no ids; very long texts are cut as above; a worker's cache is
-bounded by `CACHE` parts and emptied when full.
+Nulls and edges: null text is the empty text, which has no ids; very long texts are cut as above; ids may be null or
+repeat; other columns are neither read nor returned. A worker, which Spark uses again for other stages, keeps at most
+`CACHE` parts of `CACHED_CHARS` characters and `PAIRS` checked neighbours.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import bounded, pieces
 
 SPACE = "▁"
-CACHE, CACHED_CHARS, NONE = 500_000, 64, float("-inf")
+CACHE, PAIRS, CACHED_CHARS, NONE = 120_000, 120_000, 64, float("-inf")
 
 
 class Codec:
@@ -132,7 +133,7 @@ class Codec:
 
     def stands(self, a: str, b: str) -> bool:
         """Whether merging a's and b's characters again gives just a and b."""
-        if len(self.pair) > 1_000_000:
+        if len(self.pair) >= PAIRS:
             self.pair.clear()
         ok = self.pair[a, b] = self.merge(a + b) == [a, b]
         return ok
@@ -256,6 +257,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
             ids = [c.encode(t or "") for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(ids, pa.list_(pa.int32())), pa.array(map(c.decode, ids), pa.string())], ["i", "ids", "decoded"])
 
+    bounded(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"i {kind}, ids array<int>, decoded string").withColumnRenamed("i", id_col)
 
@@ -274,5 +276,6 @@ def encode_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", tex
                 d.append(hashlib.sha256(plain.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(n, pa.int64()), pa.array(a), pa.array(d)], ["i", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bounded(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"i {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("i", id_col)
