@@ -1,16 +1,19 @@
 """Language identification: script ranges narrow the candidates, then Viterbi over per-word scores labels spans.
 
-A word (a run of letters, lower case) has a log posterior for each language from word counts where the training text
-has it often enough, else from its character trigrams. Languages that don't write the word's script are no candidates.
-Viterbi with one penalty for a change of language gives the most probable label of each word of the whole text; spans
-are runs of equal labels and the document's language is the one with most letters. Documents of a batch advance
-together, one word each, so that the recursion runs over arrays.
+A word is a run of letters of one script, lower case; runs of more than `RUN` letters, as scripts without spaces have
+them, are cut into words of that length, so that every letter counts and a change of language within a run shows. A
+word has a log posterior for each language from word counts where the training text has it often enough, else from all
+its character trigrams. Languages that don't write the word's script are no candidates. Viterbi with one penalty for a
+change of language gives the most probable label of each word of the whole text; spans are runs of equal labels and the
+document's language is the one with most letters. Documents of a batch advance together, one word each, so that the
+recursion runs over arrays.
 
-The model is fitted on a bounded sample: about `per_lang` documents a language, chosen by a hash of the id, and at most
-`VOCABULARY` words and `GRAMS` trigrams a language. Its size doesn't depend on the corpus.
+The model is fitted on a bounded sample: about `per_lang` documents a language, chosen by a hash of the id. It holds
+every trigram and every word seen `LEAST` times there, so its size depends on the sample and not on the corpus.
 
 Nulls and edges: a null text and a text without a letter give `und` with score 0 and no spans; rows with a null
-language aren't learned from; ties go to the language first in order; without any training row every text is `und`.
+language or text aren't learned from; a null id hashes as the empty text; repeated rows get equal answers; ties go to
+the language first in order; without any training row every text is `und`.
 """
 
 from __future__ import annotations
@@ -25,10 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces
+from .common import bounded, pieces
 
-LETTERS = re.compile(r"[^\W\d_]+")
-VOCABULARY, GRAMS, CACHE, FLOOR, SWITCH = 20_000, 20_000, 400_000, -6.0, 7.0
+LEAST, RUN, CACHE, FLOOR, SWITCH = 3, 40, 150_000, -6.0, 7.0
 #: First and last code point of the letters of each script.
 SCRIPTS = {
     "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF)],
@@ -53,60 +55,82 @@ def script_of(char: str) -> str:
     return next((name for name, ranges in SCRIPTS.items() if any(a <= c <= b for a, b in ranges)), "other")
 
 
+def _words() -> re.Pattern[str]:
+    letter = r"[^\W\d_]"
+    classes = ["".join(c for a, b in ranges for c in map(chr, range(a, b + 1)) if re.match(letter, c)) for ranges in SCRIPTS.values()]
+    each = [f"[{c}]{{1,{RUN}}}" for c in classes]
+    return re.compile("|".join([*each, f"(?:(?![{''.join(classes)}]){letter}){{1,{RUN}}}"]))
+
+
+LETTERS = _words()
+
+
 def grams_of(word: str) -> list[str]:
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     return [w[i : i + 3] for i in range(len(w) - 2)]
 
 
 class Model:
-    """Scores of words for each language; what a worker has scored stays with its copy of the model."""
+    """Scores of words for each language, by table; what a worker has scored stays with its copy of the model."""
 
     def __init__(self, langs: list[str], counts: dict[str, dict[str, Counter]]):
         self.langs = langs
-        k = len(langs)
-        self.words, self.grams, self.scripts = {}, {}, {}
-        for kind, out, smooth in (("word", self.words, 0.3), ("gram", self.grams, 0.3)):
-            total = np.array([sum(counts[x][kind].values()) for x in langs], float)
-            keys = {w for x in langs for w in counts[x][kind]}
-            for w in keys:
-                n = np.array([counts[x][kind].get(w, 0) for x in langs], float)
-                out[w] = np.log((n + smooth) / (total + smooth * (len(keys) + 1)))
-            out[""] = np.log(smooth / (total + smooth * (len(keys) + 1)))
-        for s in {s for x in langs for s in counts[x]["script"]}:
-            share = np.array([counts[x]["script"].get(s, 0) / max(1, sum(counts[x]["script"].values())) for x in langs])
-            self.scripts[s] = share >= 0.005
-        self.rows = np.zeros((1024, k), np.float32)
+        self.words, self.word_table = self._table(counts, "word")
+        self.grams, self.gram_table = self._table(counts, "gram")
+        # For each script that the training text has, the languages that write it; where none does, all are candidates.
+        found = sorted({s for x in langs for s in counts[x]["script"]})
+        self.scripts = {s: i for i, s in enumerate(found)}
+        share = np.array([[counts[x]["script"].get(s, 0) / max(1, sum(counts[x]["script"].values())) for x in langs] for s in found]).reshape(len(found), len(langs))
+        may = share >= 0.005
+        self.may = np.concatenate([may | ~may.any(1, keepdims=True), np.ones((1, len(langs)), bool)])
+        self.forget()
+
+    def _table(self, counts: dict[str, dict[str, Counter]], kind: str, smooth: float = 0.3) -> tuple[dict[str, int], np.ndarray]:
+        """(place of each key, log probabilities by place and language; the last place is that of unseen keys)"""
+        keys = {w: i for i, w in enumerate(sorted({w for x in self.langs for w in counts[x][kind]}))}
+        n = np.zeros((len(keys) + 1, len(self.langs)))
+        for j, x in enumerate(self.langs):
+            for w, c in counts[x][kind].items():
+                n[keys[w], j] = c
+        return keys, np.log((n + smooth) / (n.sum(0) + smooth * (len(keys) + 1))).astype(np.float32)
+
+    def forget(self) -> None:
+        self.rows = np.zeros((1024, len(self.langs)), np.float32)
         self.letters = np.zeros(1024, np.int64)
         self.known: dict[str, int] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"rows": self.rows[:1], "letters": self.letters[:1], "known": {}}
 
-    def score(self, word: str) -> np.ndarray:
-        if (s := self.words.get(word)) is None:
-            g = grams_of(word)
-            s = np.sum([self.grams.get(x, self.grams[""]) for x in g], 0)
-        may = self.scripts.get(script_of(word[0]))
-        if may is not None and may.any():
-            s = np.where(may, s, -np.inf)
-        s = s - s.max()
-        return np.maximum(s - np.log(np.exp(s).sum()), FLOOR)
-
-    def id(self, word: str) -> int:
-        if (i := self.known.get(word)) is None:
-            i = self.known[word] = len(self.known)
-            if i >= len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-            self.letters[i] = sum(map(str.isalpha, word))
-            self.rows[i] = self.score(word) if self.letters[i] else 0
-        return i
+    def scores(self, words: list[str]) -> np.ndarray:
+        """The log posterior of each language for each word, by its count or else by its trigrams, within its script's languages."""
+        place = np.array([self.words.get(w, -1) for w in words], np.int64)
+        s = self.word_table[place]
+        rare = np.flatnonzero(place < 0)
+        if len(rare):
+            unseen, get = len(self.grams), self.grams.get
+            flat = [get(g, unseen) for i in rare for g in grams_of(words[i])]
+            first = np.concatenate([[0], np.cumsum([len(words[i]) for i in rare])[:-1]])
+            s[rare] = np.add.reduceat(self.gram_table[flat], first, axis=0)
+        of_char = {c: self.scripts.get(script_of(c), -1) for c in {w[0] for w in words}}
+        s = np.where(self.may[[of_char[w[0]] for w in words]], s, -np.inf)
+        s = s - s.max(1, keepdims=True)
+        return np.maximum(s - np.log(np.exp(s).sum(1, keepdims=True)), FLOOR)
 
     def ids(self, text: str) -> np.ndarray:
         words = LETTERS.findall(text.lower())
         found = list(map(self.known.get, words))
         if None in found:
-            found = [self.id(w) if i is None else i for i, w in zip(found, words, strict=True)]
+            new = list(dict.fromkeys(w for i, w in zip(found, words, strict=True) if i is None))
+            a, z = len(self.known), len(self.known) + len(new)
+            if z > len(self.rows):
+                more = max(z, 2 * len(self.rows)) - len(self.rows)
+                self.rows = np.concatenate([self.rows, np.zeros((more, len(self.langs)), np.float32)])
+                self.letters = np.concatenate([self.letters, np.zeros(more, np.int64)])
+            self.rows[a:z] = self.scores(new)
+            self.letters[a:z] = [len(w) for w in new]
+            self.known.update(zip(new, range(a, z), strict=True))
+            found = list(map(self.known.get, words))
         return np.array(found, np.int64)
 
     def viterbi(self, docs: list[np.ndarray]) -> list[np.ndarray]:
@@ -148,7 +172,7 @@ class Model:
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
         if len(self.known) > CACHE:
-            self.known.clear()
+            self.forget()
         docs = [self.ids(t) if t else np.zeros(0, np.int64) for t in texts]
         langs, scores, spans = [], [], []
         for d, label in zip(docs, self.viterbi(docs), strict=True):
@@ -169,6 +193,7 @@ class Model:
 
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1500) -> Model:
     """Learn from about per_lang of the documents for which `train` holds, by language, chosen by a hash of the id."""
+    bounded(docs.sparkSession)
     docs = docs.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), F.col(id_col).alias("i"), train.alias("ok")).filter("ok and l is not null and t is not null")
     sizes = {r["l"]: r["count"] for r in docs.groupBy("l").count().collect()}  # one row for each language
     if not sizes:
@@ -190,23 +215,21 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         for (lang, kind), c in got.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array([kind] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["l", "kind", "k", "n"])
 
-    sums = docs.filter(h < share).select("l", "t").mapInArrow(count, "l string, kind string, k string, n long").groupBy("l", "kind", "k").agg(F.sum("n").alias("n")).filter("kind <> 'word' or n >= 3")
+    sums = docs.filter(h < share).select("l", "t").mapInArrow(count, "l string, kind string, k string, n long").groupBy("l", "kind", "k").agg(F.sum("n").alias("n")).filter((F.col("kind") != "word") | (F.col("n") >= LEAST))
     counts = {x: {"word": Counter(), "gram": Counter(), "script": Counter()} for x in sorted(sizes)}
     for r in sums.collect():  # bounded by the sample
         counts[r["l"]][r["kind"]][r["k"]] = r["n"]
-    for x in counts.values():
-        for kind, most in (("word", VOCABULARY), ("gram", GRAMS)):
-            x[kind] = Counter(dict(sorted(x[kind].items(), key=lambda kv: (-kv[1], kv[0]))[:most]))
     return Model(sorted(sizes), counts)
 
 
 def tag(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with __lang, __score and __spans (first word, end, language) of each whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY and GRAMS
+    bounded(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, text_col, 12 << 20):
+        for b in pieces(batches, text_col, 6 << 20):
             langs, scores, spans = shared.value.predict(b.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, span)], [*b.schema.names, "__lang", "__score", "__spans"])
 
