@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, BYTE_LOWER, WORD, ascii_lower, materialise, pieces, text_bytes
+from .common import ASCII_LOWER, BYTE_LOWER, WORD, ascii_lower, bounded, materialise, pieces, text_bytes
 
 ORDER, NODES, FREQUENT = 5, 2_000_000, 150_000
 #: Orders whose nodes go to every worker (strings of up to so many bytes), and the rows for which one piece of the trie is built.
@@ -273,6 +273,7 @@ def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score of each whole text; the model learns where `train` holds."""
     spark = docs.sparkSession
+    bounded(spark)
     learn = docs.filter(train)
     each = nodes(gram_counts(learn, text_col))
     bare = each.isEmpty()

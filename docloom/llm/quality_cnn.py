@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, text_bytes
+from .common import bounded, pieces, text_bytes
 
 WIDTH, STEP, CHUNK, FILTERS, CHUNKS = 6, 2, 256, 16, 8
 PER = CHUNK // STEP  # filter positions in a chunk
@@ -100,6 +100,7 @@ def _chunks(text: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = 3000) -> Network:
     """Learn label_col of labels from about `rows` of the rows of labels for which train (of the id) holds."""
+    bounded(docs.sparkSession)
     known = labels.filter(train).groupBy(id_col).agg(F.max(label_col).alias("__label")).filter("__label is not null")
     n = known.count()
     h = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(4)), F.lit(1 << 20)) / float(1 << 20)
@@ -123,6 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (0 to 1) of each whole text."""
+    bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "t"):

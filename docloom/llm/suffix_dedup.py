@@ -31,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pieces, text_bytes
+from .common import bounded, materialise, pieces, text_bytes
 
-GRAM, PARTS, BLOCK, BROADCAST_ENTRIES = 16, 3, 5_000, 500_000
+GRAM, PARTS, BLOCK, BROADCAST_ENTRIES, KEPT = 16, 3, 5_000, 500_000, 4 << 20
 _R = np.random.default_rng(19920229)
 CODE = _R.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
@@ -54,16 +54,17 @@ class Rolling:
     def __init__(self, data: np.ndarray):
         n = len(data) + 1
         if len(Rolling.up) < n:
-            Rolling.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n * 5 // 4, np.uint64(BASE))]))
-            Rolling.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n * 5 // 4, np.uint64(INVERSE))]))
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(CODE[data] * Rolling.up[: n - 1])])
+            self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n * 5 // 4, np.uint64(b))])) for b in (BASE, INVERSE))
+            if n < KEPT:  # the powers for a very long text go with it
+                Rolling.up, Rolling.down = self.up, self.down
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(CODE[data] * self.up[: n - 1])])
 
     def of(self, begin: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-        return mix((self.sums[begin + size] - self.sums[begin]) * Rolling.down[begin])
+        return mix((self.sums[begin + size] - self.sums[begin]) * self.down[begin])
 
     def grams(self, size: int) -> np.ndarray:
         n = len(self.sums) - size
-        return mix((self.sums[size:] - self.sums[:-size]) * Rolling.down[:n]) if n > 0 else np.zeros(0, np.uint64)
+        return mix((self.sums[size:] - self.sums[:-size]) * self.down[:n]) if n > 0 else np.zeros(0, np.uint64)
 
 
 def anchors(rolling: Rolling, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,6 +193,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -
     step = -(-(length - GRAM + 1) // PARTS)
     lead = length - step + 1
     spark = docs.sparkSession
+    bounded(spark)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "t", 1 << 20):
