@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -71,6 +72,12 @@ def discard(spark: SparkSession, *written: DataFrame, since: int | None = None,
             WRITTEN.remove(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nobody holds any more, instead of when the driver's heap is full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def crc_mod(column: str, mod: int) -> Column:
     """crc32(column as text) mod `mod`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % mod

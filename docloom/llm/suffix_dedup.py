@@ -14,6 +14,11 @@ begin. Then:
 3. Leading bytes shared by more than `BLOCK` different suffixes don't go to one task: their strings are hashed one by
    one and counted with a partial sum.
 
+`remove` also tells the longest passage of a text that another document has as well. Passages are found by marks: the
+`MARK` bytes around each content-defined anchor of `MARK_WINDOW` bytes, about one for every 70 bytes, hashed and counted
+by document; neighbouring marks that are found elsewhere are one run. This sees passages too short for `length`: every
+one of MARK + MARK_WINDOW bytes or more has a mark, and its run ends less than MARK_WINDOW bytes short at either end.
+
 Copies of a text in a batch are read once and count as many times; texts are known by two 64-bit hashes, so copies of a
 text share one list of spans.
 
@@ -31,9 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise, pieces, text_bytes
+from .common import bounded, discard, materialise, pieces, release, text_bytes
 
 GRAM, PARTS, BLOCK, BROADCAST_ENTRIES, KEPT = 16, 3, 5_000, 500_000, 4 << 20
+MARK, MARK_WINDOW = 120, 160
 _R = np.random.default_rng(19920229)
 CODE = _R.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
@@ -188,6 +194,18 @@ def _sent(rows: DataFrame, lists: str) -> DataFrame:
     return F.broadcast(rows) if entries <= BROADCAST_ENTRIES else rows
 
 
+def once(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """x, y of each different text of a batch, how many copies it has there, and where the first is."""
+    count: dict[tuple[int, int], int] = {}
+    first: list[int] = []
+    for i, xy in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)):
+        if xy not in count:
+            first.append(i)
+        count[xy] = count.get(xy, 0) + 1
+    x, y = (np.array(c, np.int64) for c in zip(*count, strict=True))
+    return x, y, np.array(list(count.values()), np.int64), first
+
+
 def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -> DataFrame:
     """x, y (the hashes of _texts), spans: the runs of repeated bytes of each text that has any, as start << 32 | end."""
     step = -(-(length - GRAM + 1) // PARTS)
@@ -197,14 +215,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "t", 1 << 20):
-            count: dict[tuple[int, int], int] = {}
-            first: list[int] = []
-            for i, xy in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)):
-                if xy not in count:
-                    first.append(i)
-                count[xy] = count.get(xy, 0) + 1
-            x, y = (np.array(c, np.int64) for c in zip(*count, strict=True))
-            copies = np.array(list(count.values()), np.int64)
+            x, y, copies, first = once(b)
             got = suffixes(*text_bytes(b.column("t").take(pa.array(first))), length)
             of = got["text"]
             place = got["s"] << 20 | got["low"] << 10 | got["high"]
@@ -314,6 +325,50 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -
     return both.groupBy("x", "y").agg(F.collect_set("r").alias("r")).mapInArrow(merge, "x long, y long, spans array<long>")
 
 
+def marks(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place in it, hash) of the MARK bytes around each anchor that has as many; each hash once a text."""
+    rolling = Rolling(data)
+    _, anchor = anchors(rolling, offsets, MARK_WINDOW)
+    at = np.unique(anchor) - MARK // 2
+    text = np.searchsorted(offsets, at + MARK // 2, side="right") - 1
+    inside = (at >= offsets[text]) & (at + MARK <= offsets[text + 1])
+    at, text = at[inside], text[inside]
+    h = rolling.of(at, MARK)
+    _, once = np.unique(np.stack([text.astype(np.uint64), h]), axis=1, return_index=True)
+    return text[once], (at - offsets[text])[once], h[once].astype(np.int64)
+
+
+def passages(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """x, y (the hashes of _texts), shared: the longest run of bytes that another document has too."""
+    spark = docs.sparkSession
+    bounded(spark)
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "t", 1 << 20):
+            x, y, copies, first = once(b)
+            text, place, h = marks(*text_bytes(b.column("t").take(pa.array(first))))
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x[text], y[text], copies[text], place, h)], ["x", "y", "n", "place", "h"])
+
+    found = materialise(_texts(docs, text_col).mapInArrow(sample, "x long, y long, n long, place long, h long"), "suffix-marks")
+    again = found.groupBy(F.col("h").alias("__h")).agg(F.sum("n").alias("n")).filter("n > 1").select("__h")
+    again = materialise(again, "suffix-marks-again")
+    hit = found.join(again, F.col("h") == F.col("__h")).select("x", "y", F.shiftleft("place", 32).bitwiseOR(F.col("place") + MARK).alias("r"))
+
+    def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.column("r").to_pylist():
+                v = np.array(r, np.int64)
+                a, z = spans(v >> 32, v & 0xFFFFFFFF)
+                out.append(int((z - a).max()))
+            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), pa.array(out, pa.int64())], ["x", "y", "shared"])
+
+    runs = hit.groupBy("x", "y").agg(F.collect_set("r").alias("r")).mapInArrow(longest, "x long, y long, shared long")
+    out = materialise(runs, "suffix-passages")
+    discard(spark, found, again)
+    return out
+
+
 def powers(n: int) -> np.ndarray:
     return np.cumprod(np.full(n, np.uint64(BASE)))
 
@@ -340,7 +395,7 @@ def kept_of(raw: bytes, runs: list[int] | None) -> tuple[bytes, int]:
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256 of each text."""
+    """id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256, longest_shared (see passages(), 0 for none) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "t"):
@@ -350,11 +405,17 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
                 kept, gone = kept_of(raw, s)
                 rows.append((len(raw), gone, len(s or ()), kept, hashlib.sha256(kept).hexdigest()))
             columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([b.column("i"), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True))], ["i", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column("i"), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)), b.column("p")], ["i", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "longest_shared"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = with_spans(docs, text_col, length).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col("__spans").alias("s"))
-    return out.mapInArrow(run, f"i {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string").withColumnRenamed("i", id_col)
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    shared_ = passages(rows, "t").withColumnsRenamed({"x": "__x", "y": "__y"})
+    release(docs.sparkSession)
+    shared_ = F.broadcast(shared_) if shared_.count() <= BROADCAST_ENTRIES else shared_
+    t = F.coalesce(F.col("t"), F.lit(""))
+    out = with_spans(rows, "t", length).join(shared_, (F.xxhash64(t, F.lit(1)) == F.col("__x")) & (F.xxhash64(t, F.lit(2)) == F.col("__y")), "left")
+    out = out.select("i", "t", F.col("__spans").alias("s"), F.coalesce("shared", F.lit(0).cast("long")).alias("p"))
+    return out.mapInArrow(run, f"i {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, longest_shared long").withColumnRenamed("i", id_col)
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", length: int = 400) -> DataFrame:

@@ -185,6 +185,29 @@ def test_suffix_dedup(docs, empty, texts, block, monkeypatch):
         assert suffix_dedup.remove(empty).collect() == []
 
 
+def test_shared_passages(spark):
+    r = random.Random(14)
+    make = lambda n: " ".join("".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(n))
+    rows, size = [], {}
+    for k in range(30):
+        passage = make(52)
+        for j in (0, 1):
+            rows.append((2 * k + j, f"{make(r.randint(0, 200))} {passage} {make(r.randint(0, 200))}"))
+            size[2 * k + j] = len(passage)
+    line = make(12)
+    rows += [(100 + k, f"{make(80)} {line} {make(80)}") for k in range(20)] + [(200, (make(60) + " ") * 2), (300, make(90)), (300, None), (None, "")]
+    rows += [(400, rows[-3][1]), (None, rows[-3][1])]
+    out = suffix_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    for x in out:
+        if x.doc_id in size:
+            # The bytes next to a passage may agree by chance.
+            assert x.longest_shared <= size[x.doc_id] + 12 and x.longest_shared >= (size[x.doc_id] >= 280) * suffix_dedup.MARK
+        elif x.doc_id is not None and x.doc_id <= 200:
+            assert x.longest_shared == 0
+    assert sum(x.longest_shared > 0 for x in out if x.doc_id in size) > 0.9 * len(size)
+    assert all(x.longest_shared > 200 for x in out if x.n_bytes > 400 and x.doc_id in (300, 400, None))
+
+
 def test_multikey_sort_is_lexicographic():
     r = np.random.default_rng(5)
     words = r.integers(0, 3, (500, 12)).astype(">u8")
@@ -305,6 +328,52 @@ def test_imatch_uses_every_term_of_the_band(spark):
     assert not any(e.startswith("zz") for r in found.values() for e in r.fingerprint.split("-"))
 
 
+def test_imatch_is_the_definition(spark):
+    """Band, subsets and grouping by brute force; only the 64-bit hash function itself is Spark's."""
+    r = random.Random(12)
+    rows = [(k, " ".join(r.choice([f"w{r.randint(0, 60)}", f"Rare{r.randint(0, 10**6)}", "é"]) for _ in range(r.randint(0, 60)))) for k in range(120)] + [(500, None), (501, "")]
+    rows.append((rows[3][0], rows[3][1]))
+    terms = {t: sorted({w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) if w}) for _, t in rows}
+    df = Counter(w for _, t in rows for w in terms[t])
+    band = {w for w, c in df.items() if 0.02 * len(rows) <= c <= 0.5 * len(rows)}
+    words = sorted(df)
+    h = {x.w: (x.a, x.b) for x in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", "xxhash64(w) a", "xxhash64(w, 1) b").collect()}
+    want = {}
+    for t, own in terms.items():
+        own = [w for w in own if w in band]
+        subsets = {f"w{k}": " ".join(w for w in own if h[w][1] >> 2 * k & 3) for k in range(imatch.WIDE)}
+        for rate, cells in enumerate(imatch.RATES):
+            for w in own:
+                cell = (h[w][0] >> 54 - 10 * rate & 1023) % cells
+                if cell < 16:
+                    name = f"{16 * rate + cell:02d}"
+                    subsets[name] = (subsets.get(name, "") + f" {name}:{w}").strip()
+        want[t] = {k: v for k, v in subsets.items() if v} or {"zz": " ".join(terms[t])}
+    texts = sorted({v for x in want.values() for v in x.values()})
+    code = {x.t: x.c for x in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "hex(xxhash64(t)) c").collect()}
+    found = imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), low=0.02, high=0.5).collect()
+    assert len(found) == len(rows)
+    text = dict(rows)
+    for x in found:
+        own = want[text[x.doc_id]]
+        made = {f"{k}{code[v] if k == 'zz' else code[v].rjust(16, '0')}" for k, v in own.items()}
+        assert set(x.fingerprint.split("-")) == made
+
+
+def test_imatch_with_repeated_and_null_ids(spark):
+    rows = [(7, f"t{k} same words here") for k in range(60)] + [(None, f"n{k} none") for k in range(40)] + [(k, f"u{k} one") for k in range(30)] + [(None, None), (7, "t1 same words here")]
+    out = imatch.compare(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(out) == len(rows)
+    h = {x.t or "": x.h for x in spark.createDataFrame([(t or "",) for _, t in rows], "t string").selectExpr("t", "xxhash64(t) h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), h[r[1] or ""]))
+    want = Counter()
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
+        t, nxt = t or "", nxt or ""
+        half = len(t) // 2
+        want[i, hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()] += 1
+    assert Counter((x.doc_id, x.edited_sha256) for x in out) == want
+
+
 @pytest.mark.parametrize(("n", "percent", "block"), [(4, 85, 20_000), (5, 80, 2)])
 def test_jaccard_join(docs, empty, texts, n, percent, block, monkeypatch):
     monkeypatch.setattr(jaccard_trie, "BLOCK", block)
@@ -377,6 +446,24 @@ def test_exact_search(spark):
     assert va_file.search(vectors.limit(0), query).collect() == []
 
 
+def test_exact_search_by_row_and_width(spark, monkeypatch):
+    """Repeated query ids across batches, vectors of two widths, negative, huge and equal ones: by brute force."""
+    r = np.random.default_rng(11)
+    rows = [(k % 40 * 10, (r.normal(size=6 if k % 3 else 4) * (1e6 if k == 7 else 1)).tolist()) for k in range(130)]
+    rows += [(100, rows[5][1]), (100, rows[5][1]), (300, [0.0] * 6)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    want = []
+    for i, v in whole:
+        if i % 100 == 0:
+            score = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in whole if j != i and len(w) == len(v))[:10]
+            want += [(i, n, j, -s) for n, (s, j) in enumerate(score, 1)]
+    for batch in (20_000, 2):
+        monkeypatch.setattr(va_file, "BATCH", batch)
+        found = va_file.search(vectors, vectors["vec_id"] % 100 == 0, block=16).collect()
+        assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in found) == sorted(want)
+
+
 def test_language_id(docs, empty, texts):
     model = langid.fit(docs, crc_mod("doc_id", 4) != 2)
     rows = got(langid.identify(docs, model))
