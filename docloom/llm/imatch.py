@@ -2,19 +2,23 @@
 
 Document frequencies are counted over all documents. The lexicon keeps terms whose share of documents lies in a band;
 since a document has so many different terms, at most (terms a document) / LOW can have a share of LOW, so the lexicon's
-size is bounded whatever the corpus. It is arranged as a hash table in one array, which each task gets as a constant.
-A document's terms in the lexicon are made distinct and sorted, and for each of 64 random subsets of the lexicon
-(16 at each of four rates, so that short and long documents alike have subsets with a few of their terms) the sorted
-terms are hashed. The 16 subsets of the first rate take every term; rates choose independently. The fingerprint lists
-the subsets that have a term, with their hashes; the likeness of two fingerprints is the share of common entries among
-all.
+size doesn't follow the corpus. It is arranged as a hash table in one array, which each task gets as a constant, and a
+band of more than `TERMS` terms is refused.
+
+A document's terms in the lexicon are made distinct and sorted, and the sorted terms of each of several random subsets
+of the lexicon are hashed with 64 bits: `WIDE` overlapping subsets, each with three quarters of all terms, which agree
+for texts that differ in few terms, and 16 subsets at each of four rates, so that short and long documents alike have
+subsets with a few of their terms and a text edited by half still has some in common. The 16 of the first rate take
+every term; subsets and rates choose independently. The fingerprint lists the subsets that have a term, with their
+hashes; the likeness of two fingerprints is the share of common entries among all.
 
 The next document is found without a global window: ids are dealt into ranges by their quantiles, each range finds its
-own neighbours, and the first row of each range is passed to the range before.
+own neighbours, and the first row of each range is passed to the range before. Rows that share a very frequent id, or
+have none, are ordered and dealt by their texts' hashes.
 
 Nulls and edges: null text is empty; an empty text and a text without a lexicon term have one entry, the hash of their
 distinct sorted terms, so that equal texts agree and others don't; documents with equal ids follow in order of their
-texts' hashes, null ids come last; a table of one row is its own next.
+texts' hashes, null ids come last; a table of one row is its own next; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql.window import Window
 
 from .common import materialise
 
-LOW, HIGH = 0.001, 0.2
+LOW, HIGH, TERMS, WIDE = 0.001, 0.2, 1_000_000, 4
 #: Into how many cells each rate deals all terms; its subsets are the first 16 cells, so those of the first have every term.
 RATES = (16, 64, 256, 1024)
 #: For each rate, the subset of a term by ten bits of its hash, '-' where it has none (no term begins so).
@@ -44,7 +48,10 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: flo
     counts = docs.select(F.explode(terms_of(F.col(text_col))).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     n = docs.count()
     band = materialise(counts.filter((F.col("df") >= n * low) & (F.col("df") <= max(2, n * high))).select("w"), "imatch-lexicon")
-    slots = 1 << max(1, band.count()).bit_length()
+    size = band.count()
+    if size > TERMS:
+        raise ValueError(f"{size} terms lie in the band; every task holds them, so raise `low`")
+    slots = 1 << max(1, size).bit_length()
     table: list[list[str]] = [[] for _ in range(slots)]
     for r in band.select(F.pmod(F.xxhash64("w"), F.lit(slots)).cast("int").alias("slot"), "w").collect():  # bounded by the band
         table[r["slot"]].append(r["w"])
@@ -63,11 +70,22 @@ def fingerprint(text: Column, table: Column) -> Column:
         place = F.shiftright(F.xxhash64(w), 54 - 10 * rate).bitwiseAND(F.lit(1023)).cast("int")
         return F.concat(F.element_at(F.split(F.lit(SUBSETS[rate]), " "), place + 1), w)
 
-    each = F.transform(inside, lambda w: F.filter(F.array(*[coded(w, r) for r in range(len(RATES))]), lambda e: ~F.startswith(e, F.lit("-"))))
-    entries = F.array_sort(F.flatten(each))
-    # One run for each subset: entries are in order, so those of a subset stand together.
-    runs = F.regexp_extract_all(F.array_join(entries, " "), F.lit(r"(\d\d):[^ ]+(?: \1:[^ ]+)*"), F.lit(0))
-    hashed = F.transform(runs, lambda r: F.concat(F.substring(r, 1, 2), F.lpad(F.hex(F.xxhash64(r).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")))
+    def printed(name: Column, words: Column) -> Column:
+        return F.concat(name, F.lpad(F.hex(F.xxhash64(words)), 16, "0"))
+
+    def entries(own: Column) -> Column:
+        each = F.transform(own, lambda w: F.filter(F.array(*[coded(w, r) for r in range(len(RATES))]), lambda e: ~F.startswith(e, F.lit("-"))))
+        # One run for each subset: in order, the terms of a subset stand together.
+        runs = F.regexp_extract_all(F.array_join(F.array_sort(F.flatten(each)), " "), F.lit(r"(\d\d):[^ ]+(?: \1:[^ ]+)*"), F.lit(0))
+        # A wide subset leaves out the terms that have two certain bits of another hash clear.
+        def wider(k: int) -> Column:
+            return F.array_join(F.filter(own, lambda w: F.shiftright(F.xxhash64(w, F.lit(1)), 2 * k).bitwiseAND(F.lit(3)) != 0), " ")
+
+        wide = [wider(k) for k in range(WIDE)]
+        wide = F.filter(F.array(*[F.when(x != "", printed(F.lit(f"w{k}"), x)) for k, x in enumerate(wide)]), lambda e: e.isNotNull())
+        return F.concat(wide, F.transform(runs, lambda r: printed(F.substring(r, 1, 2), r)))
+
+    hashed = F.element_at(F.transform(F.array(F.array_sort(inside)), entries), 1)
     alone = F.array(F.concat(F.lit("zz"), F.hex(F.xxhash64(F.array_join(F.array_sort(terms), " ")))))
     # Through a list of one, so that it is computed once.
     return F.element_at(F.transform(F.array(hashed), lambda h: F.when(F.size(h) > 0, h).otherwise(alone)), 1)
@@ -81,21 +99,32 @@ def likeness(a: Column, b: Column) -> Column:
 def neighbours(docs: DataFrame, id_col: str, text_col: str, extra: Column) -> DataFrame:
     """i, t, e, next: each text, `extra` of it (over column t), and t and e of the document with the next smaller id;
     after the last comes the first."""
-    rows = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("e", extra)
+    bare = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    cuts = docs.select(F.col(id_col).alias("i")).agg(F.percentile_approx("i", F.array(*[F.lit(k / parts) for k in range(1, parts)]), 10_000)).first()[0]
-    cuts = sorted(set(cuts or []), reverse=True)
-    at = F.lit(len(cuts) + 1) if not cuts else F.when(F.col("i").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(F.lit(cuts), lambda c: F.col("i") < c)))
-    order = [F.desc_nulls_last("i"), F.xxhash64("t")]
-    rows = rows.withColumn("p", at)
-    window = Window.partitionBy("p").orderBy(*order)
-    ranged = rows.withColumns({"next": F.lead(F.struct("t", "e")).over(window), "last": F.lead(F.lit(1)).over(window).isNull()})
-    # The first row of each range: a range for each quantile, so few rows.
-    first = rows.withColumn("h", F.xxhash64("t")).groupBy("p").agg(F.max_by(F.struct("t", "e"), F.struct(F.col("i").isNotNull().alias("a"), F.col("i").alias("b"), (-F.col("h").cast("decimal(20,0)")).alias("c"))).alias("first"))
+    found = docs.select(F.col(id_col).alias("i")).agg(F.percentile_approx("i", F.array(*[F.lit(k / parts) for k in range(1, parts)]), 10_000)).first()[0] or []
+    cuts = sorted(set(found), reverse=True)
+    # An id that is several quantiles, and the null id, go on in that many ranges of their texts' hashes.
+    hot = [c for c in cuts if found.count(c) > 1]
+    slice_ = F.floor((F.shiftright("h", 32) + (1 << 31)) / float(1 << 32) * parts).cast("int")
+    at = F.size(F.filter(F.lit(cuts), lambda c: F.col("i") < c)) if cuts else F.lit(0)
+    at = F.when(F.col("i").isNull(), len(cuts) + 1).otherwise(at) * 2
+    split = F.col("i").isNull() | (F.col("i").isin(hot) if hot else F.lit(False))
+    # Ids between two cuts come before the smaller one itself.
+    at = at + (F.when(F.col("i").isin(cuts), 1).otherwise(0) if cuts else 0)
+    bare = bare.withColumn("p", at.cast("long") * (parts + 1) + F.when(split, slice_).otherwise(0))
+    window = Window.partitionBy("p").orderBy(F.desc_nulls_last("i"), "h")
+    ranged = bare.withColumn("e", extra).withColumns({"next": F.lead(F.struct("t", "e")).over(window), "last": F.lead(F.lit(1)).over(window).isNull()})
+    # The first row of each range, by keys alone: a few ranges for each partition, so few rows.
+    key = F.struct(F.col("i").isNotNull(), F.col("i"), -F.col("h").cast("decimal(20,0)"))
+    first = materialise(bare.groupBy("p").agg(F.max_by(F.struct("i", "h"), key).alias("first")).select(F.col("p").alias("q"), "first.*"), "imatch-firsts")
+    first = first.withColumnsRenamed({"i": "__i", "h": "__h"})
+    texts = bare.join(F.broadcast(first), (F.col("p") == F.col("q")) & F.col("i").eqNullSafe(F.col("__i")) & (F.col("h") == F.col("__h")))
+    texts = texts.groupBy("p").agg(F.first("t").alias("t")).withColumn("first", F.struct("t", extra.alias("e")))
     ring = Window.orderBy("p")
     every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = materialise(first.withColumn("after", F.coalesce(F.lead("first").over(ring), F.min_by("first", "p").over(every))).select(F.col("p").alias("q"), "after"), "imatch-ranges")
-    return ranged.join(F.broadcast(first), (F.col("p") == F.col("q"))).select("i", "t", "e", F.when(F.col("last"), F.col("after")).otherwise(F.col("next")).alias("next"))
+    after = texts.select(F.col("p").alias("q"), F.coalesce(F.lead("first").over(ring), F.min_by("first", "p").over(every)).alias("after"))
+    after = materialise(after, "imatch-ranges")
+    return ranged.join(F.broadcast(after), (F.col("p") == F.col("q"))).select("i", "t", "e", F.when(F.col("last"), F.col("after")).otherwise(F.col("next")).alias("next"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
