@@ -6,10 +6,12 @@ of the keywords, `GATE`, is no candidate; on candidates only rules whose keyword
 lies in another one of at least its priority is suppressed: the longer wins, then the higher priority, then the earlier
 rule. Nothing is shuffled: a row is scanned where it is read.
 
-Rules are made from license families and forms of reference, several hundred in all.
+Rules are signatures of license texts and notices, written one by one, and forms of reference to license families,
+several hundred in all, in order of priority.
 
-Nulls and edges: null text is empty, has no words and no labels; labels are distinct and sorted; texts of any length
-are scanned whole.
+Nulls and edges: null text is empty, has no words and no labels; labels are distinct and sorted; repeated rows and null
+ids are rows like others; texts of any length are scanned whole, and the search for what suppresses a detection stays
+within `NEAR` words of it, which no rule's match reaches across.
 """
 
 from __future__ import annotations
@@ -91,16 +93,79 @@ FORMS = (
     ("label", "licen[sc]e {name}", 15, 0.7),
     ("name", "{name} licen[sc]e", 10, 0.6),
 )
-#: Signatures that are their own: label, keyword, expression, priority, confidence.
+#: Signatures of license texts and notices: label, keyword, expression, priority, confidence.
 TEXTS = (
-    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy", 60, 0.98),
-    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 60, 0.98),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 60, 0.95),
+    ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy", 60, 0.98),
+    ("mit", "substantial portions", "copyright notice and this permission notice shall be included in all copies or substantial portions", 58, 0.95),
+    ("mit", "without warranty of any kind", "the software is provided as is without warranty of any kind express or implied", 50, 0.85),
+    ("x11", "x consortium", "name of the x consortium shall not be used in advertising", 60, 0.95),
+    ("isc", "permission to use", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted", 60, 0.98),
+    ("0bsd", "permission to use", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted the software is provided", 62, 0.9),
+    ("bsd", "redistribution and use", "redistribution and use in source and binary forms(?: of)? with or without modification are permitted", 60, 0.95),
+    ("bsd", "redistributions of source code", "redistributions of source code must retain the above copyright notice this list of conditions", 58, 0.95),
+    ("bsd", "redistributions in binary form", "redistributions in binary form must reproduce the above copyright notice", 58, 0.95),
+    ("bsd-3-clause", "endorse or promote", "neither the name of(?: [a-z0-9]+){1,8} nor the names of its contributors may be used to endorse or promote products", 61, 0.97),
+    ("bsd-4-clause", "advertising materials", "all advertising materials mentioning features or use of this software must display", 61, 0.97),
+    ("apache-2", "limitations under the license", "see the license for the specific language governing permissions and limitations under the license", 55, 0.9),
+    ("apache-2", "you may not use this file", "you may not use this file except in compliance with the license", 55, 0.9),
+    ("apache-2", "apache org", "apache org licenses license 2 0", 56, 0.98),
+    ("apache-2", "terms and conditions for use", "terms and conditions for use reproduction and distribution", 54, 0.85),
     ("gpl", "you can redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license", 60, 0.98),
+    ("gpl", "gnu general public license", "received a copy of the gnu general public license along with", 58, 0.98),
+    ("gpl-2", "either version 2", "gnu general public license as published by the free software foundation either version 2 of the license", 62, 0.98),
+    ("gpl-3", "either version 3", "gnu general public license as published by the free software foundation either version 3 of the license", 62, 0.98),
+    ("lgpl", "you can redistribute", "you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", 60, 0.98),
+    ("lgpl-2.1", "either version 2 1", "gnu lesser general public license as published by the free software foundation either version 2 1", 62, 0.98),
+    ("lgpl-3", "either version 3", "gnu lesser general public license as published by the free software foundation either version 3", 62, 0.98),
+    ("agpl-3", "either version 3", "gnu affero general public license as published by the free software foundation either version 3", 62, 0.98),
+    ("agpl", "you can redistribute", "you can redistribute it and or modify it under the terms of the gnu affero general public license", 60, 0.98),
+    ("gfdl", "copy distribute and or modify", "copy distribute and or modify this document under the terms of the gnu free documentation license", 60, 0.98),
+    ("mpl-2", "source code form is subject", "this source code form is subject to the terms of the mozilla public license v 2 0", 62, 0.99),
+    ("mpl-1.1", "contents of this file", "the contents of this file are subject to the mozilla public license version 1 1", 62, 0.99),
+    ("epl-2", "accompanying materials", "accompanying materials are made available under the terms of the eclipse public license 2 0", 62, 0.99),
+    ("epl-1", "accompanying materials", "accompanying materials are made available under the terms of the eclipse public license v1 0", 62, 0.99),
+    ("cddl-1", "contents of this file", "the contents of this file are subject to the terms of the common development and distribution license", 62, 0.99),
+    ("eupl-1.2", "european union public", "licensed under the european union public licence v 1 2", 62, 0.98),
+    ("zlib", "as is without any express", "this software is provided as is without any express or implied warranty", 55, 0.85),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented", 60, 0.97),
+    ("libpng", "contributing authors", "libpng the contributing authors and", 55, 0.85),
+    ("unlicense", "unencumbered software", "this is free and unencumbered software released into the public domain", 62, 0.99),
+    ("wtfpl", "do what the fuck", "do what the fuck you want to public license", 62, 0.99),
+    ("bsl-1", "boost", "distributed under the boost software license version 1 0", 62, 0.99),
+    ("artistic-2", "artistic", "the artistic license 2 0", 55, 0.95),
+    ("python-2", "psf is making python", "psf is making python available to licensee on an as is basis", 60, 0.97),
+    ("ruby", "same terms as ruby", "under the same terms as ruby itself", 55, 0.95),
+    ("perl", "same terms as perl", "under the same terms as perl itself", 55, 0.95),
+    ("php-3", "php software", "this product includes php software", 55, 0.95),
+    ("openssl", "openssl project", "software developed by the openssl project for use in the openssl toolkit", 60, 0.97),
+    ("postgresql", "postgresql", "permission to use copy modify and distribute postgresql", 58, 0.9),
+    ("ofl-1.1", "sil open font", "this font software is licensed under the sil open font license version 1 1", 62, 0.99),
+    ("ofl-1.1", "reserved font name", "with reserved font name", 50, 0.9),
+    ("cc0", "to the extent possible under law", "to the extent possible under law(?: [a-z0-9]+){1,8} has waived all copyright and related or neighboring rights", 62, 0.98),
+    ("cc0", "creativecommons org", "creativecommons org publicdomain zero 1 0", 62, 0.99),
+    ("cc-by-nc-nd", "creativecommons org", "creativecommons org licenses by nc nd [1-4] [05]", 62, 0.99),
+    ("cc-by-nc-sa", "creativecommons org", "creativecommons org licenses by nc sa [1-4] [05]", 62, 0.99),
+    ("cc-by-nc", "creativecommons org", "creativecommons org licenses by nc [1-4] [05]", 61, 0.99),
+    ("cc-by-nd", "creativecommons org", "creativecommons org licenses by nd [1-4] [05]", 61, 0.99),
+    ("cc-by-sa", "creativecommons org", "creativecommons org licenses by sa [1-4] [05]", 61, 0.99),
+    ("cc-by", "creativecommons org", "creativecommons org licenses by [1-4] [05]", 60, 0.99),
+    ("odbl", "open database license", "made available under the open database license", 60, 0.98),
     ("public-domain", "dedicated", "dedicated to the public domain", 45, 0.9),
+    ("public-domain", "in the public domain", "(?:is|are) in the public domain", 45, 0.8),
+    ("public-domain", "no copyright", "(?:has|have) no copyright", 30, 0.6),
     ("cc-by-nc", "cc by", "cc by nc(?: [1-4] [05])?", 25, 0.8),
+    ("beerware", "beer ware", "beer ware license", 50, 0.95),
+    ("json", "good not evil", "the software shall be used for good not evil", 62, 0.99),
+    ("elastic-2", "elastic license", "elastic license(?: version)? 2(?: 0)?", 50, 0.95),
+    ("sspl-1", "server side public license", "server side public license(?: version)?(?: 1)?", 50, 0.95),
+    ("busl-1.1", "business source license", "business source license(?: 1 1)?", 50, 0.95),
+    ("commons-clause", "commons clause", "commons clause license condition", 50, 0.95),
+    ("proprietary", "proprietary and confidential", "(?:is |are )?proprietary and confidential", 40, 0.8),
+    ("proprietary", "strictly prohibited", "unauthorized (?:copying|reproduction|use|distribution)(?: [a-z]+){0,6} is strictly prohibited", 40, 0.8),
+    ("proprietary", "may not be reproduced", "may not be reproduced(?: [a-z]+){0,8} without(?: the)?(?: prior)?(?: express)?(?: written)? (?:permission|consent)", 35, 0.7),
     ("proprietary", "reserved", "all rights reserved", 5, 0.5),
 )
+NEAR, BLOCK = 64, 4096
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
@@ -135,17 +200,11 @@ def detections(words: Column, keys: Column) -> Column:
     known = F.filter(F.expr(f"array({sql})"), lambda r: F.array_contains(keys, r["key"]))
 
     def matched(r: Column) -> Column:
-        between = F.transform(F.split(words, r["form"]), spaces)
-        sizes = F.transform(F.regexp_extract_all(words, r["form"], F.lit(0)), spaces)
-        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<first: int, stop: int>>)").alias("out"))
-
-        def step(state: Column, x: Column) -> Column:
-            first = state["at"] + x["between"]
-            return F.struct((first + x["size"]).alias("at"), F.concat(state["out"], F.array(F.struct(first.alias("first"), (first + x["size"]).alias("stop")))).alias("out"))
-
-        pairs = F.zip_with(F.slice(between, 1, F.size(sizes)), sizes, lambda b, s: F.struct(b.alias("between"), s.alias("size")))
-        found = F.aggregate(pairs, start, step, lambda s: s["out"])
-        return F.transform(found, lambda m: F.struct(r["label"].alias("label"), m["first"].alias("first"), m["stop"].alias("stop"), r["rank"].alias("rank"), r["sure"].alias("sure"), r["rule"].alias("rule")))
+        # Matches are set off by marks that no text has in its words; then a word's place is its index.
+        each = F.split(F.regexp_replace(words, F.concat(F.lit("( )("), F.substr(r["form"], F.lit(2), F.length(r["form"]) - 6), F.lit(")(?= )")), F.lit("$1\x01$2\x02")), " ")
+        first = F.filter(F.transform(each, lambda w, i: F.when(F.startswith(w, F.lit("\x01")), i - 1)), lambda x: x.isNotNull())
+        last = F.filter(F.transform(each, lambda w, i: F.when(F.endswith(w, F.lit("\x02")), i)), lambda x: x.isNotNull())
+        return F.zip_with(first, last, lambda a, z: F.struct(r["label"].alias("label"), a.alias("first"), z.alias("stop"), r["rank"].alias("rank"), r["sure"].alias("sure"), r["rule"].alias("rule")))
 
     return F.flatten(F.transform(F.filter(known, lambda r: F.rlike(words, r["form"])), matched))
 
@@ -158,7 +217,16 @@ def kept(found: Column) -> Column:
         longer = (o["stop"] - o["first"]) > (d["stop"] - d["first"])
         return inside & (longer | (o["rank"] > d["rank"]) | (o["rule"] < d["rule"]))
 
-    return F.filter(found, lambda d: ~F.exists(found, lambda o: over(d, o)))
+    def among(some: Column, others: Column) -> Column:
+        return F.filter(some, lambda d: ~F.exists(others, lambda o: over(d, o)))
+
+    def block(b: Column) -> Column:
+        near = F.filter(found, lambda o: (o["first"] >= b * BLOCK - NEAR) & (o["first"] < (b + 1) * BLOCK + NEAR))
+        own = lambda near: among(F.filter(near, lambda d: F.floor(d["first"] / BLOCK) == b), near)
+        return F.element_at(F.transform(F.array(near), own), 1)
+
+    blocks = F.array_sort(F.array_distinct(F.transform(found, lambda d: F.floor(d["first"] / BLOCK))))
+    return F.when(F.size(found) <= 100, among(found, found)).otherwise(F.flatten(F.transform(blocks, block)))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
