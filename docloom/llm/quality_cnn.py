@@ -5,11 +5,13 @@ for each offset, so the convolution is a sum of table rows. Its rectified output
 bytes that overlap by half and cover the whole document; the chunks' features are averaged and a linear layer gives one
 probability. Filters and layer are learned together by gradient descent (Adam) through the pooling.
 
-Training takes a bounded sample: about `rows` labelled documents chosen by a hash of the id, up to `CHUNKS` chunks of
-each, so its cost doesn't depend on the corpus. Scoring reads every byte.
+Training takes a bounded sample: about `rows` labelled documents chosen by a hash of the id, fewer where these have
+more than `most` bytes together, and all chunks of each. So its cost doesn't depend on the corpus. Scoring reads every
+byte.
 
-Nulls and edges: null and empty texts are one chunk of zero bytes; rows with a null label aren't learned from; a
-document labelled more than once counts with its highest label; without training rows every score is 0.5.
+Nulls and edges: null and empty texts are one chunk of zero bytes; rows with a null label or id aren't learned from; a
+document labelled more than once counts with its highest label; repeated rows get equal scores; without training rows
+every score is 0.5.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded, pieces, text_bytes
 
-WIDTH, STEP, CHUNK, FILTERS, CHUNKS = 6, 2, 256, 16, 8
+WIDTH, STEP, CHUNK, FILTERS = 6, 2, 256, 16
 PER = CHUNK // STEP  # filter positions in a chunk
 BLOCK = 1 << 16
 
@@ -88,24 +90,29 @@ class Network:
 
 
 def _chunks(text: np.ndarray) -> np.ndarray:
-    """Up to CHUNKS chunks, evenly spread over the text."""
-    last = max(0, len(text) - CHUNK)
-    starts = np.unique(np.linspace(0, last, CHUNKS).astype(int)) if last else np.zeros(1, int)
-    out = np.zeros((len(starts), CHUNK + WIDTH), np.uint8)
-    for row, a in zip(out, starts, strict=True):
-        part = text[a : a + CHUNK + WIDTH]
-        row[: len(part)] = part
-    return out
+    """All chunks of a text, as scoring sees them, each with the WIDTH bytes that follow."""
+    halves = max(2, -(-len(text) // (CHUNK // 2)))
+    padded = np.zeros(halves * (CHUNK // 2) + WIDTH, np.uint8)
+    padded[: len(text)] = text
+    return np.lib.stride_tricks.sliding_window_view(padded, CHUNK + WIDTH)[:: CHUNK // 2]
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = 3000) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = 1500, most: int = 32 << 20) -> Network:
     """Learn label_col of labels from about `rows` of the rows of labels for which train (of the id) holds."""
     bounded(docs.sparkSession)
     known = labels.filter(train).groupBy(id_col).agg(F.max(label_col).alias("__label")).filter("__label is not null")
     n = known.count()
     h = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(4)), F.lit(1 << 20)) / float(1 << 20)
-    some = known.filter(h < rows / max(1, n)).withColumnRenamed(id_col, "__id")
-    found = docs.join(F.broadcast(some), F.col(id_col) == F.col("__id")).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col("__label").cast("int").alias("l"))
+
+    def sample(share: float) -> DataFrame:
+        some = known.filter(h < share).withColumnRenamed(id_col, "__id")  # about `rows` rows
+        found = docs.join(F.broadcast(some), F.col(id_col) == F.col("__id"))
+        return found.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col("__label").cast("int").alias("l"))
+
+    share = rows / max(1, n)
+    found = sample(share)
+    size = found.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    found = found if size <= most else sample(share * most / size)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -113,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
             got = [_chunks(data[a:z]).tobytes() for a, z in zip(offsets, offsets[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column("i").cast(pa.string()), b.column("l"), pa.array(got, pa.binary())], ["i", "l", "x"])
 
-    sample = sorted((r["i"] or "", r["l"], bytes(r["x"])) for r in found.mapInArrow(cut, "i string, l int, x binary").collect())  # bounded by rows and CHUNKS
+    sample = sorted((r["i"] or "", r["l"], bytes(r["x"])) for r in found.mapInArrow(cut, "i string, l int, x binary").collect())  # bounded by rows and most
     net = Network()
     if not sample:
         net.p = {k: x * 0 for k, x in net.p.items()}
