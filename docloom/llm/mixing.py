@@ -1,9 +1,9 @@
 """Mixing sources to target weights with hash-threshold histograms; DataFrame functions only.
 
 Every document has a fixed 60-bit hash. Words are summed by source and hash bucket, the bucket in which a source's
-budget ends is found from the running sum, and only that bucket is split further, three times by 256. The cut is then
-known to 2^-24 of a source (or one document), and taking a document is a filter on its hash: nothing is sorted and no
-two documents of a source need to meet. Sums are combined before the shuffle, so a source that holds a third of all
+budget ends is found from the running sum, and only that bucket is split further by 256, `LEVELS` times and then on as
+long as such a bucket has several documents. The cut falls between two documents, and taking a document is a filter on
+its hash: nothing is sorted and no two documents of a source need to meet. Sums are combined before the shuffle, so a source that holds a third of all
 rows sends 256 rows a task at most.
 
 Nulls and edges: a null text has size 0; a null source is a source of its own, last in order; a null id hashes as the
@@ -76,7 +76,9 @@ def cuts(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) ->
     per = per.withColumn("__full", full).withColumns({"__from": F.lit(0).cast("long"), "__budget": F.col("target") - F.col("__full") * F.col("source_size")})
     some = sizes.filter(F.col("size") > 0)
     level = some
-    for step in range(LEVELS):
+    for step in range(HASH_BITS // BITS):
+        if step >= LEVELS and level.groupBy("__key").agg(F.min("__h").alias("a"), F.max("__h").alias("b")).filter("a < b").isEmpty():
+            break
         per = materialise(_cut(level, per, step), f"mix-cut{step}")
         width = 1 << (HASH_BITS - BITS * (step + 1))
         level = some.join(_sent(per.select("__key", "__from")), "__key").filter((F.col("__h") >= F.col("__from")) & (F.col("__h") < F.col("__from") + width)).drop("__from")

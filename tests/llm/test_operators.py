@@ -233,6 +233,39 @@ def test_quality_network(spark, docs, empty):
     assert quality_cnn.score(docs, none).first().score == 0.5
 
 
+def test_quality_network_is_the_definition():
+    net = quality_cnn.Network(3)
+    r = np.random.default_rng(3)
+    w, step, chunk = quality_cnn.WIDTH, quality_cnn.STEP, quality_cnn.CHUNK
+    for n in (0, 1, 127, 128, 129, 256, 300, 1000, 70_000):
+        text = r.integers(0, 256, n).astype(np.uint8)
+        whole = [*text.tolist(), *[0] * (max(chunk, -(-n // (chunk // 2)) * (chunk // 2)) - n + w)]
+        features = []
+        for a in range(0, len(whole) - w - chunk + 1, chunk // 2):
+            conv = [sum(net.p["w"][j][whole[k + j]] for j in range(w)) for k in range(a, a + chunk, step)]
+            features.append(np.maximum(np.max(conv, 0) + net.p["b"], 0))
+        z = np.mean(features, 0) @ net.p["v"] + net.p["c"][0]
+        assert net.score(text) == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-4)
+        assert len(quality_cnn._chunks(text)) == len(features)
+
+
+def test_quality_sample_is_bounded_by_bytes(spark):
+    rows = [(k, ("good words here " if k % 2 else "BAD!! ") * 200) for k in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(None, 1)], "doc_id long, quality int")
+    net = quality_cnn.fit(table, labels, crc_mod("doc_id", 5) != 0, most=40_000)
+    out = got(quality_cnn.score(table, net))
+    assert sum((out[k].score >= 0.5) == (k % 2 > 0) for k in range(60)) >= 55
+
+
+def test_mixing_refines_until_one_document(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEVELS", 1)
+    rows = [(k, "w " * (k % 7 + 1), "ab"[k % 10 == 0]) for k in range(20_000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    for x in out.groupBy("source_size", "target").agg({"taken": "sum"}).collect():
+        assert abs(x["sum(taken)"] - x.target) <= 7
+
+
 def test_licenses(docs, empty, texts):
     rows = got(licenses.scan(docs))
     rules = licenses.rules()
@@ -272,6 +305,20 @@ def test_licenses_without_gates(spark):
         assert rows[i].labels or t == "none here"
 
 
+def test_licenses_in_a_long_text(spark):
+    """More detections than are compared directly, across blocks of words, equal those of the same text's parts."""
+    r = random.Random(3)
+    some = ["Licensed under the MIT License", "under Apache 2.0 license", "SPDX-License-Identifier: GPL-3.0-only", "all rights reserved", "cc by nc 4.0", "dedicated to the public domain"]
+    parts = [" ".join([*(f"w{k}" for k in range(r.randint(70, 90))), r.choice(some)]) for _ in range(400)]
+    out = got(licenses.scan(spark.createDataFrame([(0, " ".join(parts)), *enumerate(parts, 1), (None, None)], "doc_id long, text string")))
+    want, at = [], 0
+    for k, p in enumerate(parts, 1):
+        want += [(s.label, s.first + at, s.stop + at) for s in out[k].spans]
+        at += out[k].n_words
+    assert sorted((s.label, s.first, s.stop) for s in out[0].spans) == sorted(want) and len(want) >= 400
+    assert out[0].n_base == sum(out[k].n_base for k in range(1, 401)) and out[None].labels == ""
+
+
 def test_sentencepiece_is_the_library(docs, empty, texts):
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     rows, full = got(sentencepiece_codec.encode_digests(docs, PIECES)), got(sentencepiece_codec.encode(docs, PIECES))
