@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BYTE_LOWER, bounded, discard, materialise, pieces, text_bytes
+from .common import BYTE_LOWER, bounded, discard, materialise, pieces, text_bytes, tidy
 from .components import components
 
 BLOCK, ELEMENTS, HUBS, BROADCAST_ROWS, FIRST = 5_000, 2_000_000, 16, 500_000, 2
@@ -389,6 +389,7 @@ def rooted(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
     keyed = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), text_hash(F.col(text_col)).alias("h"))
     hot = spark.sparkContext.broadcast(frequent(keyed, n))  # bounded by HOT
 
+    @tidy
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         row = ((task.partitionId() if task else 0) << 36) - 1
@@ -436,7 +437,7 @@ def rooted(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
         """Edges among the rows of dealt(row, size, label, keys) that meet in a block and may link."""
         rows = dealt.join(bits, "row").select(F.explode("keys").alias("key"), "row", "size", "bits", "label")
         rows = rows.repartition(parts, "key").sortWithinPartitions("key")
-        return rows.mapInArrow(lambda it: candidate_edges(it, percent), "a long, b long")
+        return rows.mapInArrow(tidy(lambda it: candidate_edges(it, percent)), "a long, b long")
 
     # Copies with few changes mostly share one of their first rare or first frequent elements. What these join needs no
     # edge from the others.
@@ -450,6 +451,7 @@ def rooted(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
     ids = sought.select("i", "h", "row", "size").join(clusters, F.col("row") == F.col("node")).select("i", "h", "row", "size", "root")
     ids = materialise(ids, "jaccard-candidates")
 
+    @tidy
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "t", 2 << 20):
             _, once = np.unique(b.column("row").to_numpy(), return_index=True)
@@ -459,6 +461,7 @@ def rooted(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
             flat = pa.array(np.concatenate(sets).astype(np.int64))
             yield pa.RecordBatch.from_arrays([b.column("keys"), b.column("row"), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["keys", "row", "tokens"])
 
+    @tidy
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, sets = None, [], []
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, pieces
+from .common import bounded, pieces, tidy
 
 LEAST, RUN, CACHE, FLOOR, SWITCH = 3, 40, 150_000, -6.0, 7.0
 #: First and last code point of the letters of each script.
@@ -228,10 +228,13 @@ def tag(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())]))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.value.forget()
         for b in pieces(batches, text_col, 6 << 20):
             langs, scores, spans = shared.value.predict(b.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, span)], [*b.schema.names, "__lang", "__score", "__spans"])
+        shared.value.forget()
 
     added = T.StructType().add("__lang", "string").add("__score", "double").add("__spans", T.ArrayType(T.StructType().add("start", "long").add("stop", "long").add("lang", "string")))
     return docs.mapInArrow(run, T.StructType(docs.schema.fields + added.fields))

@@ -11,8 +11,8 @@ Runs of spaces have pieces of equal score, for which the neighbour check alone d
 more than one space are merged by priority queue instead, as the definition says.
 
 Nulls and edges: null text is the empty text, which has no ids; very long texts are cut as above; ids may be null or
-repeat; other columns are neither read nor returned. A worker, which Spark uses again for other stages, keeps at most
-`CACHE` parts of `CACHED_CHARS` characters and `PAIRS` checked neighbours.
+repeat; other columns are neither read nor returned. A task keeps at most `CACHE` parts of `CACHED_CHARS` characters
+and `PAIRS` checked neighbours; its worker, which Spark uses again for other stages, keeps the vocabulary alone.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, pieces
+from .common import bounded, pieces, tidy
 
 SPACE = "▁"
 CACHE, PAIRS, CACHED_CHARS, NONE = 120_000, 120_000, 64, float("-inf")
@@ -251,8 +251,11 @@ def codec(model_file: str) -> Codec:
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids array<int>, decoded: each whole text's ids and what they decode to."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
+        c.cache.clear()
+        c.pair.clear()
         for b in pieces(batches, "t"):
             ids = [c.encode(t or "") for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(ids, pa.list_(pa.int32())), pa.array(map(c.decode, ids), pa.string())], ["i", "ids", "decoded"])
@@ -265,8 +268,11 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
 def encode_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256: the same by digest, for checks that needn't keep the ids."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
+        c.cache.clear()
+        c.pair.clear()
         for b in pieces(batches, "t"):
             n, a, d = [], [], []
             for t in b.column("t").to_pylist():
@@ -275,6 +281,8 @@ def encode_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", tex
                 a.append(hashlib.sha256(joined.encode()).hexdigest())
                 d.append(hashlib.sha256(plain.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(n, pa.int64()), pa.array(a), pa.array(d)], ["i", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.cache.clear()
+        c.pair.clear()
 
     bounded(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, discard, materialise, pieces, release, text_bytes
+from .common import bounded, discard, materialise, pieces, release, text_bytes, tidy
 
 GRAM, PARTS, BLOCK, BROADCAST_ENTRIES, KEPT = 16, 3, 5_000, 500_000, 4 << 20
 MARK, MARK_WINDOW = 120, 160
@@ -213,6 +213,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -
     spark = docs.sparkSession
     bounded(spark)
 
+    @tidy
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "t", 1 << 20):
             x, y, copies, first = once(b)
@@ -238,6 +239,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -
     joined = _texts(docs, text_col).join(some, (F.col("x") == F.col("__x")) & (F.col("y") == F.col("__y"))).select("x", "y", "t", "r")
     kind = "x long, y long, place long, n long, big boolean, core long, lead long, before binary, after binary"
 
+    @tidy
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "t", 1 << 20):
             out: list[list] = [[] for _ in range(9)]
@@ -267,6 +269,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -
         s = place[row] >> 20
         return pa.RecordBatch.from_arrays([pa.array(v) for v in (x[row], y[row], s - (j1 - 1), s - j0 + length)], ["x", "y", "begin", "end"])
 
+    @tidy
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
@@ -293,6 +296,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -
     bucket = near.filter(~F.col("big")).repartitionByRange(parts, "lead", "core").sortWithinPartitions("lead", "core")
     edges = bucket.mapInArrow(sort, "x long, y long, begin long, end long")
 
+    @tidy
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A hash for each string of a suffix whose leading bytes are too common."""
         for b in batches:
@@ -312,6 +316,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -
     common = strings.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
     edges = edges.unionByName(strings.join(common, "h").select("x", "y", "begin", (F.col("begin") + length).alias("end")))
 
+    @tidy
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
@@ -343,6 +348,7 @@ def passages(docs: DataFrame, text_col: str = "text") -> DataFrame:
     spark = docs.sparkSession
     bounded(spark)
 
+    @tidy
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "t", 1 << 20):
             x, y, copies, first = once(b)
@@ -354,6 +360,7 @@ def passages(docs: DataFrame, text_col: str = "text") -> DataFrame:
     again = materialise(again, "suffix-marks-again")
     hit = found.join(again, F.col("h") == F.col("__h")).select("x", "y", F.shiftleft("place", 32).bitwiseOR(F.col("place") + MARK).alias("r"))
 
+    @tidy
     def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
@@ -397,6 +404,7 @@ def kept_of(raw: bytes, runs: list[int] | None) -> tuple[bytes, int]:
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256, longest_shared (see passages(), 0 for none) of each text."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "t"):
             rows = []
@@ -422,6 +430,7 @@ def without_repeats(docs: DataFrame, text_col: str = "text", chars_col: str | No
     """docs with what is left of each text (characters of which a byte goes, go) and, in chars_col, its code points."""
     marked = with_spans(docs, text_col, length)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, text_col):
             texts = [t if not s else kept_of(t.encode(), s)[0].decode(errors="ignore") for t, s in zip(b.column(text_col).to_pylist(), b.column("__spans").to_pylist(), strict=True)]
