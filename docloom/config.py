@@ -57,7 +57,7 @@ def user_path(given: str, home: str | None = None) -> str:
 
 def load(path: str | None = None, section: str = "search", fallback: str = "rag", **given: object) -> Settings:
     """given, then the section, then the fallback section, then defaults; None counts as not given."""
-    table = tomllib.loads(Path(path).read_text()) if path and Path(path).exists() else {}
+    table = tomllib.loads(Path(path).read_text()) if path else {}  # a file that is named must be there
     names = {f.name for f in fields(Settings)}
     values = {k: v for part in (table.get(fallback, {}), table.get(section, {}), given) for k, v in part.items() if k in names and v is not None}
     s = Settings(**values)

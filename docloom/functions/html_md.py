@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
+from collections.abc import Generator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -52,7 +54,14 @@ class Element:
         return next((e for e in self.walk() if test(e)), None)
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        out, stack = [], [self]
+        while stack:
+            node = stack.pop()
+            if isinstance(node, str):
+                out.append(node)
+            else:
+                stack += reversed(node.children)
+        return "".join(out)
 
     def elements(self) -> list[Element]:
         return [c for c in self.children if isinstance(c, Element)]
@@ -65,24 +74,40 @@ class Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("html")
         self.open = [self.root]
+        self.count = Counter(["html"])  # of the tags in `open`
         self.active: list[Element] = []
+        self.lost = False  # whether an active element may have been closed
+
+    def _close(self, k: int) -> None:
+        """Close open[k] and what is in it."""
+        gone = self.open[k:]
+        del self.open[k:]
+        self.count.subtract(e.tag for e in gone)
+        self.lost = self.lost or any(e.tag in FORMATTING for e in gone)
 
     def _end(self, tags: tuple[str, ...], bounds: tuple[str, ...]) -> None:
+        if not any(self.count[t] for t in tags):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag in bounds:
                 return
             if self.open[k].tag in tags:
-                del self.open[k:]
+                self._close(k)
                 return
 
     def _put(self, element: Element, stay: bool) -> None:
         self.open[-1].children.append(element)
         if stay:
             self.open.append(element)
+            self.count[element.tag] += 1
 
     def _reopen(self) -> None:
+        if not self.lost:
+            return
+        self.lost = False
+        there = {id(e) for e in self.open}
         for k, e in enumerate(self.active):
-            if not any(o is e for o in self.open):
+            if id(e) not in there:
                 again = Element(e.tag, e.attrs)
                 self._put(again, True)
                 self.active[k] = again
@@ -104,7 +129,7 @@ class Builder(HTMLParser):
         if tag in CLOSE_P:
             self._end(("p",), ("td", "th", "table", "button"))
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
-            self.open.pop()
+            self._close(len(self.open) - 1)
         if tag in IMPLIED:
             while True:
                 size = len(self.open)
@@ -135,8 +160,10 @@ class Builder(HTMLParser):
             self.handle_starttag("br", [])
             return
         if tag in FORMATTING:
-            self.active = [e for k, e in enumerate(self.active) if k != max((j for j, x in enumerate(self.active) if x.tag == tag), default=-1)]
-        if tag == "p" and not any(e.tag == "p" for e in self.open):
+            last = next((k for k in range(len(self.active) - 1, -1, -1) if self.active[k].tag == tag), None)
+            if last is not None:
+                del self.active[last]
+        if tag == "p" and not self.count["p"]:
             self._put(Element("p"), False)
             return
         match = HEADINGS if tag in HEADINGS else (tag,)
@@ -159,8 +186,6 @@ def parse(html: str) -> Element:
     return b.root
 
 
-
-
 def normalize_ws(text: str) -> str:
     return re.sub(r"[ \t\n\r\f\v  -     　\x85 ]+", " ", text)
 
@@ -192,27 +217,46 @@ def fenced(text: str, least: int = 1) -> str:
     return "`" * max(least, 1 + max((len(r) for r in re.findall("`+", text)), default=0))
 
 
+def run(made: Generator | str) -> str:
+    """What a renderer method returns. Methods yield the methods they need the text of, so that depth is no recursion."""
+    stack, value = [made], None
+    while stack:
+        if isinstance(stack[-1], str):
+            value = stack.pop()
+            continue
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
+
+
 class Renderer:
-    """One method for each kind of block; everything without one is an inline paragraph."""
+    """One method for each kind of block; everything without one is an inline paragraph. See run()."""
 
-    def blocks(self, nodes: list, depth: int = 0) -> str:
-        return "".join(self.block(n, depth) for n in nodes)
+    def blocks(self, nodes: list, depth: int = 0):
+        out = []
+        for n in nodes:
+            out.append((yield self.block(n, depth)))
+        return "".join(out)
 
-    def block(self, node, depth: int = 0) -> str:
+    def block(self, node, depth: int = 0):
         if isinstance(node, str):
             text = normalize_ws(node).strip()
             return f"{text}\n\n" if text else ""
         if node.tag in CONTAINERS:
-            return self.blocks(node.children, depth)
+            return (yield self.blocks(node.children, depth))
         kind = "heading" if node.tag in HEADINGS else "list" if node.tag in ("ul", "ol") else node.tag
         made = getattr(self, f"block_{kind}", None)
         if made is not None:
-            return made(node, depth)
-        text = self.inline(node).strip()
+            return (yield made(node, depth))
+        text = (yield self.inline(node)).strip()
         return f"{text}\n\n" if text else ""
 
-    def block_heading(self, node: Element, depth: int) -> str:
-        text = self.inlines(node.children).strip()
+    def block_heading(self, node: Element, depth: int):
+        text = (yield self.inlines(node.children)).strip()
         if not text:
             return ""
         anchor = self.anchor(node)
@@ -225,24 +269,29 @@ class Renderer:
         hidden = isinstance(lead, Element) and lead.tag == "span" and "position: absolute" in lead.attrs.get("style", "").lower()
         return lead.attrs.get("id") if hidden else None
 
-    def block_p(self, node: Element, depth: int) -> str:
-        text = self.inlines(node.children).strip()
+    def block_p(self, node: Element, depth: int):
+        text = (yield self.inlines(node.children)).strip()
         return f"{text}\n\n" if text else ""
 
     def block_hr(self, node: Element, depth: int) -> str:
         return "---\n\n"
 
-    def block_list(self, node: Element, depth: int) -> str:
-        items = [e for e in node.elements() if e.tag == "li"]
-        return "".join(self.item(e, depth, f"{k}. " if node.tag == "ol" else "* ") for k, e in enumerate(items, 1)) + "\n"
+    def block_list(self, node: Element, depth: int):
+        out = []
+        for k, e in enumerate((e for e in node.elements() if e.tag == "li"), 1):
+            out.append((yield self.item(e, depth, f"{k}. " if node.tag == "ol" else "* ")))
+        return "".join(out) + "\n"
 
-    def item(self, node: Element, depth: int, bullet: str) -> str:
+    def item(self, node: Element, depth: int, bullet: str):
         line, below = [], []
         for c in node.children:
             if isinstance(c, Element) and c.tag in ("ul", "ol", "pre", "table"):
-                below.append(self.block(c, depth + 1))
+                below.append((yield self.block(c, depth + 1)))
                 continue
-            text = normalize_ws(c).strip() if isinstance(c, str) else (self.inlines(c.children) if c.tag == "p" else self.inline(c)).strip()
+            if isinstance(c, str):
+                text = normalize_ws(c).strip()
+            else:
+                text = (yield self.inlines(c.children) if c.tag == "p" else self.inline(c)).strip()
             line += [text] if text else []
         return "  " * depth + bullet + " ".join(line).strip() + "\n" + "".join(below)
 
@@ -254,18 +303,23 @@ class Renderer:
         fence = "````" if "```" in body else "```"
         return f"{fence}{language}\n{body}\n{fence}\n\n"
 
-    def block_blockquote(self, node: Element, depth: int) -> str:
-        inner = self.blocks(node.children, depth).strip()
+    def block_blockquote(self, node: Element, depth: int):
+        inner = (yield self.blocks(node.children, depth)).strip()
         return "".join(f"> {x}\n" if x.strip() else ">\n" for x in inner.split("\n")) + "\n" if inner else ""
 
-    def block_table(self, node: Element, depth: int) -> str:
+    def block_table(self, node: Element, depth: int):
         rows = [cells for e in node.walk() if e.tag == "tr" and (cells := [c for c in e.elements() if c.tag in ("th", "td")])]
         if not rows:
             return ""
         width = len(rows[0])
         marks = {"left": ":--", "right": "--:", "center": ":-:"}
-        lines = [[self.cell(c) for c in rows[0]], [marks.get(self.align(c), "---") for c in rows[0]]]
-        lines += [([self.cell(c) for c in r] + [""] * width)[:width] for r in rows[1:]]
+        lines = []
+        for r in rows:
+            cells = []
+            for c in r[:width]:
+                cells.append((yield self.cell(c)))
+            lines.append(cells + [""] * (width - len(cells)))
+        lines.insert(1, [marks.get(self.align(c), "---") for c in rows[0]])
         return "".join(f"| {' | '.join(x)} |\n" for x in lines) + "\n"
 
     @staticmethod
@@ -275,7 +329,7 @@ class Renderer:
         found = re.search(r"text-align: ?(left|right|center)", cell.attrs.get("style", "").lower())
         return found[1] if found else ""
 
-    def cell(self, node: Element) -> str:
+    def cell(self, node: Element):
         """One line; breaks and blocks are separated by <br/>."""
         out: list[str] = []
 
@@ -288,20 +342,23 @@ class Renderer:
             if isinstance(c, Element) and c.tag == "br":
                 out.append("<br/>")
             elif isinstance(c, Element) and c.tag in ("p", "div"):
-                text = self.inlines(c.children).strip()
+                text = (yield self.inlines(c.children)).strip()
                 block([text] if text else [])
             elif isinstance(c, Element) and c.tag in ("ul", "ol"):
-                texts = [self.inlines(e.children).strip() for e in c.elements() if e.tag == "li"]
+                texts = []
+                for e in c.elements():
+                    if e.tag == "li":
+                        texts.append((yield self.inlines(e.children)).strip())
                 block([f"* {t}" for t in texts if t])
             else:
-                text = (normalize_ws(c) if isinstance(c, str) else self.inline(c)).strip()
+                text = (normalize_ws(c) if isinstance(c, str) else (yield self.inline(c))).strip()
                 out += [text] if text else []
         return re.sub(r"\s*<br/> ?", "<br/>", " ".join(out)).strip().replace("|", "\\|")
 
-    def block_dl(self, node: Element, depth: int) -> str:
+    def block_dl(self, node: Element, depth: int):
         entries: list[list[str]] = []
         for e in node.elements():
-            text = self.inlines(e.children).strip() if e.tag in ("dt", "dd") else ""
+            text = (yield self.inlines(e.children)).strip() if e.tag in ("dt", "dd") else ""
             if e.tag == "dt":
                 entries.append([text + (f" {{#{e.attrs['id']}}}" if text and "id" in e.attrs else "")])
             elif e.tag == "dd" and entries and text:
@@ -309,11 +366,16 @@ class Renderer:
         kept = ["\n".join(x) for x in entries if x[0]]
         return "\n\n".join(kept).strip() + "\n\n" if kept else ""
 
-    def inlines(self, nodes: list) -> str:
-        return "".join(normalize_ws(n) if isinstance(n, str) else self.inline(n) for n in nodes)
+    def inlines(self, nodes: list):
+        out = []
+        for n in nodes:
+            out.append(normalize_ws(n) if isinstance(n, str) else (yield self.inline(n)))
+        return "".join(out)
 
-    def inline(self, node: Element) -> str:
-        inner = self.inlines(node.children)
+    def inline(self, node: Element):
+        if node.tag == "code":
+            return self.code(node.text())
+        inner = yield self.inlines(node.children)
         match node.tag:
             case "a":
                 href = node.attrs.get("href", "")
@@ -324,8 +386,6 @@ class Renderer:
                 return f"**{inner.strip()}**" if inner.strip() else ""
             case "em" | "i":
                 return f"*{inner.strip()}*" if inner.strip() else ""
-            case "code":
-                return self.code(node.text())
             case "br":
                 return "<br/>"
             case "span" if "id" in node.attrs and "position: absolute" in node.attrs.get("style", "").lower():
@@ -346,7 +406,7 @@ def normalize_markdown(text: str) -> str:
 
 
 def html_to_markdown(html: str) -> str:
-    return normalize_markdown(Renderer().blocks(article(html)))
+    return normalize_markdown(run(Renderer().blocks(article(html))))
 
 
 def links_of(html: str, base: str) -> list[str]:
@@ -364,8 +424,23 @@ def links_of(html: str, base: str) -> list[str]:
     return list(out)
 
 
+def attempt(html: str | None) -> tuple[str | None, str | None]:
+    """(Markdown, error): a page that can't be converted, or has no content, is an error and not the end of a job."""
+    if html is None:
+        return None, "no page"
+    try:
+        text = html_to_markdown(html)
+    except Exception as e:
+        return None, f"{type(e).__name__}: {e}"[:500]
+    return (text, None) if text.strip() else (None, "no content")
+
+
 def _markdown(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: None if h is None else html_to_markdown(h))
+    return html.map(lambda h: None if h is None else attempt(h)[0] or "")
+
+
+def _attempts(html: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([attempt(h) for h in html], columns=["md", "error"], dtype=object)
 
 
 def _links(html: pd.Series, base: pd.Series) -> pd.Series:
@@ -376,5 +451,10 @@ def page_to_markdown(html: Column) -> Column:
     return F.pandas_udf(_markdown, T.StringType())(html)
 
 
+def page_attempt(html: Column) -> Column:
+    """struct<md, error>, one of them null."""
+    return F.pandas_udf(_attempts, T.StructType().add("md", "string").add("error", "string"))(html)
+
+
 def page_links(html: Column, base: Column) -> Column:
     return F.pandas_udf(_links, T.ArrayType(T.StringType()))(html, base)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,14 +40,25 @@ def tokens(text: Column) -> Column:
 
     Only texts with a run of so many characters that it might have MOST_BYTES bytes are filtered token by token.
     """
-    parts = F.array_remove(F.split(F.lower(text), SPLIT), "")
     may = text.rlike(rf"[\p{{IsAlphabetic}}\p{{N}}]{{{MOST_BYTES // 4}}}")
-    return F.when(may, F.filter(parts, lambda t: F.octet_length(t) < MOST_BYTES)).otherwise(parts)
+
+    def short(parts: Column) -> Column:
+        return F.when(may, F.filter(parts, lambda t: F.octet_length(t) < MOST_BYTES)).otherwise(parts)
+
+    return once(F.array_remove(F.split(F.lower(text), SPLIT), ""), short)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: A token that no concept takes doesn't match this.
+ANY_CONCEPT = "|".join([x for _, inside, _, _ in CONCEPTS for x in inside] + [f"^{x}" for _, _, begins, _ in CONCEPTS for x in begins] + [f"^{x}$" for _, _, _, equal in CONCEPTS for x in equal])
 
 
 def concept(token: Column) -> Column:
-    """The token's concept, else itself; null for stop words and tokens of less than three characters."""
-    token = F.lower(token)
+    """A lower-case token's concept, else itself; null for stop words and tokens of less than three characters."""
     out = None
     for name, inside, begins, equal in CONCEPTS:
         fits = F.lit(False)
@@ -56,13 +69,14 @@ def concept(token: Column) -> Column:
         for x in equal:
             fits = fits | (token == x)
         out = F.when(fits, name) if out is None else out.when(fits, name)
-    return out.when(token.isin(*STOP_WORDS) | (F.char_length(token) < 3), None).otherwise(token)
+    plain = F.when(token.isin(*STOP_WORDS) | (F.char_length(token) < 3), None).otherwise(token)
+    return F.when(token.rlike(ANY_CONCEPT), out.otherwise(plain)).otherwise(plain)
 
 
 def canonical(text: Column) -> Column:
     """Distinct concepts of a text, in order."""
-    parts = F.filter(F.split(text, SPLIT), lambda t: t != "")
-    return F.array_distinct(F.filter(F.transform(parts, concept), lambda t: t.isNotNull()))
+    parts = F.array_distinct(F.array_remove(F.split(F.lower(text), SPLIT), ""))
+    return F.array_distinct(F.array_compact(F.transform(parts, concept)))
 
 
 def expand(query: Column) -> Column:

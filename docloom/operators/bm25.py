@@ -1,7 +1,8 @@
 """BM25 over several fields: a query over texts without an index, and a postings index for repeated queries.
 
-Scores use exact field lengths, k1 = 1.2 and b = 0.75. A query's terms are counted where a text is read: nothing is
-exploded or shuffled but one row of statistics, and the best rows are picked by a partial top-n.
+Scores use exact field lengths, k1 = 1.2 and b = 0.75. A query's terms are counted where a text is read, and each text
+is split into tokens once a pass: nothing is shuffled but one row of statistics, and the best rows are picked by a
+partial top-n. The index counts a text's terms within its row, too.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.functions.tokens import MOST_BYTES, QUERY_CHARS, is_howto, tokens
+from docloom.functions.tokens import MOST_BYTES, QUERY_CHARS, is_howto, once, tokens
 
 K1, B = 1.2, 0.75
 #: Fields and boosts.
@@ -51,20 +52,22 @@ def scores(docs: DataFrame, query: str, fields: dict[str, str], boosts: dict[str
     terms = query_terms(query)
     if not terms:
         return docs.withColumn("score", F.lit(0.0)).limit(0)
-    counted = docs
-    for f, c in fields.items():
-        counted = counted.withColumn(f"__t_{f}", tokens(F.coalesce(F.col(c), F.lit(""))))
-        counted = counted.withColumn(f"__n_{f}", F.size(f"__t_{f}"))
-        counted = counted.withColumn(f"__f_{f}", F.array(*[occurrences(F.col(f"__t_{f}"), t) for t in terms])).drop(f"__t_{f}")
+
+    def count(words: Column) -> Column:
+        return F.struct(F.size(words).alias("n"), F.array(*[occurrences(words, t) for t in terms]).alias("f"))
+
+    # An explode of one element keeps the optimizer from copying the counts into each place that refers to them.
+    one = F.struct(*[once(tokens(F.coalesce(F.col(c), F.lit(""))), count).alias(f) for f, c in fields.items()])
+    counted = docs.select("*", F.explode(F.array(one)).alias("__c"))
     wanted = [F.count("*").alias("n")]
     for f in fields:
-        wanted += [F.avg(f"__n_{f}").alias(f"m_{f}")] + [F.count_if(F.col(f"__f_{f}")[i] > 0).alias(f"d_{f}_{i}") for i in range(len(terms))]
+        wanted += [F.avg(f"__c.{f}.n").alias(f"m_{f}")] + [F.count_if(F.col(f"__c.{f}.f")[i] > 0).alias(f"d_{f}_{i}") for i in range(len(terms))]
     stats = counted.agg(*wanted).first().asDict()  # one row
     score = F.lit(0.0)
     for f in fields:
         for i in range(len(terms)):
-            tf = F.col(f"__f_{f}")[i]
-            part = boosts.get(f, 1.0) * idf(F.lit(float(stats["n"])), F.lit(float(stats[f"d_{f}_{i}"]))) * tf_norm(tf, F.col(f"__n_{f}"), F.lit(stats[f"m_{f}"] or 1.0))
+            tf = F.col(f"__c.{f}.f")[i]
+            part = boosts.get(f, 1.0) * idf(F.lit(float(stats["n"])), F.lit(float(stats[f"d_{f}_{i}"]))) * tf_norm(tf, F.col(f"__c.{f}.n"), F.lit(stats[f"m_{f}"] or 1.0))
             score = score + F.when(tf > 0, part).otherwise(0.0)
     out = counted.withColumn("score", score).filter("score > 0")
     return out.select(*docs.columns, "score")
@@ -76,6 +79,11 @@ def ranked(rows: DataFrame, n: int, by: str = "score", id_col: str = "id") -> Da
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(by), F.asc(id_col))))
 
 
+def held(rows: DataFrame) -> DataFrame:
+    """A ranking's rows, as few as its limit, as a local table: whatever reads them doesn't rank again."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def top(docs: DataFrame, query: str, n: int, fields: dict[str, str] | None = None, version: str | None = None, id_col: str = "id") -> DataFrame:
     """The n best documents of a version (of all, without one). Statistics are those of the whole index."""
     found = scores(docs, query, fields or {"content": "content"})
@@ -108,12 +116,21 @@ def postings(docs: DataFrame, fields: dict[str, str], id_col: str = "id") -> Dat
     rows = each[0]
     for e in each[1:]:
         rows = rows.unionByName(e)
-    rows = rows.select("field", "id", F.size("t").alias("length"), F.explode("t").alias("term"))
-    return rows.groupBy("field", "term", "id", "length").agg(F.count("*").alias("tf"))
+    return rows.select("field", "id", F.size("t").alias("length"), F.inline(term_counts(F.col("t"))))
+
+
+def term_counts(words: Column) -> Column:
+    """Each different word with how often it occurs: runs of equal words once they are sorted."""
+
+    def runs(s: Column) -> Column:
+        new = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+        return once(new, lambda at: F.zip_with(at, F.slice(F.concat(at, F.array(F.size(s) + 1)), F.lit(2), F.size(at)), lambda a, z: F.struct(F.element_at(s, a).alias("term"), (z - a).cast("long").alias("tf"))))
+
+    return once(F.array_sort(words), lambda s: F.when(F.size(s) > 0, runs(s)))
 
 
 def term_stats(index: DataFrame) -> DataFrame:
-    """field, term, df, occurrences."""
+    """field, term, df, occurrences; sums are combined before the shuffle."""
     return index.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
 
 

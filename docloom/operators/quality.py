@@ -24,9 +24,13 @@ def answer_quality(results: DataFrame, query: str, order: str = "rank") -> DataF
     return out.withColumn("confidence", level.when((F.col("coverage") >= MOST) & (F.col("actionable") >= ENOUGH), "high").otherwise("medium"))
 
 
+def withheld(confidence: str, threshold: str) -> bool:
+    return LEVELS.index(confidence) < LEVELS.index(threshold)
+
+
 def gate(results: DataFrame, confidence: str, threshold: str) -> DataFrame:
     """No results where the confidence is below the threshold; `low` lets everything through."""
-    return results.limit(0) if LEVELS.index(confidence) < LEVELS.index(threshold) else results
+    return results.limit(0) if withheld(confidence, threshold) else results
 
 
 def message(version: str | None) -> str:

@@ -7,6 +7,7 @@ vectors (vec_id = doc_id), pages for the crawled site. Counts are long, doubles
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -197,7 +198,7 @@ def rerank_parse(spark, d):
 @query(f"""WITH {bm25_sql(TERMS, 30)}, rs AS (SELECT *, CASE WHEN id % 3 = 0 THEN id % 17 / 17.0::DOUBLE END AS rerank_score FROM bm)
 SELECT id, rank, round(rerank_score, 6) AS rerank_score, row_number() OVER (ORDER BY rerank_score DESC NULLS LAST, rank)::INTEGER AS final_rank FROM rs""")
 def rerank_order(spark, d):
-    rows = bm25_top(spark, d, TERMS, 30).select("id", "rank")
+    rows = bm25.held(bm25_top(spark, d, TERMS, 30).select("id", "rank"))
     scores = rows.filter("id % 3 = 0").select((F.col("rank") - 1).alias("idx"), (F.col("id") % 17 / 17.0).alias("rerank_score"))
     return rerank.apply(rows, scores).select("id", "rank", r6("rerank_score"), "final_rank")
 
@@ -241,9 +242,9 @@ def query_expansion(spark, d):
     return c.select("conv_id", "turn", tk.expand(F.col("q")).alias("expanded"), tk.is_howto(F.col("q")).alias("howto"))
 
 
-@query(r"""SELECT doc_id, translate(substr(text, 1, 200), ':()[]{}"\^~*?!+-', '                ') AS cleaned FROM documents""")
+@query(r"""SELECT doc_id, translate(text, ':()[]{}"\^~*?!+-', '                ') AS cleaned FROM documents""")
 def query_sanitize(spark, d):
-    return table(spark, d, "documents").select("doc_id", tk.sanitize_query(F.substring("text", 1, 200)).alias("cleaned"))
+    return table(spark, d, "documents").select("doc_id", tk.sanitize_query(F.col("text")).alias("cleaned"))
 
 
 QUALITY = f"""{bm25_sql(TERMS, 10)},
@@ -259,9 +260,37 @@ def answer_quality(spark, d):
     return quality.answer_quality(rows, TERMS)
 
 
+#: Query, its concepts, the action it needs.
+CASES = (("install the rpm package", ("install", "rpm"), "install"), ("launch and that", ("launch", "and", "that"), "launch"), ("and that", ("and", "that"), None), ("the", (), None))
+
+
+def _cases_sql() -> str:
+    out = []
+    for q, concepts, action in CASES:
+        own = f"[{', '.join(repr(c) for c in concepts)}]::VARCHAR[]"
+        fits = f"list_contains(t, '{action}')" if action else "TRUE"
+        share = f"len(list_intersect({own}, t)) / {len(concepts)}.0::DOUBLE" if concepts else "0.0::DOUBLE"
+        out.append(f"SELECT '{q}' AS q, {len(concepts)} AS k, {share} AS c, {fits} AS a, s LIKE 'sdk__tools%' AS act FROM p")
+    return " UNION ALL ".join(out)
+
+
+@query(f"""WITH b AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'sdk__tools__x' ELSE 'other' END AS s, CASE WHEN doc_id % 3 = 0 THEN 'install rpm' ELSE 'launch' END AS title, text FROM documents WHERE text IS NOT NULL ORDER BY doc_id LIMIT 5),
+p AS (SELECT s, {canonical_sql("title || ' ' || s || ' ' || text")} AS t FROM b), m AS ({_cases_sql()}),
+g AS (SELECT q, any_value(k) AS k, count(*)::BIGINT AS n, max(c) AS coverage, bool_or(a) AS supported, count_if(act)::BIGINT AS actionable FROM m GROUP BY q)
+SELECT q, n, round(coverage, 6) AS coverage, supported, actionable,
+  CASE WHEN k = 0 THEN 'medium' WHEN NOT supported THEN 'low' WHEN coverage < 0.58 THEN 'low' WHEN coverage >= 0.9 AND actionable >= 2 THEN 'high' ELSE 'medium' END AS confidence FROM g""")
+def answer_quality_cases(spark, d):
+    """Queries that need an action, that need none and that have no concept, on five documents of which some are actionable."""
+    first = table(spark, d, "documents").filter("text is not null").orderBy("doc_id").limit(5)
+    rows = first.select(F.col("doc_id").alias("rank"), F.when(F.col("doc_id") % 2 == 0, "sdk__tools__x").otherwise("other").alias("source_md"), F.when(F.col("doc_id") % 3 == 0, "install rpm").otherwise("launch").alias("title"), F.col("text").alias("content"))
+    rows = bm25.held(rows)
+    each = [quality.answer_quality(rows, q).select(F.lit(q).alias("q"), "n", r6("coverage"), "supported", "actionable", "confidence") for q, _, _ in CASES]
+    return reduce(DataFrame.unionByName, each)
+
+
 @query(f"WITH {QUALITY} SELECT bm.id, bm.rank FROM bm, g WHERE confidence <> 'low'")
 def knowledge_gate(spark, d):
-    rows = bm25_top(spark, d, TERMS, 10)
+    rows = bm25.held(bm25_top(spark, d, TERMS, 10))
     return quality.gate(rows, quality.answer_quality(rows, TERMS).first()["confidence"], "medium").select("id", "rank")
 
 
@@ -271,7 +300,7 @@ def shorten(spark, d):
     return table(spark, d, "documents").select("doc_id", tk.shorten(t, 280).alias("short"), tk.shorten_front(t, 60).alias("tail"))
 
 
-@query()
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS context FROM documents""")
 def context_normalize(spark, d):
     return table(spark, d, "documents").select("doc_id", compact_column(F.col("text")).alias("context"))
 
@@ -334,14 +363,16 @@ def link_extract(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(crawl.native_links(F.col("html"))).alias("link"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM customer JOIN supplier ON c_custkey % 7 = s_suppkey % 7 AND c_custkey % 50 = 1),
-w AS (SELECT 1 AS n, 0 AS depth UNION SELECT e.b, w.depth + 1 FROM w JOIN e ON e.a = w.n WHERE w.depth < 10)
-SELECT n::VARCHAR AS url, min(depth)::BIGINT AS depth FROM w GROUP BY n""")
+@query("""WITH RECURSIVE l AS (SELECT DISTINCT url, unnest(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1)) AS link FROM pages),
+e AS (SELECT url AS a, link AS b FROM l UNION SELECT link, url FROM l),
+w AS (SELECT (SELECT url FROM pages ORDER BY page_id LIMIT 1) AS n, 0 AS depth UNION SELECT e.b, w.depth + 1 FROM w JOIN e ON e.a = w.n WHERE w.depth < 10)
+SELECT n AS url, min(depth)::BIGINT AS depth FROM w GROUP BY n""".replace("\\\\", "\\"))
 def link_graph_bfs(spark, d):
-    c = table(spark, d, "customer").filter("c_custkey % 50 = 1").select("c_nationkey", (F.col("c_custkey") % 7).alias("k"))
-    s = table(spark, d, "supplier").select("s_nationkey", (F.col("s_suppkey") % 7).alias("k"))
-    edges = c.join(s, "k").select(F.col("c_nationkey").cast("string").alias("url"), F.col("s_nationkey").cast("string").alias("link")).distinct()
-    return crawl.breadth_first(edges, spark.createDataFrame([("1",)], "url string"))
+    """Pages and what they link to, both ways: how far all is from the first page."""
+    pages = table(spark, d, "pages")
+    out = pages.select("url", F.explode(crawl.native_links(F.col("html"))).alias("link"))
+    edges = crawl.materialise(out.unionByName(out.select(F.col("link").alias("url"), F.col("url").alias("link"))).distinct())
+    return crawl.breadth_first(edges, pages.orderBy("page_id").limit(1))
 
 
 @query()
@@ -363,11 +394,30 @@ def page_to_markdown(spark, d):
     return stages.struct_pages(table(spark, d, "pages"))
 
 
-@query("""WITH l AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'error' ELSE 'ok' END AS status, length(html) AS n FROM pages)
-SELECT count(*)::BIGINT AS inputs, count_if(status = 'ok')::BIGINT AS converted, count_if(status = 'error')::BIGINT AS errors, sum(n)::BIGINT AS chars FROM l""")
+@query("SELECT count(*)::BIGINT AS total_inputs, count_if(page_id % 4 <> 0)::BIGINT AS converted_total, count_if(page_id % 4 = 0)::BIGINT AS errors_total FROM pages")
 def manifest_totals(spark, d):
-    rows = table(spark, d, "pages").select(F.when(F.col("page_id") % 4 == 0, "error").otherwise("ok").alias("status"), F.char_length("html").alias("n"))
-    return rows.agg(F.count("*").alias("inputs"), F.count_if(F.col("status") == "ok").alias("converted"), F.count_if(F.col("status") == "error").alias("errors"), F.sum("n").cast("long").alias("chars"))
+    """Every fourth page is blank, which is an error of its row."""
+    rows = table(spark, d, "pages").select("url", F.when(F.col("page_id") % 4 == 0, " ").otherwise(F.col("html")).alias("html"))
+    return stages.struct_totals(stages.struct_pages(rows)).drop("chars_total")
+
+
+@query("""SELECT o_orderkey AS url, CASE WHEN o_orderkey % 5 = 0 THEN 'error' ELSE 'ok' END AS status,
+  CASE WHEN o_orderkey % 5 <> 0 THEN '## Order ' || o_orderkey || ' {#o' || o_orderkey || '}' || chr(10) || chr(10) || 'by **' || o_custkey || '** [x](/c/' || o_custkey || ')'
+    || chr(10) || chr(10) || '* ' || o_orderstatus || chr(10) || '  1. ' || o_orderpriority || chr(10) || chr(10) || chr(10)
+    || '```rust' || chr(10) || 'let x = ' || o_custkey || ';' || chr(10) || '```' || chr(10) || chr(10) || '| A | B |' || chr(10) || '| :-- | --: |' || chr(10) || '| ' || o_orderkey || ' | a\\|b |'
+    || chr(10) || chr(10) || 'Term {#t' || o_orderkey || '}' || chr(10) || ': Meaning' || chr(10) || chr(10) || '> said `it`' || chr(10) || chr(10) || '---' || chr(10) END AS md,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'no content' END AS error FROM orders""".replace("\\\\", "\\"))
+def html_blocks(spark, d):
+    """Each kind of block from made pages, whose Markdown SQL can spell out."""
+    o = table(spark, d, "orders")
+    html = F.format_string(
+        '<html><body><nav>no</nav><article><div class="prose x"><h2><span id="o%1$d" style="Position: absolute;"></span>Order  %1$d</h2><p>by <b>%2$d</b>\n<a href="/c/%2$d">x</a>'
+        "<ul><li>%3$s<ol><li> %4$s </ol></ul><pre><code class='language-rust'>let x = %2$d;\n</code></pre><table><tr><th align=left>A<th style='text-align: right'>B<tr><td>%1$d<td>a|b</table>"
+        '<dl><dt id="t%1$d">Term<dd>Meaning</dl><blockquote><p>said <code>it</code></p></blockquote><hr></div></article></body></html>',
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority",
+    )
+    rows = o.select(F.col("o_orderkey").alias("url"), F.when(F.col("o_orderkey") % 5 == 0, "<html><body> <div><p> </p></div></body></html>").otherwise(html).alias("html"))
+    return stages.struct_pages(rows).select("url", "status", "md", "error")
 
 
 def markdown(spark, d) -> DataFrame:
@@ -435,8 +485,7 @@ def permissive_records(spark, d):
 def manifest_fallback(spark, d):
     e = table(spark, d, "events")
     m = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.col("event_id").alias("vectors_total")))).when(F.col("event_id") % 3 == 1, F.to_json(F.struct((F.col("event_id") + 1).alias("chunks_embedded")))).otherwise("{}")
-    rows = e.select("event_id", m.alias("json"))
-    return rows.select("event_id", F.coalesce(F.get_json_object("json", "$.vectors_total"), F.get_json_object("json", "$.chunks_embedded")).cast("long").alias("total"))
+    return records.vectors_total(e.select("event_id", m.alias("json")), keep=("event_id",))
 
 
 @query("SELECT doc_id, doc_id % 1000 AS shard, CASE WHEN doc_id % 2 = 0 THEN 'a/' || doc_id ELSE '/b/' || doc_id END AS path, doc_id % 2 = 0 AS safe FROM documents")
@@ -454,5 +503,5 @@ def embed_documents(spark, d):
 
 @query()
 def rerank_scored(spark, d):
-    rows = bm25_top(spark, d, TERMS, 30)
+    rows = bm25.held(bm25_top(spark, d, TERMS, 30))
     return rerank.rerank(rows, TERMS, rerank.overlap_scorer).select("id", "rank", "rerank_score", "final_rank")

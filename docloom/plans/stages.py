@@ -10,17 +10,32 @@ from pyspark.sql import functions as F
 
 from docloom.functions import urls
 from docloom.functions.chunking import chunk_column
-from docloom.functions.html_md import page_to_markdown
+from docloom.functions.html_md import page_attempt
 from docloom.operators import dense
 
 SUMMARY = ("has_code", "has_table", "has_list")
 
 
 def struct_pages(pages: DataFrame) -> DataFrame:
-    """url, md, status, chars: failures are rows, not the end of the job."""
-    md = pages.withColumn("md", page_to_markdown(F.col("html")))
-    blank = F.col("md").isNull() | (F.trim("md") == "")
-    return md.select("url", "md", F.when(blank, "error").otherwise("ok").alias("status"), F.char_length("md").cast("long").alias("chars"))
+    """url, md, status, chars, error: failures are rows, not the end of the job."""
+    made = pages.select("url", page_attempt(F.col("html")).alias("__m")).select("url", "__m.md", "__m.error")
+    return made.select("url", "md", F.when(F.col("error").isNull(), "ok").otherwise("error").alias("status"), F.char_length("md").cast("long").alias("chars"), "error")
+
+
+def struct_totals(records: DataFrame) -> DataFrame:
+    """One row about struct_pages(): total_inputs, converted_total, errors_total, chars_total."""
+    ok = F.col("status") == "ok"
+    return records.agg(F.count("*").alias("total_inputs"), F.count_if(ok).alias("converted_total"), F.count_if(~ok).alias("errors_total"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars_total"))
+
+
+def chunk_totals(chunks: DataFrame) -> DataFrame:
+    """One row about chunk(): docs_processed, chunks_total, chars_total."""
+    return chunks.agg(F.count_distinct("version_bucket", "doc_key").alias("docs_processed"), F.count("*").alias("chunks_total"), F.coalesce(F.sum("char_count"), F.lit(0)).alias("chars_total"))
+
+
+def embed_totals(vectors: DataFrame) -> DataFrame:
+    """One row about embed(): vectors_total, embedding_dim."""
+    return vectors.agg(F.count("*").alias("vectors_total"), F.max("embedding_dim").alias("embedding_dim"))
 
 
 def point_id(chunk_id: Column) -> Column:

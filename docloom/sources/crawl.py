@@ -6,6 +6,7 @@ the same plan. Each round is written to the shared folder, which cuts the lineag
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -22,17 +23,22 @@ DEPTH = 10
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    """spark.checkpoint.dir; only a session within one machine may leave it unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='docloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
 def materialise(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again; the files go when the driver ends."""
     path = f"{shared_folder(df.sparkSession)}/docloom-crawl-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -62,20 +68,34 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, depth: int = DEPTH) -> Dat
 
 
 def crawl(spark: SparkSession, seed: str, fetch: Callable[[DataFrame], DataFrame], scope: Callable[[Column], Column], depth: int = DEPTH) -> DataFrame:
-    """url, depth, status, html of all pages in scope. fetch: rows(url) to rows(url, html, error); errors are rows too."""
+    """url, depth, status, html, error, final_url of all pages in scope. fetch: rows(url) to rows(url, html, error), with
+    final, the address after redirects, if it knows that; errors are rows too. A page that was redirected out of scope is an
+    error, its links count from where it ended, and that address isn't fetched again."""
     start = spark.createDataFrame([(seed,)], "url string").select(urls.canonicalize(F.col("url")).alias("url"))
-    seen = None
+    seen = known = None
     for d in range(depth + 1):
         got = fetch(start.filter(scope(F.col("url"))))
-        page = materialise(got.select("url", F.lit(d).cast("long").alias("depth"), F.when(F.col("error").isNull(), "ok").otherwise("error").alias("status"), "html"))
+        final = urls.canonicalize(F.coalesce("final", "url")) if "final" in got.columns else F.col("url")
+        got = got.withColumn("final_url", final)
+        away = F.when(F.col("final_url").isNull(), "invalid redirect target URL").when(~scope(F.col("final_url")), F.concat(F.lit("redirected out of scope: "), F.col("final_url")))
+        got = got.withColumn("error", F.coalesce("error", away)).withColumn("html", F.when(F.col("error").isNull(), F.col("html")))
+        page = materialise(got.select("url", F.lit(d).cast("long").alias("depth"), F.when(F.col("error").isNull(), "ok").otherwise("error").alias("status"), "html", "error", "final_url"))
         seen = page if seen is None else seen.unionByName(page)
-        next_ = links(page.filter("status = 'ok'")).filter(scope(F.col("link"))).select(F.col("link").alias("url")).distinct()
-        start = materialise(next_.join(seen.select("url"), "url", "left_anti"))
+        both = page.select("url").unionByName(page.filter("status = 'ok'").select(F.col("final_url").alias("url")))
+        known = both if known is None else known.unionByName(both)
+        ends = page.filter("status = 'ok'").select(F.col("final_url").alias("url"), "html")
+        next_ = links(ends).filter(scope(F.col("link"))).select(F.col("link").alias("url")).distinct()
+        start = materialise(next_.join(known, "url", "left_anti"))
         if start.isEmpty():
             break
     return seen
 
 
+def totals(records: DataFrame) -> DataFrame:
+    """One row about a crawl: visited_total, saved_total, errors_total."""
+    return records.agg(F.count_distinct("url").alias("visited_total"), F.count_if(F.col("status") == "ok").alias("saved_total"), F.count_if(F.col("status") == "error").alias("errors_total"))
+
+
 def page_fetcher(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """A fetcher over pages(url, html) that are there already."""
     known = pages.select(urls.canonicalize(F.col("url")).alias("url"), "html").dropDuplicates(["url"])
@@ -102,8 +122,8 @@ class HttpClient:
     timeout: float = 30.0
     redirects: int = 10
 
-    def get(self, url: str) -> tuple[str | None, str | None]:
-        """(html, error), one of them null."""
+    def get(self, url: str) -> tuple[str | None, str | None, str]:
+        """(html, error, address after redirects); html or error is null."""
         from urllib.request import HTTPRedirectHandler, Request, build_opener
 
         handler = HTTPRedirectHandler()
@@ -111,9 +131,9 @@ class HttpClient:
         asked = Request(url, headers={"User-Agent": self.agent, "Accept": self.accept, "Accept-Language": self.language})
         try:
             with build_opener(handler).open(asked, timeout=self.timeout) as got:
-                return got.read().decode(got.headers.get_content_charset() or "utf-8", "replace"), None
+                return got.read().decode(got.headers.get_content_charset() or "utf-8", "replace"), None, got.geturl()
         except Exception as e:  # a page that can't be had is a row, not the end of a crawl
-            return None, str(e)[:500]
+            return None, str(e)[:500], url
 
 
 def http_fetcher(client: HttpClient | None = None) -> Callable[[DataFrame], DataFrame]:
@@ -123,6 +143,6 @@ def http_fetcher(client: HttpClient | None = None) -> Callable[[DataFrame], Data
     def fetch(batches):
         for batch in batches:
             got = [client.get(u) for u in batch["url"]]
-            yield pd.DataFrame({"url": batch["url"], "html": [h for h, _ in got], "error": [e for _, e in got]})
+            yield pd.DataFrame({"url": batch["url"], "html": [x[0] for x in got], "error": [x[1] for x in got], "final": [x[2] for x in got]})
 
-    return lambda wanted: wanted.mapInPandas(fetch, "url string, html string, error string")
+    return lambda wanted: wanted.mapInPandas(fetch, "url string, html string, error string, final string")

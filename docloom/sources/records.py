@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,9 +44,19 @@ def permissive(rows: DataFrame, column: str, schema: T.StructType = RECORD, key:
     return parsed.filter(F.trim(F.col(f"__r.{key}").cast("string")) != "").select(*[c for c in rows.columns if c != column], *filled)
 
 
-def vectors_total(manifest: DataFrame, column: str = "json") -> DataFrame:
-    """The count in a manifest: vectors_total, else chunks_embedded, else null."""
-    return manifest.select(F.coalesce(F.get_json_object(column, "$.vectors_total"), F.get_json_object(column, "$.chunks_embedded")).cast("long").alias("total"))
+def read_optional_json(path: str) -> dict | None:
+    """The object in a JSON file on the driver, null where there is no file; a broken file is an error."""
+    return json.loads(Path(path).read_text()) if Path(path).exists() else None
+
+
+def text_of(value: object) -> str:
+    """A JSON scalar as text: strings as they are, null and missing as '', other values as JSON has them."""
+    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+
+
+def vectors_total(manifest: DataFrame, column: str = "json", keep: tuple[str, ...] = ()) -> DataFrame:
+    """keep and the count in a manifest: vectors_total, else chunks_embedded, else null."""
+    return manifest.select(*keep, F.coalesce(F.get_json_object(column, "$.vectors_total"), F.get_json_object(column, "$.chunks_embedded")).cast("long").alias("total"))
 
 
 def existing_ids(spark: SparkSession, path: str) -> DataFrame:

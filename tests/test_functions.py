@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from docloom import config
@@ -94,5 +95,7 @@ def test_settings(tmp_path):
     path.write_text('[search]\ntop_k = 3\nretrieval_mode = "DENSE"\n[rag]\ntop_k = 4\ntop_n = 9\n')
     s = config.load(str(path), top_n=None)
     assert (s.top_k, s.top_n, s.retrieval_mode) == (3, 9, "dense")
-    assert config.load(str(tmp_path / "none")).top_k == 10
+    assert config.load().top_k == 10
+    with pytest.raises(FileNotFoundError):
+        config.load(str(tmp_path / "none"))
     assert config.user_path("~/x", "/h") == "/h/x" and config.user_path("~", "/h") == "/h" and config.user_path("/a", "/h") == "/a"
