@@ -21,7 +21,7 @@ TARGET, OVERLAP, HARD, SHORT = 1200, 120, 1600, 80
 LOWEST_CUT, HIGHEST_CUT, ROW_KEY, CONTINUED = 980, 1320, 120, 64
 
 HEADING = re.compile(r"(#{1,6}) (.*)")
-ANCHOR = re.compile(r"(.*?)\s*\{#([^{}]*)\}$")
+ANCHOR = re.compile(r"(.*)\{#(.*)\}")
 LIST_START = re.compile(r"\s*(?:[*+-] |[0-9]+\. )")
 MEMBERS = (" * [", " * `", " * <")
 #: What a cut prefers to stand behind, best first.
@@ -71,12 +71,12 @@ def lines_of(text: str) -> list[str]:
 
 
 def heading(line: str) -> tuple[int, str, str | None] | None:
-    found = HEADING.fullmatch(line.strip())
+    found = HEADING.fullmatch(line.rstrip())
     if not found:
         return None
     title, anchor = found[2].strip().rstrip("#").strip(), None
-    if m := ANCHOR.fullmatch(title):
-        title, anchor = m[1].strip(), m[2].strip() or None
+    if (m := ANCHOR.fullmatch(title)) and m[2].strip():
+        title, anchor = m[1].strip(), m[2].strip()
     return (len(found[1]), title, anchor) if title else None
 
 
@@ -109,7 +109,7 @@ def is_table(line: str) -> bool:
 
 
 def kind_of(line: str) -> str:
-    if line.startswith("```"):
+    if line.lstrip().startswith("```"):
         return "code"
     return "table" if is_table(line) else "list" if LIST_START.match(line) else "text"
 
@@ -127,7 +127,7 @@ def blocks(text: str) -> Iterator[tuple[str, str]]:
             line = lines[end]
             if kind == "code":
                 end += 1
-                if line.startswith("```"):
+                if line.lstrip().startswith("```"):
                     break
                 continue
             own = bool(line.strip()) and (is_table(line) if kind == "table" else (bool(LIST_START.match(line)) or line.startswith(("  ", "\t"))) if kind == "list" else kind_of(line) == "text")
@@ -151,7 +151,7 @@ def split_text(text: str, cuts: tuple[re.Pattern[str], ...] = TEXT_CUTS, overlap
     """Pieces of at most HARD characters; each next one begins `overlap` before the cut."""
     n, start, out = len(text), 0, []
     if n <= HARD:
-        return [text]
+        return [text.strip()] if text.strip() else []
     while n - start > HARD:
         cut = cut_in(text, max(start + LOWEST_CUT, start + 1), min(start + HIGHEST_CUT, n), cuts)
         cut = cut or cut_in(text, start + 1, min(start + HARD, n), LINE_CUTS) or start + TARGET
@@ -191,7 +191,8 @@ def list_items(text: str) -> list[str]:
     if one.startswith(("* ", "- ", "+ ")):
         for mark in MEMBERS:
             first, *more = one.split(mark)
-            items = [first.strip()] + [mark[1:] + m.strip() for m in more if m.strip()]
+            first = first.strip()
+            items = [first if first[1:2] == " " else f"* {first}"] + [mark[1:] + m.strip() for m in more if m.strip()]
             if len(items) > 1:
                 return items
     return []
@@ -214,9 +215,11 @@ def split_list(text: str) -> list[str]:
 
 def split_code(text: str) -> list[str]:
     lines = lines_of(text)
-    if len(lines) < 2 or not (lines[0].startswith("```") and lines[-1].startswith("```")):
+    if len(lines) < 2 or not (lines[0].lstrip().startswith("```") and lines[-1].lstrip().startswith("```")):
         return split_text(text, LINE_CUTS)
-    opening, closing = lines[0], lines[-1]
+    opening, closing = lines[0].rstrip(), lines[-1].rstrip()
+    if len(lines) == 2:
+        return [f"{opening}\n{closing}"]
     around = len(opening) + len(closing) + 2
     target, hard = max(TARGET - around, SHORT), max(HARD - around, 120)
     out: list[str] = []
@@ -273,8 +276,8 @@ def split_cell(cell: str, target: int) -> list[str]:
             else:
                 parts += split_text(token, overlap=0)
         parts += [held] if held else []
-    later = [re.sub(r"^(?:<br/>|[\s,;:])+", "", p) for p in parts[1:]]
-    return [p for p in [*parts[:1], *later] if p]
+    later = [re.sub(r"^(?:<br/>\s*)*[\s,;:]*", "", p) for p in parts[1:]]
+    return [p for p in [*parts[:1], *later] if p] or [cell.strip()]
 
 
 def table_shape(lines: list[str]) -> tuple[list[str], list[str]]:
@@ -288,21 +291,21 @@ def table_shape(lines: list[str]) -> tuple[list[str], list[str]]:
         return [], rows
     if len(lines) == 2 and is_separator(lines[1]):
         return [], lines[:1]
-    return [], lines if len(lines) == 1 else rows
+    return [], lines
 
 
 def split_table(text: str) -> list[dict]:
-    """Pieces with the header repeated; fields of Chunk."""
-    lines = [x.strip() for x in lines_of(text) if x.strip()]
+    """Pieces with the header repeated; fields of Chunk. Only parts of a row that is too long tell of row and cell."""
+    lines = lines_of(text)
     header, rows = table_shape(lines)
-    names = cells_of(header[0]) if header else None
+    names = cells_of(lines[0])
     around = sum(len(x) + 1 for x in header) + 1
     target, hard = max(TARGET - around, SHORT), max(HARD - around, 120)
     out: list[dict] = []
     run: list[str] = []
 
     def piece(rows: list[str], **more: object) -> dict:
-        return {"text": "\n".join([*header, *rows]), "column_headers": names, **more}
+        return {"text": "\n".join([*header, *rows]).strip(), **more}
 
     def flush() -> None:
         if run:
@@ -319,13 +322,13 @@ def split_table(text: str) -> list[dict]:
         cells = cells_of(row)
         longest = max(range(len(cells)), key=lambda k: len(cells[k]))
         parts = split_cell(cells[longest], min(max(hard - CONTINUED, SHORT), TARGET))
-        for k, part in enumerate(parts, 1):
+        for k, part in enumerate(parts):
             made = [*cells[:longest], part, *cells[longest + 1 :]]
             if len(parts) > 1:
-                made[0] += f" (cont. {k}/{len(parts)})"
+                made[0] += f" (cont. {k + 1}/{len(parts)})"
             line = row_of(made)
             for p in [line] if len(line) <= hard else split_text(line, LINE_CUTS):
-                out.append(piece([p], row_ordinal=number, row_key=cells[0].strip()[:ROW_KEY] or None, cell_ordinal=longest, cell_part_index=k, cell_part_total=len(parts), is_table_continuation=len(parts) > 1))
+                out.append(piece([p], row_ordinal=number, row_key=" ".join(cells[0].split())[:ROW_KEY], column_headers=names, cell_ordinal=longest, cell_part_index=k, cell_part_total=len(parts), is_table_continuation=len(parts) > 1))
     flush()
     return out
 
@@ -338,15 +341,11 @@ def packed(section: Section, source: str) -> Iterator[Chunk]:
     base = Chunk("", section.path, section.anchor, section.title or "")
     held: Chunk | None = None
     tables = 0
-    for kind, text in blocks(section.text):
-        text = text.strip()
-        flags = {f"has_{kind}": True} if kind != "text" else {}
-        meta = {}
-        if kind == "table":
-            tables += 1
-            key = f"{source}|{' > '.join(section.path)}|{section.anchor or ''}|table#{tables}"
-            meta = {"table_id": hashlib.sha1(key.encode()).hexdigest(), "table_ordinal": tables}
-        own = replace(base, text=text, **flags, **meta)
+    for kind, block in blocks(section.text):
+        text = block.strip()
+        own = replace(base, text=text, **({f"has_{kind}": True} if kind != "text" else {}))
+        ordinal = tables
+        tables += kind == "table"
         if len(text) <= TARGET:
             if held is not None and len(held.text) + 2 + len(text) <= TARGET:
                 held = joined(held, own)
@@ -361,9 +360,11 @@ def packed(section: Section, source: str) -> Iterator[Chunk]:
         if len(text) <= HARD:
             yield own
         elif kind == "table":
-            yield from (replace(own, **p) for p in split_table(text) if p["text"].strip())
+            key = f"{source}|{' > '.join(section.path)}|{section.anchor or ''}|table#{ordinal}"
+            of = {"table_id": hashlib.sha1(key.encode()).hexdigest(), "table_ordinal": ordinal}
+            yield from (replace(own, **p, **(of if "cell_ordinal" in p else {})) for p in split_table(block) if p["text"])
         else:
-            yield from (replace(own, text=p) for p in SPLITTERS[kind](text) if p.strip())
+            yield from (replace(own, text=p.strip()) for p in SPLITTERS[kind](block) if p.strip())
     if held is not None:
         yield held
 

@@ -432,6 +432,64 @@ def chunk_documents(spark, d):
     return stages.chunk(markdown(spark, d))
 
 
+#: Markdown of a customer: sentences of 100 characters, and items, code lines and table rows of 60 with their line end.
+PARTS = {
+    "sentences": "repeat(lpad(c_custkey::VARCHAR, 9, '0') || ' ' || repeat('word ', 17) || 'end. ', 30)",
+    "item": "'* ' || lpad(i::VARCHAR, 2, '0') || ' ' || lpad(c_custkey::VARCHAR, 9, '0') || ' ' || repeat('x', 45)",
+    "code": "lpad(i::VARCHAR, 2, '0') || ' ' || lpad(c_custkey::VARCHAR, 9, '0') || ' ' || repeat('y', 46)",
+    "cell": "lpad(i::VARCHAR, 2, '0') || ' ' || lpad(c_custkey::VARCHAR, 9, '0') || ' ' || repeat('c', 87)",
+    "row": "'| ' || lpad(i::VARCHAR, 2, '0') || ' | ' || lpad(c_custkey::VARCHAR, 9, '0') || repeat('z', 41) || ' |'",
+}
+
+
+def _run_sql(part: str, begin: int, end: int, joint: str) -> str:
+    return f"array_to_string(list_transform(range({begin}, {end}), lambda i: {PARTS[part]}), {joint})"
+
+
+def _kinds_sql() -> str:
+    """Rows (k, chunk_index, content, heading, section_anchor, source_title, which kind) of each customer's fourteen chunks."""
+    line, blank = "chr(10)", "chr(10) || chr(10)"
+    top = "'Customer ' || c_custkey"
+    t = PARTS["sentences"]
+    # A sentence ends at 99, 199, ...; the last within 1320 is the cut, and what follows begins 120 before it.
+    content = [f"'# ' || {top} || ' {{#c' || c_custkey || '}}' || {blank} || substr({t}, 1, 1299)", f"trim(substr({t}, 1180, 1320))", f"trim(substr({t}, 2380)) || {blank} || '## List {{#l}}'"]
+    # Nineteen items, lines or rows fit; a heading too short for a chunk stays with the chunk before it.
+    content += [_run_sql("item", 0, 19, blank), _run_sql("item", 19, 38, blank), f"{_run_sql('item', 38, 40, blank)} || {blank} || '## Code'"]
+    content += [f"'```rust' || {line} || {_run_sql('code', a, z, line)} || {line} || '```'" for a, z in ((0, 19), (19, 38), (38, 50))]
+    content[-1] += f" || {blank} || '### Rows {{#r}} ###'"
+    head = f"'| A | B |' || {line} || '| --- | --- |' || {line}"
+    content += [f"{head} || {_run_sql('row', a, z, line)}" for a, z in ((0, 19), (19, 38))]
+    # A cell too long for a row: eleven of its parts of 100 fit with their <br/>, and each piece keeps the other cells.
+    content += [f"{head} || '| key  of ' || c_custkey || ' (cont. {n}/2) | ' || array_to_string(list_transform(range({a}, {z}), lambda i: {PARTS['cell']}), '<br/>') || ' |'" for n, a, z in ((1, 0, 11), (2, 11, 17))]
+    content += [f"{head} || {_run_sql('row', 38, 45, line)}"]
+    content[-1] += f" || {blank} || '# Short' || {blank} || 'brief'"
+    content = [c.replace("{{", "{").replace("}}", "}") for c in content]
+    below = [(top, "'c' || c_custkey", top, "text"), (f"{top} || ' > List'", "'l'", "'List'", "list"), (f"{top} || ' > Code'", "NULL", "'Code'", "code"), (f"{top} || ' > Code > Rows'", "'r'", "'Rows'", "table")]
+    rows = [f"SELECT c_custkey, {n}::BIGINT AS chunk_index, {c} AS content, {below[min(n // 3, 3)][0]} AS heading, {below[min(n // 3, 3)][1]} AS section_anchor, {below[min(n // 3, 3)][2]} AS source_title, '{below[min(n // 3, 3)][3]}' AS kind FROM customer" for n, c in enumerate(content)]
+    return " UNION ALL ".join(rows)
+
+
+@query(f"""WITH c AS ({_kinds_sql()}), h AS (SELECT *, c_custkey || '.md' AS doc_key, 'default/' || c_custkey || '.md' AS source_md, sha1(content) AS content_hash,
+  CASE chunk_index WHEN 11 THEN 0 WHEN 12 THEN 1 END AS part FROM c)
+SELECT doc_key, chunk_index, 14::BIGINT AS chunk_count_in_doc, content, heading, section_anchor, source_title, kind = 'code' AS has_code, kind = 'table' AS has_table, kind = 'list' AS has_list,
+  CASE WHEN part >= 0 THEN sha1(source_md || '|' || heading || '|r|table#0') END AS table_id, CASE WHEN part >= 0 THEN 0::BIGINT END AS table_ordinal, CASE WHEN part >= 0 THEN 'A,B' END AS headers,
+  CASE WHEN part >= 0 THEN 38::BIGINT END AS row_ordinal, CASE WHEN part >= 0 THEN 'key of ' || c_custkey END AS row_key, CASE WHEN part >= 0 THEN 1::BIGINT END AS cell_ordinal, part::BIGINT AS cell_part_index,
+  CASE WHEN part >= 0 THEN 2::BIGINT END AS cell_part_total, part IS NOT NULL AS is_table_continuation,
+  length(content)::BIGINT AS char_count, content_hash, sha1('default|' || source_md || '|' || chunk_index || '|' || content_hash) AS id,
+  '{BASE}/doc/' || c_custkey || coalesce('#' || section_anchor, '') AS link FROM h""")
+def chunk_kinds(spark, d):
+    """Sections, packing, splits of text, lists, code and tables, and merging of short chunks, on Markdown made of customers."""
+    made = {p: sql.replace("::VARCHAR", "::string") for p, sql in PARTS.items()}
+    run = lambda p, a, z, joint="\\n": f"array_join(transform(sequence({a}, {z - 1}), i -> {made[p]}), '{joint}')"
+    text = F.expr(
+        f"concat('# Customer ', c_custkey, ' {{#c', c_custkey, '}}\\n\\n', {made['sentences']}, '\\n\\n## List {{#l}}\\n\\n', {run('item', 0, 40)}, '\\n\\n## Code\\n```rust\\n', {run('code', 0, 50)},"
+        f" '\\n```\\n\\n### Rows {{#r}} ###\\n| A | B |\\n| --- | --- |\\n', {run('row', 0, 38)}, '\\n| key  of ', c_custkey, ' | ', {run('cell', 0, 17, '<br/>')}, ' |\\n', {run('row', 38, 45)}, '\\n# Short\\n\\n\\nbrief\\n')"
+    )
+    docs = table(spark, d, "customer").select(F.lit("default").alias("version_bucket"), F.concat(F.col("c_custkey").cast("string"), F.lit(".md")).alias("doc_key"), text.alias("text"))
+    rows = stages.chunk(docs)
+    return rows.select("doc_key", "chunk_index", "chunk_count_in_doc", "content", F.array_join("heading_path", " > ").alias("heading"), "section_anchor", "source_title", *stages.SUMMARY, "table_id", "table_ordinal", F.array_join("column_headers", ",").alias("headers"), "row_ordinal", "row_key", "cell_ordinal", "cell_part_index", "cell_part_total", "is_table_continuation", "char_count", "content_hash", "id", F.col("source_url_with_anchor").alias("link"))
+
+
 @query()
 def chunk_stats_by_bucket(spark, d):
     return stages.chunk_stats(stages.chunk(markdown(spark, d)))

@@ -59,6 +59,21 @@ def test_markdown():
     assert links_of('<a href="/x">1</a><a href="#y">2</a><a href="mailto:z">3</a><a href="/x">4</a>', "http://a.b/c") == ["http://a.b/x"]
 
 
+def test_chunk_rules_at_the_edges():
+    assert chunking.heading(" ## Indented") is None and chunking.heading("## Kept {# }") == (2, "Kept {# }", None)
+    assert chunking.heading("### Closed ###") == (3, "Closed", None) and chunking.heading("####### Seven") is None
+    assert [k for k, _ in chunking.blocks("text\n  ```py\n\n  | x |\n  ```\n| a |\n* b\n  c\nd")] == ["text", "code", "table", "list", "text"]
+    assert chunking.split_code("```\n```") == ["```\n```"] and chunking.split_text("   ") == []
+    rows = [f"| {k} {'y' * 200} |" for k in range(12)]
+    whole = [x for p in chunking.split_table("\n".join([*rows[:6], "| --- |", *rows[6:]])) for x in p["text"].split("\n")]
+    assert whole == [*rows[:6], "| --- |", *rows[6:]]  # a separator that isn't the second line is a row
+    assert chunking.split_cell("<br/>" * 400, 1200) == ["<br/>" * 400]
+    made = chunking.chunks("# T\n\n| a |\n| - |\n| b |\n\ntext\n\n|  k   l | " + "word " * 500 + "|", "s")
+    parts = [c for c in made if c.cell_part_total]
+    assert [c.cell_part_index for c in parts] == list(range(len(parts))) and {(c.table_ordinal, c.row_ordinal, c.row_key) for c in parts} == {(1, 0, "k l")}
+    assert all(c.table_id is None and c.column_headers is None for c in made if not c.cell_part_total) and made[0].has_table
+
+
 def test_chunks():
     assert chunking.heading("## Methods {#methods}") == (2, "Methods", "methods")
     pieces = chunking.split_text("This is a sentence for the test. " * 150)
