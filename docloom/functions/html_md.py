@@ -186,8 +186,12 @@ def parse(html: str) -> Element:
     return b.root
 
 
+#: White space as Unicode defines it.
+BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+
+
 def normalize_ws(text: str) -> str:
-    return re.sub(r"[ \t\n\r\f\v  -     　\x85 ]+", " ", text)
+    return BLANKS.sub(" ", text)
 
 
 def article(html: str) -> list:
@@ -234,7 +238,7 @@ def run(made: Generator | str) -> str:
 
 
 class Renderer:
-    """One method for each kind of block; everything without one is an inline paragraph. See run()."""
+    """One method for each kind of block; of everything else the content is an inline paragraph. See run()."""
 
     def blocks(self, nodes: list, depth: int = 0):
         out = []
@@ -252,8 +256,7 @@ class Renderer:
         made = getattr(self, f"block_{kind}", None)
         if made is not None:
             return (yield made(node, depth))
-        text = (yield self.inline(node)).strip()
-        return f"{text}\n\n" if text else ""
+        return (yield self.block_p(node, depth))
 
     def block_heading(self, node: Element, depth: int):
         text = (yield self.inlines(node.children)).strip()
@@ -297,14 +300,14 @@ class Renderer:
 
     def block_pre(self, node: Element, depth: int) -> str:
         code = node.first(lambda e: e.tag == "code")
-        names = [x for e in (code, node) if e is not None for x in e.attrs.get("class", "").split()]
+        names = code.attrs.get("class", "").split() if code is not None else []
         language = next((x.removeprefix("language-") for x in names if x.startswith("language-")), "")
-        body = (code or node).text().rstrip("\n")
+        body = (code is not None and code.text() or node.text()).rstrip("\n")
         fence = "````" if "```" in body else "```"
         return f"{fence}{language}\n{body}\n{fence}\n\n"
 
     def block_blockquote(self, node: Element, depth: int):
-        inner = (yield self.blocks(node.children, depth)).strip()
+        inner = collapse((yield self.blocks(node.children, depth))).strip()
         return "".join(f"> {x}\n" if x.strip() else ">\n" for x in inner.split("\n")) + "\n" if inner else ""
 
     def block_table(self, node: Element, depth: int):
@@ -353,7 +356,13 @@ class Renderer:
             else:
                 text = (normalize_ws(c) if isinstance(c, str) else (yield self.inline(c))).strip()
                 out += [text] if text else []
-        return re.sub(r"\s*<br/> ?", "<br/>", " ".join(out)).strip().replace("|", "\\|")
+        line = ""
+        for part in out:
+            if part == "<br/>":
+                line = line.rstrip() + part
+            else:
+                line += part if not line or line.endswith("<br/>") else f" {part}"
+        return line.strip().replace("|", "\\|")
 
     def block_dl(self, node: Element, depth: int):
         entries: list[list[str]] = []
@@ -378,14 +387,14 @@ class Renderer:
         inner = yield self.inlines(node.children)
         match node.tag:
             case "a":
-                href = node.attrs.get("href", "")
-                return f"[{inner.strip() or href}]({href})" if href else inner
+                href = node.attrs.get("href", "").strip()
+                return f"[{inner.strip() or href}]({href})"
             case "img":
-                return f"![{node.attrs.get('alt', '')}]({node.attrs.get('src', '')})"
+                return f"![{node.attrs.get('alt', '')}]({node.attrs.get('src', '').strip()})"
             case "strong" | "b":
-                return f"**{inner.strip()}**" if inner.strip() else ""
+                return f"**{inner.strip()}**"
             case "em" | "i":
-                return f"*{inner.strip()}*" if inner.strip() else ""
+                return f"*{inner.strip()}*"
             case "br":
                 return "<br/>"
             case "span" if "id" in node.attrs and "position: absolute" in node.attrs.get("style", "").lower():
@@ -394,15 +403,20 @@ class Renderer:
 
     @staticmethod
     def code(text: str) -> str:
-        text = normalize_ws(text)
+        text = text.replace("\n", " ").strip()
         mark, pad = fenced(text), " " if text.startswith("`") or text.endswith("`") else ""
-        return f"{mark}{pad}{text}{pad}{mark}" if text else ""
+        return f"{mark}{pad}{text}{pad}{mark}" if text else "``"
+
+
+def collapse(text: str) -> str:
+    """Blank lines are empty, and at most two stand together."""
+    text = "\n".join(x if x.strip() else "" for x in text.split("\n"))
+    return re.sub(r"\n{4,}", "\n\n\n", text)
 
 
 def normalize_markdown(text: str) -> str:
     """LF line ends, at most two blank lines together, one line end at the end."""
-    text = text.replace("\r\n", "\n")
-    return re.sub(r"\n(?:[ \t]*\n){3,}", "\n\n\n", text).strip() + "\n"
+    return collapse(text.replace("\r\n", "\n")).strip() + "\n"
 
 
 def html_to_markdown(html: str) -> str:

@@ -59,6 +59,21 @@ def test_markdown():
     assert links_of('<a href="/x">1</a><a href="#y">2</a><a href="mailto:z">3</a><a href="/x">4</a>', "http://a.b/c") == ["http://a.b/x"]
 
 
+def test_html_rules_at_the_edges():
+    from docloom.functions.html_md import html_to_markdown, normalize_ws
+
+    md = lambda inner: html_to_markdown(f"<html><body>{inner}</body></html>")
+    assert md("<p>a <a>b</a> <a href=' /c '></a></p>") == "a [b]() [/c](/c)\n"
+    assert md("<p>x<b> </b>y<i></i>z<code> </code></p>") == "x****y**z``\n"
+    assert md("<p><code>a   b\nc</code> <code>`d</code></p>") == "`a   b c` `` `d ``\n"
+    assert md("<a href='/x'>top</a><strong>s</strong><img src='i'><center>c</center>") == "top\n\ns\n\nc\n"
+    assert md("<pre class='language-py'>plain</pre><pre><code class='a language-c'></code>own</pre>") == "```\nplain\n```\n\n```c\nown\n```\n"
+    assert md("<pre>a\n  \nb\n\n\n\n\nc</pre>") == "```\na\n\nb\n\n\nc\n```\n"
+    assert md("<blockquote><pre>a\n\n\n\n\nb</pre></blockquote>") == "> ```\n> a\n>\n>\n> b\n> ```\n"
+    assert md("<table><tr><td>a<br> b<p>c <br> d</p>e|</td></tr></table>") == "| a<br/>b<br/>c <br/> d e\\| |\n| --- |\n"
+    assert normalize_ws("a\u00a0\u2003\u3000\tb\u200bc") == "a b\u200bc"
+
+
 def test_chunk_rules_at_the_edges():
     assert chunking.heading(" ## Indented") is None and chunking.heading("## Kept {# }") == (2, "Kept {# }", None)
     assert chunking.heading("### Closed ###") == (3, "Closed", None) and chunking.heading("####### Seven") is None
