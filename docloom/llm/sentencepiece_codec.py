@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import bounded, pieces, tidy
 
 SPACE = "▁"
-CACHE, PAIRS, CACHED_CHARS, NONE = 120_000, 120_000, 64, float("-inf")
+CACHE, PAIRS, CACHED_CHARS, NONE = 60_000, 60_000, 64, float("-inf")
 
 
 class Codec:

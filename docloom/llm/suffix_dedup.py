@@ -215,7 +215,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -
 
     @tidy
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "t", 1 << 20):
+        for b in pieces(batches, "t", 1 << 19):
             x, y, copies, first = once(b)
             got = suffixes(*text_bytes(b.column("t").take(pa.array(first))), length)
             of = got["text"]
@@ -241,7 +241,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -
 
     @tidy
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "t", 1 << 20):
+        for b in pieces(batches, "t", 1 << 19):
             out: list[list] = [[] for _ in range(9)]
             done = set()
             for x, y, t, r in zip(*(b.column(c).to_pylist() for c in ("x", "y", "t", "r")), strict=True):
@@ -350,7 +350,7 @@ def passages(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     @tidy
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "t", 1 << 20):
+        for b in pieces(batches, "t", 1 << 19):
             x, y, copies, first = once(b)
             text, place, h = marks(*text_bytes(b.column("t").take(pa.array(first))))
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x[text], y[text], copies[text], place, h)], ["x", "y", "n", "place", "h"])
