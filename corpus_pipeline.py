@@ -20,8 +20,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that start in more than one place."""
-    return suffix_dedup.without_repeats(docs, length=400)
+    """Texts without the strings of 400 bytes that start in more than one place and without the passages of more than 50
+    words that another document has."""
+    return suffix_dedup.without_repeats(docs, length=400, words=suffix_dedup.PASSAGE_WORDS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,11 @@ begin. Then:
 by document; neighbouring marks that are found elsewhere are one run. This sees passages too short for `length`: every
 one of MARK + MARK_WINDOW bytes or more has a mark, and its run ends less than MARK_WINDOW bytes short at either end.
 
+With `words`, passages of so many words or more that another document has go, too, however few bytes they have. As with
+bytes, each window of so many words has a content-defined anchor, its smallest hash of WORD_GRAM words;
+only windows whose anchor occurs again are hashed as a whole, and those whose hash more than one document has go. Words
+stand between ASCII white space, which itself isn't compared.
+
 Copies of a text in a batch are read once and count as many times; texts are known by two 64-bit hashes, so copies of a
 text share one list of spans.
 
@@ -40,6 +45,8 @@ from .common import bounded, discard, materialise, pieces, release, text_bytes,
 
 GRAM, PARTS, BLOCK, BROADCAST_ENTRIES, KEPT = 16, 3, 5_000, 500_000, 4 << 20
 MARK, MARK_WINDOW = 120, 160
+WORD_GRAM, PASSAGE_WORDS = 16, 51
+SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _R = np.random.default_rng(19920229)
 CODE = _R.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
@@ -53,17 +60,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any substrings of data in constant time each."""
+    """Hashes of any substrings of data in constant time each; with code None, data are hashes of the elements already."""
 
     up = down = np.ones(1, np.uint64)
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, code: np.ndarray | None = CODE):
         n = len(data) + 1
         if len(Rolling.up) < n:
             self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n * 5 // 4, np.uint64(b))])) for b in (BASE, INVERSE))
             if n < KEPT:  # the powers for a very long text go with it
                 Rolling.up, Rolling.down = self.up, self.down
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(CODE[data] * self.up[: n - 1])])
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data if code is None else code[data]) * self.up[: n - 1])])
 
     def of(self, begin: np.ndarray, size: np.ndarray | int) -> np.ndarray:
         return mix((self.sums[begin + size] - self.sums[begin]) * self.down[begin])
@@ -73,14 +80,14 @@ class Rolling:
         return mix((self.sums[size:] - self.sums[:-size]) * self.down[:n]) if n > 0 else np.zeros(0, np.uint64)
 
 
-def anchors(rolling: Rolling, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, anchor) of each string of `length` bytes that lies within a text."""
+def anchors(rolling: Rolling, offsets: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """(start, anchor) of each string of `length` bytes (or words) that lies within a text."""
     sizes = np.diff(offsets)
     start = np.concatenate([np.arange(a, a + n - length + 1) for a, n in zip(offsets, sizes, strict=False) if n >= length] or [np.zeros(0, np.int64)])
     if not len(start):
         return start, start
-    window = length - GRAM + 1
-    value = (rolling.grams(GRAM) & np.uint64(~((1 << 28) - 1) & (1 << 64) - 1)) | np.arange(len(rolling.sums) - GRAM, dtype=np.uint64)
+    window = length - gram + 1
+    value = (rolling.grams(gram) & np.uint64(~((1 << 28) - 1) & (1 << 64) - 1)) | np.arange(len(rolling.sums) - gram, dtype=np.uint64)
     blocks = -(-len(value) // window)
     padded = np.full(blocks * window, np.uint64((1 << 64) - 1))
     padded[: len(value)] = value
@@ -183,6 +190,18 @@ def spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[first], end[np.append(first[1:], len(begin)) - 1]
 
 
+@tidy
+def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """x, y, spans of rows(x, y, r): the maximal runs of r, which has start << 32 | end."""
+    for b in batches:
+        out = []
+        for r in b.column("r").to_pylist():
+            v = np.array(r, np.int64)
+            a, z = spans(v >> 32, v & 0xFFFFFFFF)
+            out.append((a << 32 | z).tolist())
+        yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), pa.array(out, pa.list_(pa.int64()))], ["x", "y", "spans"])
+
+
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     t = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(t.alias("t"), F.xxhash64(t, F.lit(1)).alias("x"), F.xxhash64(t, F.lit(2)).alias("y"))
@@ -316,20 +335,84 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -
     common = strings.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
     edges = edges.unionByName(strings.join(common, "h").select("x", "y", "begin", (F.col("begin") + length).alias("end")))
 
-    @tidy
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for r in b.column("r").to_pylist():
-                v = np.array(r, np.int64)
-                a, z = spans(v >> 32, v & 0xFFFFFFFF)
-                out.append((a << 32 | z).tolist())
-            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), pa.array(out, pa.list_(pa.int64()))], ["x", "y", "spans"])
-
     both = whole.unionByName(edges).select("x", "y", (F.shiftleft("begin", 32).bitwiseOR(F.col("end"))).alias("r"))
     return both.groupBy("x", "y").agg(F.collect_set("r").alias("r")).mapInArrow(merge, "x long, y long, spans array<long>")
 
 
+def words_of(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Rolling]:
+    """(begin and end of each word, first word of each text and the end, hashes of any runs of words)."""
+    solid = ~SPACE[data]
+    start, stop = solid.copy(), solid.copy()
+    start[1:] &= ~solid[:-1]
+    stop[:-1] &= ~solid[1:]
+    some = offsets[:-1] < offsets[1:]
+    first, last = offsets[:-1][some], offsets[1:][some] - 1
+    start[first], stop[last] = solid[first], solid[last]
+    begin, end = np.flatnonzero(start), np.flatnonzero(stop) + 1
+    return begin, end, np.searchsorted(begin, offsets), Rolling(Rolling(data).of(begin, end - begin), None)
+
+
+def repeated_passages(docs: DataFrame, text_col: str, words: int) -> DataFrame:
+    """x, y, spans as of repeated_spans(), written: the runs of `words` words or more that another document has too."""
+    if not WORD_GRAM <= words < 1024:
+        raise ValueError(f"passages have {WORD_GRAM} to 1023 words")
+    spark = docs.sparkSession
+    bounded(spark)
+
+    @tidy
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of each anchor, as number of the first in its text << 10 | how many."""
+        for b in pieces(batches, "t", 1 << 19):
+            x, y, copies, own = once(b)
+            _, _, first, rolling = words_of(*text_bytes(b.column("t").take(pa.array(own))))
+            start, anchor = anchors(rolling, first, words, WORD_GRAM)
+            text = np.searchsorted(first, start, side="right") - 1
+            new = np.ones(len(start), bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+            at = np.flatnonzero(new)
+            many = np.diff(np.append(at, len(start)))
+            of = text[at]
+            core = rolling.of(anchor[at], WORD_GRAM).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x[of], y[of], copies[of], (start[at] - first[of]) << 10 | many, core)], ["x", "y", "n", "place", "core"])
+
+    found = materialise(_texts(docs, text_col).mapInArrow(sample, "x long, y long, n long, place long, core long"), "suffix-anchors")
+    again = found.groupBy(F.col("core").alias("__core")).agg(F.sum("n").alias("n")).filter("n > 1").select("__core")
+    rest = found.join(again, F.col("core") == F.col("__core")).groupBy(F.col("x").alias("__x"), F.col("y").alias("__y")).agg(F.collect_set("place").alias("r"))
+    rest = materialise(rest, "suffix-anchors-again")
+    joined = _texts(docs, text_col).join(_sent(rest, "r"), (F.col("x") == F.col("__x")) & (F.col("y") == F.col("__y"))).select("x", "y", "t", "r")
+
+    @tidy
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A hash of each window; n: the documents that its text stands for, once for each hash of a text."""
+        for b in pieces(batches, "t", 1 << 19):
+            x, y, copies, own = once(b)
+            b = b.take(pa.array(own))
+            offsets, data = text_bytes(b.column("t"))
+            begin, end, first, rolling = words_of(offsets, data)
+            lists = b.column("r")
+            place = lists.flatten().to_numpy()
+            text = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            many = place & 1023
+            row = np.repeat(np.arange(len(place)), many)
+            text = text[row]
+            start = first[text] + (place[row] >> 10) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            h = rolling.of(start, words)
+            order = np.lexsort((h, text))
+            fresh = np.ones(len(row), bool)
+            fresh[1:] = (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])
+            n = np.zeros(len(row), np.int64)
+            n[order[fresh]] = copies[text[order[fresh]]]
+            span = (begin[start] - offsets[text]) << 32 | (end[start + words - 1] - offsets[text])
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x[text], y[text], n, span, h.astype(np.int64))], ["x", "y", "n", "r", "h"])
+
+    whole = materialise(joined.mapInArrow(windows, "x long, y long, n long, r long, h long"), "suffix-windows")
+    common = whole.groupBy(F.col("h").alias("__h")).agg(F.sum("n").alias("n")).filter("n > 1").select("__h")
+    hit = whole.join(common, F.col("h") == F.col("__h")).groupBy("x", "y").agg(F.collect_set("r").alias("r"))
+    out = materialise(hit.mapInArrow(merge, "x long, y long, spans array<long>"), "suffix-passages")
+    discard(spark, found, rest, whole)
+    return out
+
+
 def marks(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, place in it, hash) of the MARK bytes around each anchor that has as many; each hash once a text."""
     rolling = Rolling(data)
@@ -380,9 +463,13 @@ def powers(n: int) -> np.ndarray:
     return np.cumprod(np.full(n, np.uint64(BASE)))
 
 
-def with_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -> DataFrame:
-    """docs with __spans, null where nothing repeats."""
-    found = materialise(repeated_spans(docs, text_col, length), "suffix-spans").withColumnsRenamed({"x": "__x", "y": "__y", "spans": "__spans"})
+def with_spans(docs: DataFrame, text_col: str = "text", length: int = 400, words: int | None = None) -> DataFrame:
+    """docs with __spans, null where nothing repeats: strings of `length` bytes and, unless None, passages of `words` words."""
+    also = repeated_passages(docs, text_col, words) if words else None
+    found = repeated_spans(docs, text_col, length)
+    if also is not None:
+        found = found.unionByName(also).groupBy("x", "y").agg(F.flatten(F.collect_list("spans")).alias("r")).mapInArrow(merge, "x long, y long, spans array<long>")
+    found = materialise(found, "suffix-spans").withColumnsRenamed({"x": "__x", "y": "__y", "spans": "__spans"})
     found = _sent(found, "__spans")
     t = F.coalesce(F.col(text_col), F.lit(""))
     return docs.join(found, (F.xxhash64(t, F.lit(1)) == F.col("__x")) & (F.xxhash64(t, F.lit(2)) == F.col("__y")), "left").drop("__x", "__y")
@@ -401,8 +488,12 @@ def kept_of(raw: bytes, runs: list[int] | None) -> tuple[bytes, int]:
     return b"".join([*out, raw[at:]]), gone
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256, longest_shared (see passages(), 0 for none) of each text."""
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int | None = None, words: int | None = None) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256, longest_shared (see passages(), 0 for none) of each text.
+
+    See without_repeats() for length and words; with neither, strings of 400 bytes and passages of 51 words go.
+    """
+    length, words = (length or 400, words) if length or words else (400, PASSAGE_WORDS)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,14 +512,18 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     release(docs.sparkSession)
     shared_ = F.broadcast(shared_) if shared_.count() <= BROADCAST_ENTRIES else shared_
     t = F.coalesce(F.col("t"), F.lit(""))
-    out = with_spans(rows, "t", length).join(shared_, (F.xxhash64(t, F.lit(1)) == F.col("__x")) & (F.xxhash64(t, F.lit(2)) == F.col("__y")), "left")
+    out = with_spans(rows, "t", length, words).join(shared_, (F.xxhash64(t, F.lit(1)) == F.col("__x")) & (F.xxhash64(t, F.lit(2)) == F.col("__y")), "left")
     out = out.select("i", "t", F.col("__spans").alias("s"), F.coalesce("shared", F.lit(0).cast("long")).alias("p"))
     return out.mapInArrow(run, f"i {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, longest_shared long").withColumnRenamed("i", id_col)
 
 
-def without_repeats(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", length: int = 400) -> DataFrame:
-    """docs with what is left of each text (characters of which a byte goes, go) and, in chars_col, its code points."""
-    marked = with_spans(docs, text_col, length)
+def without_repeats(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", length: int = 400, words: int | None = None) -> DataFrame:
+    """docs with what is left of each text (characters of which a byte goes, go) and, in chars_col, its code points.
+
+    Strings of `length` bytes that start in more than one place go, and with `words`, passages of so many words or more
+    that another document has.
+    """
+    marked = with_spans(docs, text_col, length, words)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

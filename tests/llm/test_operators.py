@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
+import corpus_pipeline
 from docloom.llm import imatch, jaccard_trie, langid, licenses, mixing, ppm, quality_cnn, sentencepiece_codec, suffix_dedup, va_file
 from docloom.llm.common import crc_mod
 
@@ -208,6 +209,41 @@ def test_shared_passages(spark):
     assert all(x.longest_shared > 200 for x in out if x.n_bytes > 400 and x.doc_id in (300, 400, None))
 
 
+def passages_removed(texts, words):
+    """What is left of each text without the runs of so many words that another has, by brute force."""
+    at = [list(re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())) for t in texts]
+    grams = [[tuple(w.group() for w in m[p : p + words]) for p in range(len(m) - words + 1)] for m in at]
+    count = Counter(g for one in grams for g in set(one))
+    out = []
+    for t, m, one in zip(texts, at, grams, strict=True):
+        raw = (t or "").encode()
+        gone = [False] * len(raw)
+        for p, g in enumerate(one):
+            if count[g] > 1:
+                a, z = m[p].start(), m[p + words - 1].end()
+                gone[a:z] = [True] * (z - a)
+        out.append(bytes(v for v, g in zip(raw, gone, strict=True) if not g).decode())
+    return out
+
+
+def test_short_passages_go(spark):
+    r = random.Random(21)
+    make = lambda n: " ".join("".join(r.choices("abcdeé", k=r.randint(1, 5))) for _ in range(n))
+    texts = []
+    for k in range(40):
+        passage = make(r.choice([49, 50, 51, 52, 75]))  # fewer than 400 bytes
+        texts += [f"{make(r.randint(0, 90))} {passage} {make(r.randint(0, 90))}", f"{make(r.randint(0, 90))}\n{passage}\t{make(r.randint(0, 90))}"]
+    own = make(55)
+    texts += [f"{own} {make(9)} {own}", None, "", " \n ", make(60), make(51)]
+    texts += [texts[-1], "a " * 80, "a " * 60, "b " * 70]
+    docs = spark.createDataFrame([(k, t, len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, n_chars long").repartition(3)
+    rows = got(corpus_pipeline.repeated_strings(spark, docs, ""))
+    want = passages_removed(texts, 51)
+    assert [rows[k].text or "" for k in range(len(texts))] == want
+    assert sum(a != (t or "") for a, t in zip(want, texts, strict=True)) > 40 and want[80] == texts[80]
+    assert all((rows[k].text is None) == (t is None) and (rows[k].n_chars or 0) == len(want[k]) for k, t in enumerate(texts))
+
+
 def test_multikey_sort_is_lexicographic():
     r = np.random.default_rng(5)
     words = r.integers(0, 3, (500, 12)).astype(">u8")
