@@ -3,8 +3,8 @@
 The text is cut where no merge can reach across: before a run of spaces, at characters without a piece and before
 marks that stand in no piece after a letter (all three read from the model's pieces), so equal parts are encoded once
 for each worker. A part is encoded from longest matches of an Aho-Corasick
-automaton: take the longest piece that ends the walk, check that it stands next to the previous piece by merging the two
-again, else try the next shorter one, and mark positions from which no way leads on in a bitfield so that none is
+automaton: take the longest piece that ends the walk, check that it stands next to the previous piece, which the recorded
+merges at the edges of the two tell, else try the next shorter one, and mark positions from which no way leads on in a bitfield so that none is
 tried twice. Characters without a piece split the part; they become their UTF-8 bytes.
 
 Runs of spaces have pieces of equal score, for which the neighbour check alone doesn't decide; parts that begin with
@@ -12,7 +12,7 @@ more than one space are merged by priority queue instead, as the definition says
 
 Nulls and edges: null text is the empty text, which has no ids; very long texts are cut as above; ids may be null or
 repeat; other columns are neither read nor returned. A task keeps at most `CACHE` parts of `CACHED_CHARS` characters
-and `PAIRS` checked neighbours; its worker, which Spark uses again for other stages, keeps the vocabulary alone.
+(those not met again while half as many new ones came go first) and `PAIRS` checked neighbours; its worker, which Spark uses again for other stages, keeps the vocabulary alone.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import bounded, pieces, tidy
 
 SPACE = "▁"
-CACHE, PAIRS, CACHED_CHARS, NONE = 60_000, 60_000, 64, float("-inf")
+CACHE, PAIRS, CACHED_CHARS, NONE = 200_000, 60_000, 64, float("-inf")
 
 
 class Codec:
@@ -57,12 +57,22 @@ class Codec:
         reached = [p for p in self.ids if len(p) == 1 or self.merge(p) == [p]]
         self.automaton = ahocorasick.Automaton()
         for p in reached:
-            self.automaton.add_word(p, (len(p) - 1, p))
+            if len(p) > 1:  # a character's own piece needs no search
+                self.automaton.add_word(p, (len(p) - 1, p))
         self.automaton.make_automaton()
         self.shorter = self._shorter(set(reached))
+        self.number = {p: str(self.ids[p]) for p in reached}
         self.cut = self._cutter()
         self.pair: dict[tuple[str, str], bool] = {}
-        self.cache: dict[str, tuple[str, int, str]] = {}
+        self.cache: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
+        self.first: dict[str, list] = {}
+        self.last: dict[str, list] = {}
+
+    def clear(self) -> None:
+        self.pair.clear()
+        self.cache.clear()
+        self.older.clear()
 
     @staticmethod
     def _shorter(words: set[str]) -> dict[str, str]:
@@ -83,10 +93,10 @@ class Codec:
         while wrong := {b for a, b in after if b in marks and a not in marks}:
             marks -= wrong
         none = "" if "\n" in self.chars else "\n"
-        m, stop = "".join(map(re.escape, sorted(marks))), f"{SPACE}{none}"
+        m, stop = "".join(map(re.escape, sorted(marks))), f" {none}"
         word = f"[^{stop}{m}]+"
         tail = f"[{m}][^{stop}]*" if m else word
-        return re.compile(f"{SPACE}+(?:{word}|{tail})?|{word}|{tail}" + ("|\n" if none else ""))
+        return re.compile(f" +(?:{word}|{tail})?|{word}|{tail}" + ("|\n" if none else ""))
 
     def merge(self, text: str) -> list[str]:
         """The definition: merge the adjacent pair whose union has the highest score, leftmost first, until none has one."""
@@ -131,28 +141,67 @@ class Codec:
             offer(i)
         return [x for x in sym if x]
 
+    def edges(self, piece: str) -> None:
+        """Record the symbols that begin and end a piece while its characters are merged: self.first and self.last have
+        the symbol at first, the score at which it is merged on, the next symbol and so on, and NONE at the end.
+
+        A merge that waits for others of lower score counts with the lowest, as it comes no sooner.
+        """
+        sym, lowest = list(piece), float("inf")
+        first, last = [sym[0]], [sym[-1]]
+        while len(sym) > 1:
+            found = [self.scores.get(a + b, NONE) for a, b in zip(sym, sym[1:])]
+            i = found.index(most := max(found))
+            lowest = min(lowest, most)
+            sym[i] += sym.pop(i + 1)
+            if i == 0:
+                first += [lowest, sym[0]]
+            if i == len(sym) - 1:
+                last += [lowest, sym[-1]]
+        self.first[piece], self.last[piece] = [*first, NONE], [*last, NONE]
+
     def stands(self, a: str, b: str) -> bool:
-        """Whether merging a's and b's characters again gives just a and b."""
+        """Whether merging a's and b's characters again gives just a and b: no merge across comes first at any time.
+
+        Of equal scores the leftmost merge comes first: one in a, then that across, then one in b.
+        """
+        if a not in self.last:
+            self.edges(a)
+        if b not in self.first:
+            self.edges(b)
+        left, right, score, i, j = self.last[a], self.first[b], self.scores.get, 0, 0
+        while True:
+            x, y = left[i + 1], right[j + 1]
+            if (s := score(left[i] + right[j])) is not None and s > x and s >= y:
+                ok = False
+                break
+            if x == y == NONE:
+                ok = True
+                break
+            if x >= y:
+                i += 2
+            else:
+                j += 2
         if len(self.pair) >= PAIRS:
             self.pair.clear()
-        ok = self.pair[a, b] = self.merge(a + b) == [a, b]
+        self.pair[a, b] = ok
         return ok
 
     def backtrack(self, text: str) -> list[str]:
         """Encode characters that all have pieces of their own."""
         # Matches come in order of their ends, so the longest that begins at a position comes last.
-        best = {end - k: p for end, (k, p) in self.automaton.iter(text)}
+        best = {end - k: p for end, (k, p) in self.automaton.iter(text)}.get
         n, pair, shorter = len(text), self.pair, self.shorter
         failed = 0  # bit i: no way leads on from position i
         out: list[str] = []
-        at, token, last = 0, best[0], ""
+        at, token, last = 0, best(0) or text[0], ""
         while True:
             end = at + len(token)
-            if not failed >> end & 1 and (not last or ((ok := pair.get((last, token))) is None and self.stands(last, token)) or ok):
+            if not (failed and failed >> end & 1) and (not last or ((ok := pair.get((last, token))) is None and self.stands(last, token)) or ok):
                 out.append(token)
                 if end == n:
                     return out
-                last, at, token = token, end, best[end]
+                last, at, token = token, end, best(end) or text[end]
                 continue
             while (less := shorter.get(token)) is None:  # nothing else fits here
                 failed |= 1 << at
@@ -164,22 +213,24 @@ class Codec:
             token = less
 
     def part(self, text: str) -> list[int]:
+        text = text.replace(" ", SPACE)
         if self.chars.issuperset(text):
-            return self._pieces(text)
+            return [self.ids[p] for p in self._pieces(text)]
         out: list[int] = []
         begin = 0
         for i, c in enumerate(text):
             if c not in self.chars:
-                out += self._pieces(text[begin:i]) if begin < i else []
+                out += [self.ids[p] for p in self._pieces(text[begin:i])] if begin < i else []
                 out += [self.byte_ids[b] for b in c.encode()]
                 begin = i + 1
-        return out + (self._pieces(text[begin:]) if begin < len(text) else [])
+        return out + ([self.ids[p] for p in self._pieces(text[begin:])] if begin < len(text) else [])
 
-    def _pieces(self, text: str) -> list[int]:
-        return [self.ids[p] for p in (self.merge(text) if text.startswith(SPACE * 2) else self.backtrack(text))]
+    def _pieces(self, text: str) -> list[str]:
+        return self.merge(text) if text.startswith(SPACE * 2) else self.backtrack(text)
 
     def parts(self, text: str) -> list[str]:
-        return self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        """With plain spaces, which makes most of them strings of one byte a character."""
+        return self.cut.findall(" " + text.replace(SPACE, " ")) if text else []
 
     def encode(self, text: str) -> list[int]:
         return [i for p in self.parts(text) for i in self.part(p)]
@@ -221,13 +272,19 @@ class Codec:
         first = next((i for i in ids if self.surface[i] != ""), None)
         return text[1:] if first is not None and isinstance(self.surface[first], str) and text.startswith(" ") else text
 
-    def known(self, text: str) -> tuple[str, int, str]:
-        """(ids joined by commas, how many, decoded) of one part."""
-        ids = self.part(text)
-        got = ",".join(map(str, ids)), len(ids), self._bytes(ids)
+    def known(self, text: str) -> tuple[str, str]:
+        """(ids joined by commas, decoded) of one part that isn't in the younger half of the cache."""
+        if (got := self.cache.get(text) or self.older.get(text)) is None:
+            if self.chars.issuperset(marked := text.replace(" ", SPACE)):
+                found = self._pieces(marked)
+                joined, plain = ",".join([self.number[p] for p in found]), "".join(found).replace(SPACE, " ")
+            else:
+                ids = self.part(text)
+                joined, plain = ",".join(map(str, ids)), self._bytes(ids)
+            got = joined, text if plain == text else plain  # the same string is held once
         if len(text) <= CACHED_CHARS:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
+            if len(self.cache) >= CACHE // 2:
+                self.cache, self.older = {}, self.cache
             self.cache[text] = got
         return got
 
@@ -238,9 +295,9 @@ class Codec:
             found = [x or self.known(p) for x, p in zip(found, parts, strict=True)]
         if not found:
             return "", 0, ""
-        joined, counts, decoded = zip(*found, strict=True)
-        plain = "".join(decoded)
-        return ",".join(joined), sum(counts), plain[1:] if plain.startswith(" ") else plain
+        joined, decoded = zip(*found, strict=True)
+        ids, plain = ",".join(joined), "".join(decoded)
+        return ids, ids.count(",") + 1, plain[1:] if plain.startswith(" ") else plain
 
 
 @functools.cache
@@ -254,8 +311,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
-        c.cache.clear()
-        c.pair.clear()
+        c.clear()
         for b in pieces(batches, "t"):
             ids = [c.encode(t or "") for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(ids, pa.list_(pa.int32())), pa.array(map(c.decode, ids), pa.string())], ["i", "ids", "decoded"])
@@ -271,8 +327,7 @@ def encode_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", tex
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
-        c.cache.clear()
-        c.pair.clear()
+        c.clear()
         for b in pieces(batches, "t"):
             n, a, d = [], [], []
             for t in b.column("t").to_pylist():
@@ -281,8 +336,7 @@ def encode_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", tex
                 a.append(hashlib.sha256(joined.encode()).hexdigest())
                 d.append(hashlib.sha256(plain.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(n, pa.int64()), pa.array(a), pa.array(d)], ["i", "n_tokens", "ids_sha256", "decoded_sha256"])
-        c.cache.clear()
-        c.pair.clear()
+        c.clear()
 
     bounded(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

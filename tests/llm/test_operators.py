@@ -381,6 +381,34 @@ def test_sentencepiece_on_odd_texts():
         assert codec.decode(ids) == model.decode(ids)
 
 
+def test_sentencepiece_neighbours(monkeypatch):
+    codec = sentencepiece_codec.codec(PIECES)
+    r = random.Random(8)
+    reached = [p for p in codec.ids if codec.merge(p) == [p]]
+    whole = [p for p in reached if len(p) > 1]
+    pairs = [(r.choice(reached), r.choice(reached)) for _ in range(3000)]
+    pairs += [(p[:k], p[k:]) for p in r.sample(whole, 3000) for k in (r.randint(1, len(p) - 1),) if codec.merge(p[:k]) == [p[:k]] and codec.merge(p[k:]) == [p[k:]]]
+    pairs += [("▁" * a, "▁" * b) for a in (1, 2, 3, 4) for b in (1, 2, 3, 4) if {"▁" * a, "▁" * b} <= set(reached)]
+    want = [codec.merge(a + b) == [a, b] for a, b in pairs]
+    codec.clear()
+    monkeypatch.setattr(codec, "merge", None)  # told by the pieces' own merges, not by merging each pair
+    assert [codec.stands(a, b) for a, b in pairs] == want and {True, False} == set(want)
+    codec.clear()
+
+
+def test_sentencepiece_keeps_what_it_meets_again(monkeypatch):
+    codec = sentencepiece_codec.codec(PIECES)
+    codec.clear()
+    monkeypatch.setattr(sentencepiece_codec, "CACHE", 20)
+    found, encode = Counter(), codec.backtrack
+    monkeypatch.setattr(codec, "backtrack", lambda t: found.update([t]) or encode(t))
+    for k in range(100):
+        codec.both(f"the new{k} other{k}")
+        assert len(codec.cache) + len(codec.older) <= 20
+    assert found["▁the"] == 1
+    codec.clear()
+
+
 def test_imatch(docs, empty, texts, spark):
     rows = got(imatch.compare(docs))
     order = sorted(texts, reverse=True)
