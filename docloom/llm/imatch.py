@@ -2,8 +2,8 @@
 
 Document frequencies are counted over all documents. The lexicon keeps terms whose share of documents lies in a band;
 since a document has so many different terms, at most (terms a document) / LOW can have a share of LOW, so the lexicon's
-size doesn't follow the corpus. It is arranged as a hash table in one array, which each task gets as a constant, and a
-band of more than `TERMS` terms is refused.
+size doesn't follow the corpus. It is arranged as a hash table in one array, which each task gets as the value of a
+scalar subquery: plans, which Spark prints again and again, don't hold it. A band of more than `TERMS` terms is refused.
 
 A document's terms in the lexicon are made distinct and sorted, and the sorted terms of each of several random subsets
 of the lexicon are hashed with 64 bits: `WIDE` overlapping subsets, each with three quarters of all terms, which agree
@@ -23,7 +23,7 @@ texts' hashes, null ids come last; a table of one row is its own next; an empty
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +44,7 @@ def terms_of(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> Column:
-    """A constant array of arrays of terms; a term is in place xxhash64(term) mod size."""
+    """One array of arrays of terms, as a scalar subquery; a term is in place xxhash64(term) mod size."""
     counts = docs.select(F.explode(terms_of(F.col(text_col))).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     n = docs.count()
     band = materialise(counts.filter((F.col("df") >= n * low) & (F.col("df") <= max(2, n * high))).select("w"), "imatch-lexicon")
@@ -52,18 +52,19 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: flo
     if size > TERMS:
         raise ValueError(f"{size} terms lie in the band; every task holds them, so raise `low`")
     slots = 1 << max(1, size).bit_length()
-    table: list[list[str]] = [[] for _ in range(slots)]
-    for r in band.select(F.pmod(F.xxhash64("w"), F.lit(slots)).cast("int").alias("slot"), "w").collect():  # bounded by the band
-        table[r["slot"]].append(r["w"])
-    # Read once, when the plan is made; tasks get the array.
-    return F.from_json(F.lit(json.dumps(table)), "array<array<string>>")
+    held = band.select(F.pmod(F.xxhash64("w"), F.lit(slots)).alias("slot"), F.array("w").alias("ws"))
+    free = docs.sparkSession.range(slots).select(F.col("id").alias("slot"), F.array().cast("array<string>").alias("ws"))
+    each = held.unionByName(free).groupBy("slot").agg(F.flatten(F.collect_list("ws")).alias("ws"))
+    table = each.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "ws"))), lambda x: x["ws"]).alias("table"))  # bounded by the band
+    return materialise(table, "imatch-table").scalar()
 
 
 def fingerprint(text: Column, table: Column) -> Column:
-    """Entries `subset:hash` of a text, sorted, as an array."""
-    terms = terms_of(text)
+    """Entries `subset:hash` of a text, sorted, as an array. Names text and table once each."""
 
-    inside = F.filter(terms, lambda w: F.array_contains(F.element_at(table, F.pmod(F.xxhash64(w), F.size(table)).cast("int") + 1), w))
+    def known(terms: Column) -> Column:
+        one = F.transform(F.array(table), lambda held: F.filter(terms, lambda w: F.array_contains(F.element_at(held, F.pmod(F.xxhash64(w), F.size(held)).cast("int") + 1), w)))
+        return F.element_at(one, 1)
 
     def coded(w: Column, rate: int) -> Column:
         # Ten bits of the hash for each rate, from the high end: the low ones choose the place in the table.
@@ -85,10 +86,22 @@ def fingerprint(text: Column, table: Column) -> Column:
         wide = F.filter(F.array(*[F.when(x != "", printed(F.lit(f"w{k}"), x)) for k, x in enumerate(wide)]), lambda e: e.isNotNull())
         return F.concat(wide, F.transform(runs, lambda r: printed(F.substring(r, 1, 2), r)))
 
-    hashed = F.element_at(F.transform(F.array(F.array_sort(inside)), entries), 1)
-    alone = F.array(F.concat(F.lit("zz"), F.hex(F.xxhash64(F.array_join(F.array_sort(terms), " ")))))
-    # Through a list of one, so that it is computed once.
-    return F.element_at(F.transform(F.array(hashed), lambda h: F.when(F.size(h) > 0, h).otherwise(alone)), 1)
+    def printed_terms(terms: Column) -> Column:
+        hashed = F.element_at(F.transform(F.array(F.array_sort(known(terms))), entries), 1)
+        alone = F.array(F.concat(F.lit("zz"), F.hex(F.xxhash64(F.array_join(F.array_sort(terms), " ")))))
+        return F.element_at(F.transform(F.array(hashed), lambda h: F.when(F.size(h) > 0, h).otherwise(alone)), 1)
+
+    # Through lists of one, so that each is computed once.
+    return F.element_at(F.transform(F.array(terms_of(text)), printed_terms), 1)
+
+
+def with_table(rows: DataFrame, table: Column, name: str, value: Callable[[Column], Column]) -> DataFrame:
+    """rows with value(table) as column `name`.
+
+    No subquery may be written within a lambda, so it is a column at first. The optimizer puts it where that column stands
+    if `value` names it once and no computed column of `rows` twice; else each row would carry the whole table.
+    """
+    return rows.withColumn("__table", table).withColumn(name, value(F.col("__table"))).drop("__table")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -96,9 +109,9 @@ def likeness(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def neighbours(docs: DataFrame, id_col: str, text_col: str, extra: Column) -> DataFrame:
-    """i, t, e, next: each text, `extra` of it (over column t), and t and e of the document with the next smaller id;
-    after the last comes the first."""
+def neighbours(docs: DataFrame, id_col: str, text_col: str, extra: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """i, t, e, next: each text, e as `extra` adds it to rows with column t, and t and e of the document with the next
+    smaller id; after the last comes the first."""
     bare = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
     found = docs.select(F.col(id_col).alias("i")).agg(F.percentile_approx("i", F.array(*[F.lit(k / parts) for k in range(1, parts)]), 10_000)).first()[0] or []
@@ -113,13 +126,13 @@ def neighbours(docs: DataFrame, id_col: str, text_col: str, extra: Column) -> Da
     at = at + (F.when(F.col("i").isin(cuts), 1).otherwise(0) if cuts else 0)
     bare = bare.withColumn("p", at.cast("long") * (parts + 1) + F.when(split, slice_).otherwise(0))
     window = Window.partitionBy("p").orderBy(F.desc_nulls_last("i"), "h")
-    ranged = bare.withColumn("e", extra).withColumns({"next": F.lead(F.struct("t", "e")).over(window), "last": F.lead(F.lit(1)).over(window).isNull()})
+    ranged = extra(bare).withColumns({"next": F.lead(F.struct("t", "e")).over(window), "last": F.lead(F.lit(1)).over(window).isNull()})
     # The first row of each range, by keys alone: a few ranges for each partition, so few rows.
     key = F.struct(F.col("i").isNotNull(), F.col("i"), -F.col("h").cast("decimal(20,0)"))
     first = materialise(bare.groupBy("p").agg(F.max_by(F.struct("i", "h"), key).alias("first")).select(F.col("p").alias("q"), "first.*"), "imatch-firsts")
     first = first.withColumnsRenamed({"i": "__i", "h": "__h"})
     texts = bare.join(F.broadcast(first), (F.col("p") == F.col("q")) & F.col("i").eqNullSafe(F.col("__i")) & (F.col("h") == F.col("__h")))
-    texts = texts.groupBy("p").agg(F.first("t").alias("t")).withColumn("first", F.struct("t", extra.alias("e")))
+    texts = extra(texts.groupBy("p").agg(F.first("t").alias("t"))).withColumn("first", F.struct("t", "e"))
     ring = Window.orderBy("p")
     every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = texts.select(F.col("p").alias("q"), F.coalesce(F.lead("first").over(ring), F.min_by("first", "p").over(every)).alias("after"))
@@ -130,18 +143,24 @@ def neighbours(docs: DataFrame, id_col: str, text_col: str, extra: Column) -> Da
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
     """id, fingerprint of each text."""
     table = lexicon(docs, text_col, low, high)
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col), F.array_join(fingerprint(t, table), "-").alias("fingerprint"))
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    rows = with_table(rows, table, "e", lambda held: fingerprint(F.coalesce("t", F.lit("")), held))
+    return rows.select(F.col("i").alias(id_col), F.array_join("e", "-").alias("fingerprint"))
 
 
 def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: each text with itself edited
     (its last half replaced by the beginning of the next document) and with the next document."""
     table = lexicon(docs, text_col, low, high)
-    rows = neighbours(docs, id_col, text_col, fingerprint(F.col("t"), table))
+    rows = neighbours(docs, id_col, text_col, lambda some: with_table(some, table, "e", lambda held: fingerprint(F.col("t"), held)))
+    rows = rows.select("i", "t", F.col("e").alias("a"), F.col("next.t").alias("other"), F.col("next.e").alias("c"))
     n = F.char_length("t")
     half = F.floor(n / 2).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.substr("t", F.lit(1), n - half), F.substr("next.t", F.lit(1), half)))
-    rows = rows.select("i", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.col("e").alias("a"), fingerprint(F.col("edited"), table).alias("b"), F.col("next.e").alias("c"))
+    edited = F.concat(F.substr("t", F.lit(1), n - half), F.substr("other", F.lit(1), half))
+
+    def made(held: Column) -> Column:
+        return F.element_at(F.transform(F.array(edited), lambda x: F.struct(F.sha2(x, 256).alias("edited_sha256"), fingerprint(x, held).alias("b"))), 1)
+
+    rows = with_table(rows, table, "made", made).select("i", n.cast("long").alias("n_chars"), "made.edited_sha256", "a", "made.b", "c")
     a, b, c = F.col("a"), F.col("b"), F.col("c")
     return rows.select(F.col("i").alias(id_col), "n_chars", "edited_sha256", F.array_join(a, "-").alias("fingerprint"), F.array_join(b, "-").alias("edited_fingerprint"), likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"))

@@ -439,6 +439,19 @@ def test_imatch_uses_every_term_of_the_band(spark):
     assert not any(e.startswith("zz") for r in found.values() for e in r.fingerprint.split("-"))
 
 
+def test_imatch_plans_do_not_hold_the_terms(spark):
+    """Spark prints a plan at each step, in the driver; a band of many terms mustn't make it long."""
+    length = {}
+    for many in (200, 2000):
+        table = spark.createDataFrame([(k, f"quagga{k % many} term{k}") for k in range(many)], "doc_id long, text string")
+        plan = imatch.compare(table, low=0.0)._jdf.queryExecution()
+        assert "quagga7" not in plan.toString()
+        # The table is the subquery's value, never a column that each row carries.
+        assert "__table" not in plan.executedPlan().toString()
+        length[many] = len(plan.toString())
+    assert length[2000] < 1.1 * length[200]
+
+
 def test_imatch_is_the_definition(spark):
     """Band, subsets and grouping by brute force; only the 64-bit hash function itself is Spark's."""
     r = random.Random(12)
