@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import bounded, pieces, tidy
 
-LEAST, RUN, CACHE, FLOOR, SWITCH = 3, 40, 150_000, -6.0, 7.0
+LEAST, RUN, CACHE, PART, FLOOR, SWITCH = 3, 40, 150_000, 20_000, -6.0, 7.0
 #: First and last code point of the letters of each script.
 SCRIPTS = {
     "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF)],
@@ -63,6 +63,15 @@ def _words() -> re.Pattern[str]:
 
 
 LETTERS = _words()
+#: A text without a character beyond these, which hold Latin letters, punctuation and currency signs, has words of one class.
+BEYOND = re.compile("[^\\x00-\u024f\u2000-\u206f\u20a0-\u20cf]")
+LATIN = re.compile(f"[{''.join(c for c in map(chr, range(0x41, 0x250)) if LETTERS.match(c))}]{{1,{RUN}}}")
+
+
+def words_of(text: str) -> list[str]:
+    """What LETTERS finds in the lower-cased text."""
+    text = text.lower()
+    return (LETTERS if BEYOND.search(text) else LATIN).findall(text)
 
 
 def grams_of(word: str) -> list[str]:
@@ -70,6 +79,24 @@ def grams_of(word: str) -> list[str]:
     return [w[i : i + 3] for i in range(len(w) - 2)]
 
 
+def gram_codes(text: str) -> np.ndarray:
+    """A number for the three characters from each place of the text that has three, ordered as they are."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+
+
+class Known(dict):
+    """The place of each word met, in order; `new` has those met since it was emptied."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        place = self[word] = len(self)
+        return place
+
+
 class Model:
     """Scores of words for each language, by table; what a worker has scored stays with its copy of the model."""
 
@@ -77,6 +104,10 @@ class Model:
         self.langs = langs
         self.words, self.word_table = self._table(counts, "word")
         self.grams, self.gram_table = self._table(counts, "gram")
+        own = [g for g in self.grams if len(g) == 3]
+        # Ascending, as the grams are sorted; a last one that no trigram has.
+        self.gram_codes = np.concatenate([gram_codes("".join(own))[::3], [np.iinfo(np.int64).max]])
+        self.gram_places = np.array([*(self.grams[g] for g in own), len(self.grams)])
         # For each script that the training text has, the languages that write it; where none does, all are candidates.
         found = sorted({s for x in langs for s in counts[x]["script"]})
         self.scripts = {s: i for i, s in enumerate(found)}
@@ -97,10 +128,10 @@ class Model:
     def forget(self) -> None:
         self.rows = np.zeros((1024, len(self.langs)), np.float32)
         self.letters = np.zeros(1024, np.int64)
-        self.known: dict[str, int] = {}
+        self.known = Known()
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"rows": self.rows[:1], "letters": self.letters[:1], "known": {}}
+        return self.__dict__ | {"rows": self.rows[:1], "letters": self.letters[:1], "known": Known()}
 
     def scores(self, words: list[str]) -> np.ndarray:
         """The log posterior of each language for each word, by its count or else by its trigrams, within its script's languages."""
@@ -108,30 +139,41 @@ class Model:
         s = self.word_table[place]
         rare = np.flatnonzero(place < 0)
         if len(rare):
-            unseen, get = len(self.grams), self.grams.get
-            flat = [get(g, unseen) for i in rare for g in grams_of(words[i])]
-            first = np.concatenate([[0], np.cumsum([len(words[i]) for i in rare])[:-1]])
+            sizes = np.array([len(words[i]) for i in rare])
+            codes = gram_codes("".join([f"<{words[i]}>" for i in rare]))
+            # The two places at the end of a word begin no trigram of it.
+            inside = np.ones(len(codes) + 2, bool)
+            ends = np.cumsum(sizes + 2)
+            inside[ends - 1] = inside[ends - 2] = False
+            codes = codes[inside[:-2]]
+            at = np.searchsorted(self.gram_codes, codes)
+            flat = np.where(self.gram_codes[at] == codes, self.gram_places[at], len(self.grams))
+            first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             s[rare] = np.add.reduceat(self.gram_table[flat], first, axis=0)
         of_char = {c: self.scripts.get(script_of(c), -1) for c in {w[0] for w in words}}
         s = np.where(self.may[[of_char[w[0]] for w in words]], s, -np.inf)
         s = s - s.max(1, keepdims=True)
         return np.maximum(s - np.log(np.exp(s).sum(1, keepdims=True)), FLOOR)
 
-    def ids(self, text: str) -> np.ndarray:
-        words = LETTERS.findall(text.lower())
-        found = list(map(self.known.get, words))
-        if None in found:
-            new = list(dict.fromkeys(w for i, w in zip(found, words, strict=True) if i is None))
-            a, z = len(self.known), len(self.known) + len(new)
-            if z > len(self.rows):
-                more = max(z, 2 * len(self.rows)) - len(self.rows)
-                self.rows = np.concatenate([self.rows, np.zeros((more, len(self.langs)), np.float32)])
-                self.letters = np.concatenate([self.letters, np.zeros(more, np.int64)])
-            self.rows[a:z] = self.scores(new)
-            self.letters[a:z] = [len(w) for w in new]
-            self.known.update(zip(new, range(a, z), strict=True))
-            found = list(map(self.known.get, words))
-        return np.array(found, np.int64)
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The places of each text's words in `rows` and `letters`, which have the new ones afterwards."""
+        place = self.known.__getitem__
+
+        def places(words: list[str]) -> np.ndarray:
+            return np.fromiter(map(place, words), np.int64, len(words))
+
+        out = [places(words_of(t) if t else []) for t in texts]
+        new, self.known.new = self.known.new, []
+        a, z = len(self.known) - len(new), len(self.known)
+        if z > len(self.rows):
+            more = max(z, 2 * len(self.rows)) - len(self.rows)
+            self.rows = np.concatenate([self.rows, np.zeros((more, len(self.langs)), np.float32)])
+            self.letters = np.concatenate([self.letters, np.zeros(more, np.int64)])
+        for b in range(0, len(new), PART):
+            some = new[b : b + PART]
+            self.rows[a + b : a + b + len(some)] = self.scores(some)
+            self.letters[a + b : a + b + len(some)] = [len(w) for w in some]
+        return out
 
     def viterbi(self, docs: list[np.ndarray]) -> list[np.ndarray]:
         """The label of each word of each document."""
@@ -173,7 +215,7 @@ class Model:
             return ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
         if len(self.known) > CACHE:
             self.forget()
-        docs = [self.ids(t) if t else np.zeros(0, np.int64) for t in texts]
+        docs = self.ids(texts)
         langs, scores, spans = [], [], []
         for d, label in zip(docs, self.viterbi(docs), strict=True):
             w = self.letters[d]
@@ -205,7 +247,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         got: dict[tuple[str, str], Counter] = {}
         for b in pieces(batches, "t"):
             for lang, text in zip(b.column("l").to_pylist(), b.column("t").to_pylist(), strict=True):
-                words = Counter(LETTERS.findall(text.lower()))
+                words = Counter(words_of(text))
                 got.setdefault((lang, "word"), Counter()).update(words)
                 grams, scripts = got.setdefault((lang, "gram"), Counter()), got.setdefault((lang, "script"), Counter())
                 for w, n in words.items():

@@ -619,3 +619,27 @@ def test_viterbi_is_the_best_path():
         cost = lambda p: sum(model.rows[w, x] for w, x in zip(d, p, strict=True)) - langid.SWITCH * sum(a != b for a, b in zip(p, p[1:], strict=False))  # noqa: B023, E731
         best = max(map(cost, itertools.product(range(3), repeat=len(d))))
         assert cost(tuple(label)) == pytest.approx(best, abs=1e-3)
+
+
+def test_language_scores_the_words_of_a_batch_at_once(monkeypatch):
+    """Words as the general pattern finds them, and scores by the definition, in one call for all texts of a batch."""
+    chars = [chr(c) for c in [*range(0x20, 0x600), *range(0x2000, 0x20D0), 0x4E00, 0x1E00, 0x10FFFF, 0x130]]
+    r = random.Random(5)
+    texts = ["".join(r.choice(chars[: r.choice([95, 560, 3000])]) for _ in range(200)) for _ in range(60)] + ["x" * 95, "", "\u201cÉté\u201d \u2013 5\u00b2 \u20ac"]
+    assert all(langid.words_of(t) == langid.LETTERS.findall(t.lower()) for t in texts)
+    known = {"en": "the house is the best of the houses", "fr": "la maison est la plus belle des maisons"}
+    counts = {}
+    for x, t in known.items():
+        words = langid.words_of(t)
+        counts[x] = {"word": Counter({"the": 3, "la": 2}), "gram": Counter(g for w in words for g in langid.grams_of(w)), "script": Counter({"latin": len(words)})}
+    model = langid.Model(["en", "fr"], counts)
+    want = {}
+    for w in {w for t in texts for w in langid.words_of(t)}:
+        row = model.word_table[model.words[w]] if w in model.words else sum(model.gram_table[model.grams.get(g, len(model.grams))] for g in langid.grams_of(w))
+        row = np.array(row, np.float64) - max(row)
+        want[w] = np.maximum(row - np.log(np.exp(row).sum()), langid.FLOOR)
+    calls, scores = [], model.scores
+    monkeypatch.setattr(model, "scores", lambda words: calls.append(len(words)) or scores(words))
+    model.predict(texts)
+    assert len(calls) == 1 and set(model.known) == set(want)
+    assert all(np.allclose(model.rows[i], want[w], atol=1e-4) and model.letters[i] == len(w) for w, i in model.known.items())
