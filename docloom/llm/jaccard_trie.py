@@ -7,7 +7,9 @@
    prefixes.
 2. Equal sets are found by a 128-bit hash with a partial minimum; one row stands for them in all that follows.
 3. Rows that share a prefix element and whose sizes and bitmaps allow a link are joined into candidate clusters. In a
-   group of sharers a breadth-first walk over bitmaps emits a forest, not all pairs.
+   group of sharers a breadth-first walk over bitmaps emits a forest, not all pairs. Most elements belong to one row, or
+   to rows joined already: one sum by element finds the others, and a filter of those, sent to every executor, keeps the
+   rest of the prefixes from being shuffled once more.
 4. Each cluster's sets are stored in a trie, most frequent n-gram first, with runs of n-grams on one edge. A set is
    compared with all others at once: overlaps along shared paths are counted once, and a subtree ends as soon as what
    remains of it and of the set can't reach the overlap needed. Linked documents leave the trie, so a cluster of near
@@ -40,6 +42,8 @@ from .components import components
 BLOCK, ELEMENTS, HUBS, BROADCAST_ROWS, FIRST = 5_000, 2_000_000, 16, 500_000, 2
 #: One in SAMPLE documents shows which n-grams are frequent: in SHARE of them, HOT at most. Only the order depends on it.
 SAMPLE, SHARE, HOT = 32, 0.002, 200_000
+#: A filter of elements has FILTER_BITS bits or more for each, in FILTER_PARTS parts, but MOST_BITS (32 MB) at most.
+FILTER_BITS, MOST_BITS, FILTER_PARTS = 16, 1 << 28, 64
 _R = np.random.default_rng(20240229)
 LOWER = np.frombuffer(BYTE_LOWER, np.uint8)
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -350,6 +354,71 @@ def blocks(n: Column | str, elements: Column | str) -> Column:
     return F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(elements / ELEMENTS)).cast("int")
 
 
+def places(tokens: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each token in a filter of so many bits, a power of two."""
+    h = mix(tokens.view(np.uint64) + SALT[2])
+    return (h & np.uint64(bits - 1)).astype(np.int64), (h >> np.uint64(32) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def token_filter(tokens: DataFrame) -> np.ndarray:
+    """A Bloom filter, as bytes, of tokens(token), which are written. It never misses one."""
+    n, bits = tokens.count(), FILTER_PARTS * 1024
+    while bits < min(MOST_BITS, FILTER_BITS * n):
+        bits *= 2
+    part = bits // FILTER_PARTS
+
+    @tidy
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(np.concatenate(places(b.column("token").to_numpy(), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(at // part), pa.array(at % part)], ["part", "at"])
+
+    @tidy
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            of, at = b.column("part").to_numpy(), b.column("at").to_numpy()
+            for k in np.unique(of).tolist():
+                held.setdefault(k, np.zeros(part, bool))[at[of == k]] = True
+        for k, v in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.packbits(v, bitorder="little").tobytes()])], ["part", "bytes"])
+
+    out = np.zeros((FILTER_PARTS, part // 8), np.uint8)
+    for k, v in tokens.mapInArrow(emit, "part long, at long").repartition(FILTER_PARTS, "part").mapInArrow(fill, "part long, bytes binary").collect():
+        out[k] = np.frombuffer(v, np.uint8)
+    return out.ravel()
+
+
+def held_by(held: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Whether a token is in the filter; one that isn't in it may seem to be."""
+    p, q = places(tokens, 8 * len(held))
+    return (held[p >> 3] >> (p & 7).astype(np.uint8) & held[q >> 3] >> (q & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def meeting(rows: DataFrame) -> DataFrame:
+    """row, size, label, token of rows(row, size, label, prefix), written: all where rows of other labels have the token in
+    their prefix too, and few others."""
+    spark = rows.sparkSession
+    # The smallest and largest label are partial sums of two numbers, however many rows have a token.
+    several = rows.select("label", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"))
+    several = materialise(several.filter("a <> b").select("token"), "jaccard-several")
+    held = spark.sparkContext.broadcast(token_filter(several))  # bounded by MOST_BITS
+
+    @tidy
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("prefix")
+            token = lists.flatten().to_numpy()
+            hit = held_by(held.value, token)
+            of = pa.array(np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())[hit])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(of) for c in ("row", "size", "label")), pa.array(token[hit])], ["row", "size", "label", "token"])
+
+    out = materialise(rows.select("row", "size", "label", "prefix").mapInArrow(pick, "row long, size long, label long, token long"), "jaccard-meeting")
+    discard(spark, several)
+    held.destroy()
+    return out
+
+
 def near_hubs(rows: DataFrame, group: str) -> DataFrame:
     """rows(group, row, size, ...) with `keys`, those of the blocks a row is in: its own, or all of its group for a few
     rows, the hubs. Groups of one row are left out."""
@@ -444,8 +513,10 @@ def rooted(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
     first = sought.select("row", "size", F.col("row").alias("label"), F.explode("early").alias("token"))
     early = materialise(candidates(near_hubs(first, "token")).distinct(), "jaccard-early")
     found = few(materialise(components(early).select(F.col("node").alias("__node"), "root"), "jaccard-early-roots"))
-    labelled = sought.join(found, F.col("row") == F.col("__node"), "left").select("row", "size", F.coalesce("root", "row").alias("label"), F.explode("prefix").alias("token"))
-    clusters = materialise(components(early.unionByName(candidates(across(labelled, "token")))), "jaccard-clusters")
+    labelled = sought.join(found, F.col("row") == F.col("__node"), "left").select("row", "size", F.coalesce("root", "row").alias("label"), "prefix")
+    shared = meeting(labelled)
+    clusters = materialise(components(early.unionByName(candidates(across(shared, "token")))), "jaccard-clusters")
+    discard(spark, shared)
 
     # The sets of candidates only. Their texts are found by id and hash of text, each once a batch.
     ids = sought.select("i", "h", "row", "size").join(clusters, F.col("row") == F.col("node")).select("i", "h", "row", "size", "root")

@@ -520,6 +520,56 @@ def test_jaccard_join(docs, empty, texts, n, percent, block, monkeypatch):
     assert jaccard_trie.join(empty).collect() == []
 
 
+def shuffled(spark):
+    """Bytes that the session's tasks have written to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    found = sc.statusStore().executorList(False)
+    return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+
+def test_jaccard_join_shuffles_prefixes_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_trie, "BROADCAST_ROWS", 0)
+    r = random.Random(31)
+    make = lambda: [f"w{r.randrange(10**9)}" for _ in range(600)]
+    rows = []
+    for k in range(0, 400, 2):
+        one = make()
+        rows += [(k, " ".join(one)), (k + 1, " ".join(make() if k < 360 else one[:580]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    docs.count()
+    before = shuffled(spark)
+    found = got(jaccard_trie.join(docs, n=5, percent=80))
+    entries = 400 * 120  # a fifth of a set is its prefix
+    assert shuffled(spark) - before < 50 * entries
+    assert {i: x.component_id for i, x in found.items()} == {i: i - i % 2 * (i >= 360) for i, _ in rows}
+
+
+def test_token_filter_misses_none(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    tokens, others = r.integers(-(1 << 63), 1 << 63, (2, 30_000), np.int64)
+    frame = spark.createDataFrame([(x,) for x in tokens.tolist()], "token long").repartition(5)
+    held = jaccard_trie.token_filter(frame)
+    assert jaccard_trie.held_by(held, tokens).all() and jaccard_trie.held_by(held, others).mean() < 0.03
+    monkeypatch.setattr(jaccard_trie, "MOST_BITS", 1 << 17)  # too few bits let more pass, nothing less
+    held = jaccard_trie.token_filter(frame)
+    assert len(held) == 1 << 14 and jaccard_trie.held_by(held, tokens).all()
+    assert not jaccard_trie.held_by(jaccard_trie.token_filter(frame.limit(0)), tokens).any()
+
+
+def test_meeting_keeps_every_shared_token(spark):
+    r = random.Random(8)
+    rows = [(k, 50, r.choice([k, k % 7]), r.sample(range(3000), 20)) for k in range(150)]
+    out = {(x.row, x.size, x.label, x.token) for x in jaccard_trie.meeting(spark.createDataFrame(rows, "row long, size long, label long, prefix array<long>").repartition(3)).collect()}
+    labels = defaultdict(set)
+    for _, _, label, prefix in rows:
+        for t in prefix:
+            labels[t].add(label)
+    every = {(row, size, label, t) for row, size, label, prefix in rows for t in prefix}
+    assert {x for x in every if len(labels[x[3]]) > 1} <= out <= every
+    assert len(out) < len(every)
+
+
 def test_one_of_each_decides_by_row(spark):
     r = random.Random(9)
     words = [" ".join(f"{c}{r.randint(0, 10**6)}" for _ in range(80)) for c in "abcdef"]
