@@ -9,7 +9,8 @@
 3. Rows that share a prefix element and whose sizes and bitmaps allow a link are joined into candidate clusters. In a
    group of sharers a breadth-first walk over bitmaps emits a forest, not all pairs. Most elements belong to one row, or
    to rows joined already: one sum by element finds the others, and a filter of those, sent to every executor, keeps the
-   rest of the prefixes from being shuffled once more.
+   rest of the prefixes from being shuffled once more. Beyond a number of elements both go by parts of the elements, so that
+   the files of one part's shuffle are all that is on disk at once.
 4. Each cluster's sets are stored in a trie, most frequent n-gram first, with runs of n-grams on one edge. A set is
    compared with all others at once: overlaps along shared paths are counted once, and a subtree ends as soon as what
    remains of it and of the set can't reach the overlap needed. Linked documents leave the trie, so a cluster of near
@@ -27,7 +28,8 @@ the smallest id linked to it, null if there is none; an empty table gives an emp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +38,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BYTE_LOWER, bounded, discard, materialise, pieces, text_bytes, tidy
+from .common import BYTE_LOWER, WRITTEN, bounded, discard, materialise, pieces, release, text_bytes, tidy
 from .components import components
 
 BLOCK, ELEMENTS, HUBS, BROADCAST_ROWS, FIRST = 5_000, 2_000_000, 16, 500_000, 2
-#: One in SAMPLE documents shows which n-grams are frequent: in SHARE of them, HOT at most. Only the order depends on it.
-SAMPLE, SHARE, HOT = 32, 0.002, 200_000
+#: Prefix elements, and rows of shared ones, that are shuffled at once: beyond that, by parts of the elements, one after another.
+TOKENS, SHARED = 32_000_000, 6_000_000
+#: One in SAMPLE documents shows which n-grams are frequent: in LEAST of them or more, however many there are, so that groups
+#: of sharers don't grow with the table; HOT at most. Only the order depends on it.
+SAMPLE, LEAST, HOT = 32, 3, 200_000
 #: A filter of elements has FILTER_BITS bits or more for each, in FILTER_PARTS parts, but MOST_BITS (32 MB) at most.
 FILTER_BITS, MOST_BITS, FILTER_PARTS = 16, 1 << 28, 64
 _R = np.random.default_rng(20240229)
@@ -96,8 +101,9 @@ def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """Parity of the n-grams' hashes over a power of two of bits, about half as many as n-grams."""
-    bits = 1 << max(6, int(np.ceil(np.log2(max(2, len(tokens)) / 2))))
+    """Parity of the n-grams' hashes over a power of two of bits, as many as n-grams or more: with fewer, sets that share
+    nothing come as close as links by chance, and a large table's candidates grow into one cluster."""
+    bits = 1 << max(6, int(np.ceil(np.log2(max(1, len(tokens))))))
     return np.packbits(np.bincount(mix(tokens) & np.uint64(bits - 1), minlength=bits) & 1, bitorder="little").astype(np.uint8).tobytes()
 
 
@@ -333,15 +339,11 @@ def frequent(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         for b in pieces(batches, "t", 1 << 20):
             sets = shingle_sets(b.column("t"), n)
             own = [s for s in {s.tobytes(): s for s in sets}.values() if len(s)]
-            # Element 0, which hashes hardly ever give, counts the documents.
-            flat = np.concatenate([*own, np.zeros(len(own), np.uint64)]) if own else np.zeros(0, np.uint64)
-            token, count = np.unique(flat, return_counts=True)
+            token, count = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.int64)), pa.array(count)], ["token", "c"])
 
-    counts = materialise(some.mapInArrow(emit, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).filter("c > 2"), "jaccard-frequent")
-    docs = counts.filter("token = 0").first()
-    least = max(3, SHARE * docs["c"]) if docs else 3
-    hot = counts.filter((F.col("token") != 0) & (F.col("c") >= least)).orderBy(F.desc("c"), "token").limit(HOT).toArrow()
+    counts = materialise(some.mapInArrow(emit, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).filter(F.col("c") >= LEAST), "jaccard-frequent")
+    hot = counts.orderBy(F.desc("c"), "token").limit(HOT).toArrow()
     discard(texts.sparkSession, counts)
     token = hot.column("token").to_numpy().astype(np.uint64)
     order = np.argsort(token)
@@ -395,14 +397,28 @@ def held_by(held: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return (held[p >> 3] >> (p & 7).astype(np.uint8) & held[q >> 3] >> (q & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def by_parts(rows: DataFrame, n: int, most: int, make: Callable[[DataFrame], DataFrame], name: str) -> list[DataFrame]:
+    """make(rows) of each part of rows(token, ...), which has about n rows, by token: each is written, and its shuffle files go,
+    before the next begins."""
+    count, out = max(1, -(-n // most)), []
+    for k in range(count):
+        part = rows.filter(F.pmod(F.xxhash64("token", F.lit(7)), F.lit(count)) == k) if count > 1 else rows
+        out.append(materialise(make(part), name))
+        release(rows.sparkSession)
+    return out
+
+
 def meeting(rows: DataFrame) -> DataFrame:
     """row, size, label, token of rows(row, size, label, prefix), written: all where rows of other labels have the token in
     their prefix too, and few others."""
     spark = rows.sparkSession
     # The smallest and largest label are partial sums of two numbers, however many rows have a token.
-    several = rows.select("label", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"))
-    several = materialise(several.filter("a <> b").select("token"), "jaccard-several")
-    held = spark.sparkContext.broadcast(token_filter(several))  # bounded by MOST_BITS
+    def of_several(part: DataFrame) -> DataFrame:
+        return part.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("token")
+
+    n = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    several = by_parts(rows.select("label", F.explode("prefix").alias("token")), n, TOKENS, of_several, "jaccard-several")
+    held = spark.sparkContext.broadcast(token_filter(reduce(DataFrame.unionByName, several)))  # bounded by MOST_BITS
 
     @tidy
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,7 +430,7 @@ def meeting(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(of) for c in ("row", "size", "label")), pa.array(token[hit])], ["row", "size", "label", "token"])
 
     out = materialise(rows.select("row", "size", "label", "prefix").mapInArrow(pick, "row long, size long, label long, token long"), "jaccard-meeting")
-    discard(spark, several)
+    discard(spark, *several)
     held.destroy()
     return out
 
@@ -452,7 +468,7 @@ def across(rows: DataFrame, group: str, least: int = 1) -> DataFrame:
 
 def rooted(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """i, h (text_hash), size, root of each row, written: its n-gram set's size and the number of its component."""
-    spark = docs.sparkSession
+    spark, since = docs.sparkSession, len(WRITTEN)
     bounded(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), text_hash(F.col(text_col)).alias("h"))
@@ -515,8 +531,10 @@ def rooted(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
     found = few(materialise(components(early).select(F.col("node").alias("__node"), "root"), "jaccard-early-roots"))
     labelled = sought.join(found, F.col("row") == F.col("__node"), "left").select("row", "size", F.coalesce("root", "row").alias("label"), "prefix")
     shared = meeting(labelled)
-    clusters = materialise(components(early.unionByName(candidates(across(shared, "token")))), "jaccard-clusters")
+    edges = by_parts(shared, shared.count(), SHARED, lambda part: candidates(across(part, "token")), "jaccard-edges")
+    clusters = materialise(components(reduce(DataFrame.unionByName, edges, early)), "jaccard-clusters")
     discard(spark, shared)
+    release(spark)
 
     # The sets of candidates only. Their texts are found by id and hash of text, each once a batch.
     ids = sought.select("i", "h", "row", "size").join(clusters, F.col("row") == F.col("node")).select("i", "h", "row", "size", "root")
@@ -565,6 +583,7 @@ def rooted(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
         return sets.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long")
 
     links = materialise(linked(near_hubs(ids, "root")), "jaccard-links")
+    release(spark)
     large = ids.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("s")).filter(blocks("n", "s") > 1)
     if not large.isEmpty():
         joined = components(links).select(F.col("node").alias("__node"), F.col("root").alias("label"))
@@ -573,7 +592,11 @@ def rooted(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
         links = links.unionByName(linked(across(rows, "root", least=2)))
     roots = few(materialise(components(links).select(F.col("node").alias("__node"), "root"), "jaccard-roots"))
     out = marked.join(roots, F.col("rep") == F.col("__node"), "left").select("i", "h", "size", F.coalesce("root", "rep").alias("root"))
-    return materialise(out, "jaccard-components")
+    out = materialise(out, "jaccard-components")
+    hot.destroy()
+    discard(spark, since=since, keep=out)
+    release(spark)
+    return out
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:

@@ -14,7 +14,7 @@ import sentencepiece
 
 import corpus_pipeline
 from docloom.llm import imatch, jaccard_trie, langid, licenses, mixing, ppm, quality_cnn, sentencepiece_codec, suffix_dedup, va_file
-from docloom.llm.common import crc_mod
+from docloom.llm.common import WRITTEN, crc_mod
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, row string, i int, t string, rank int, n string"
@@ -545,6 +545,38 @@ def test_jaccard_join_shuffles_prefixes_once(spark, monkeypatch):
     assert {i: x.component_id for i, x in found.items()} == {i: i - i % 2 * (i >= 360) for i, _ in rows}
 
 
+@pytest.mark.parametrize("size", [64, 128, 256, 512])
+def test_bitmaps_keep_strangers_apart(size):
+    r = np.random.default_rng(size)
+    sets = [r.integers(0, 1 << 63, size, np.uint64) for _ in range(400)]
+    sketch = jaccard_trie.Sketches(np.full(400, size), [jaccard_trie.bitmap(x) for x in sets], 80)
+    a, b = np.triu_indices(400, 1)
+    assert sketch.near(a, b).mean() < 0.0002
+    near = np.concatenate([sets[0][: size - size // 10], sets[1][: size // 10]])
+    sketch = jaccard_trie.Sketches(np.full(2, size), [jaccard_trie.bitmap(x) for x in (sets[0], near)], 80)
+    assert sketch.near(np.array([0]), np.array([1])).all()
+
+
+def test_jaccard_join_by_parts(spark, monkeypatch):
+    r = random.Random(12)
+    rows = []
+    for k in range(0, 90, 3):
+        words = [f"w{r.randrange(10**6)}" for _ in range(80)]
+        rows += [(k, " ".join(words)), (k + 1, " ".join([*words[:76], f"x{k}"])), (k + 2, " ".join(f"w{r.randrange(10**6)}" for _ in range(80)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard_trie, "FIRST", 0)  # no early edges: all go by parts
+    monkeypatch.setattr(jaccard_trie, "TOKENS", 500)
+    monkeypatch.setattr(jaccard_trie, "SHARED", 200)
+    names, was = [], jaccard_trie.materialise
+    monkeypatch.setattr(jaccard_trie, "materialise", lambda df, name: names.append(name) or was(df, name))
+    before = list(WRITTEN)
+    kept = jaccard_trie.one_of_each(docs, n=5, percent=80)
+    left = [p for p in WRITTEN if p not in before]
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(k for k in range(90) if k % 3 != 1)
+    assert names.count("jaccard-several") > 1 and names.count("jaccard-edges") > 1
+    assert not any("sketches" in p or "edges" in p for p in left)
+
+
 def test_token_filter_misses_none(spark, monkeypatch):
     r = np.random.default_rng(4)
     tokens, others = r.integers(-(1 << 63), 1 << 63, (2, 30_000), np.int64)
