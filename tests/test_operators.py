@@ -1,5 +1,6 @@
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -7,7 +8,7 @@ from pyspark.sql import types as T
 from docloom.config import Settings
 from docloom.functions.register import register
 from docloom.operators import bm25, dense, fusion, quality, rerank
-from docloom.plans import search, stages, tool
+from docloom.plans import catalog, search, stages, tool
 from docloom.sources import crawl, records, sinks
 from docloom.streaming.resume import embed_new
 
@@ -161,3 +162,25 @@ def test_http_errors_are_rows(spark):
     fetch = crawl.http_fetcher(crawl.HttpClient(timeout=1))
     row = fetch(spark.createDataFrame([("http://127.0.0.1:9/x",)], "url string")).first()
     assert row.html is None and row.error
+
+
+def test_short_rows_are_dealt_and_chunked_once(spark, tmp_path, monkeypatch):
+    d = "/root/testdata/sf0.01"
+    assert spark.read.parquet(f"{d}/orders.parquet").rdd.getNumPartitions() < 2
+    assert catalog.html_blocks(spark, d).rdd.getNumPartitions() == 2  # 15,000 rows, 10,000 each
+    rows = catalog.chunk_kinds(spark, d)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "_chunks" not in plan and "Repartition" in plan
+
+
+def test_python_gets_batches_bounded_by_bytes(spark):
+    was = spark.conf.get(stages.BATCH_BYTES)
+    spark.conf.unset(stages.BATCH_BYTES)
+    docs = spark.createDataFrame([(k, "word " * 40_000) for k in range(60)], "k long, t string").coalesce(1)
+    sizes = stages.bounded(docs).mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in it), "n long")
+    assert max(x.n for x in sizes.collect()) < 6 << 20
+    for make in (lambda: stages.chunk(docs.selectExpr("'a' version_bucket", "'b' doc_key", "t text")), lambda: stages.embed(docs.selectExpr("string(k) id", "t content"), dense.hashing_embedder(8), "h"), lambda: stages.struct_pages(docs.selectExpr("k url", "t html"))):
+        spark.conf.unset(stages.BATCH_BYTES)
+        make()
+        assert spark.conf.get(stages.BATCH_BYTES) == stages.MOST
+    spark.conf.set(stages.BATCH_BYTES, was)
