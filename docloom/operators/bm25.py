@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -151,9 +150,12 @@ def index(docs: DataFrame, fields: dict[str, str], path: str, id_col: str = "id"
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    postings(docs, fields, id_col).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{base}/postings")
-    sizes = [docs.agg(F.lit(f).alias("field"), F.count("*").cast("double").alias("n"), F.avg(F.size(tokens(F.coalesce(F.col(c), F.lit(""))))).alias("mean")) for f, c in fields.items()]
-    reduce(DataFrame.unionByName, sizes).write.mode("overwrite").parquet(f"{base}/fields")
+    # Each part is sorted by itself: dealing by ranges of terms would split all texts once more to find the ranges.
+    postings(docs, fields, id_col).sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{base}/postings")
+    n = docs.count()
+    found = {r.field: r.words for r in spark.read.parquet(f"{base}/postings").groupBy("field").agg(F.sum("tf").alias("words")).collect()}  # a row for each field
+    sizes = [(f, float(n), found.get(f, 0) / n if n else None) for f in fields]
+    spark.createDataFrame(sizes, "field string, n double, mean double").coalesce(1).write.mode("overwrite").parquet(f"{base}/fields")
     return spark.read.parquet(f"{base}/postings"), spark.read.parquet(f"{base}/fields")
 
 

@@ -184,3 +184,13 @@ def test_python_gets_batches_bounded_by_bytes(spark):
         make()
         assert spark.conf.get(stages.BATCH_BYTES) == stages.MOST
     spark.conf.set(stages.BATCH_BYTES, was)
+
+
+def test_index_splits_texts_once(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b b"), (2, "c"), (3, None)], "id long, content string").repartition(2)
+    calls, was = [], bm25.tokens
+    monkeypatch.setattr(bm25, "tokens", lambda c: calls.append(1) or was(c))
+    found, stats = bm25.index(docs, {"content": "content"}, f"file://{tmp_path}/once")
+    assert len(calls) == 1
+    assert [tuple(r) for r in stats.collect()] == [("content", 3.0, 4 / 3)]
+    assert sorted((r.term, r.id, r.tf) for r in found.collect()) == [("a", 1, 1), ("b", 1, 2), ("c", 2, 1)]
